@@ -15,10 +15,14 @@ _JSON_SPACE = " \t\n\r"
 
 
 def strict_value(text: Column) -> Column:
-    """Compact JSON text (strings unquoted) in a one-item array; null when not strict JSON."""
+    """Compact JSON text (strings unquoted) in a one-item array; null when not strict JSON.
+
+    The lambda names the parsed pair, so the text is parsed once.
+    """
     digest = F.md5(text)
     pair = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')), "array<string>", _OPTIONS)
-    return F.when((F.size(pair) == 2) & (F.get(pair, 1) == digest), F.slice(pair, 1, 1))
+    sound = F.filter(F.array(pair), lambda read: (F.size(read) == 2) & (F.get(read, 1) == digest))
+    return F.slice(F.get(sound, 0), 1, 1)
 
 
 def kind_of(text: Column) -> Column:

@@ -30,9 +30,16 @@ def first_nonempty(*arrays: Column) -> Column:
     return F.coalesce(*[F.when(F.size(items) > 0, items) for items in arrays])
 
 
+# The fixed pattern for the JVM: an identifier is not tried from its middle, where it can only fail
+# again, and is never given back in parts. Both leave the matched names as they are and take the
+# time per word from quadratic to linear.
+_NAME = V.TABLE_REF_PATTERN.split("`?", 2)[1].strip("()") + "+"
+_REF_PATTERN = rf"(?<![A-Za-z_]){_NAME}`?\.`?{_NAME}`?\.`?{_NAME}"
+
+
 def table_refs(text: Column) -> Column:
     """Distinct three-part names in ``text``, sorted, without backticks."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(V.TABLE_REF_PATTERN), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_REF_PATTERN), F.lit(0))
     names = F.transform(found, lambda name: F.replace(name, F.lit("`")))
     return F.sort_array(F.array_distinct(names))
 

@@ -74,9 +74,13 @@ def settings_evidence(cases: DataFrame) -> DataFrame:
     empty = F.lit("{}")
     job = F.coalesce(F.to_json(F.when(F.col("settings").isNotNull(), F.struct("settings"))), empty)
     task = F.coalesce(F.to_json("task_settings"), empty)
-    return _row(cases, 2, V.JOB_SETTINGS, job, table_refs(settings_text(F.col("settings")))).unionByName(
-        _row(cases, 3, V.FAILED_TASK_SETTINGS, task)
-    )
+    refs = F.coalesce("settings_refs", F.array().cast("array<string>"))
+    return _row(cases, 2, V.JOB_SETTINGS, job, refs).unionByName(_row(cases, 3, V.FAILED_TASK_SETTINGS, task))
+
+
+def with_settings_refs(settings: DataFrame) -> DataFrame:
+    """References in the settings of a job, found once per job rather than once per run."""
+    return settings.withColumn("settings_refs", table_refs(settings_text(F.col("settings"))))
 
 
 def output_evidence(cases: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -136,8 +140,12 @@ def output_evidence(cases: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def code_evidence(cases: DataFrame, source_code: DataFrame) -> DataFrame:
-    """Source of the blamed task; one path may serve a large share of the cases."""
-    source = source_code.select("path", truncate(_as_text(source_code), V.SOURCE_CODE_LIMIT).alias("source"))
+    """Source of the blamed task; one path may serve a large share of the cases.
+
+    Shortening and the search for references happen once per path, before the lookup.
+    """
+    shown = source_code.select("path", truncate(_as_text(source_code), V.SOURCE_CODE_LIMIT).alias("source"))
+    source = shown.withColumn("source_refs", table_refs(F.concat_ws("\n", "path", "source")))
     path = F.nullif(F.col("failure_code_path"), F.lit(""))
     found = spread_lookup(cases.select(*KEYS, "failure_code_path"), source, path, "path", F.col("event_id"))
     missing = F.concat(F.lit("LookupError: no source recorded for "), path)
@@ -147,7 +155,7 @@ def code_evidence(cases: DataFrame, source_code: DataFrame) -> DataFrame:
         F.col("source"),
         F.when(path.isNull(), F.lit(V.NO_CODE_PATH)).alias("warning"),
     )
-    refs = table_refs(F.concat_ws("\n", path, F.col("source")))
+    refs = F.coalesce(F.col("source_refs"), table_refs(path))
     return _row(found, 6, V.FAILURE_CODE, F.to_json(document), refs)
 
 

@@ -75,22 +75,15 @@ def qualifying_run_ids(tasks: DataFrame) -> DataFrame:
 def blamed_tasks(tasks: DataFrame, order: Sequence[str] = ("pos",)) -> DataFrame:
     """One row per run of a feed with one row per task: the first failed task, else the first.
 
-    Both candidates are ``min_by`` aggregates, which combine before the shuffle; a run that holds
-    a large share of all tasks is reduced where its rows are read.
+    One ``min_by`` ranks failed tasks before the others. It combines before the shuffle, so a run
+    that holds a large share of all tasks is reduced where its rows are read.
     """
     task = F.col("task")
-    rank = F.struct(*order)
+    passed = (~task_failed(task)).alias("passed")
     return (
         tasks.groupBy("parent_run_id")
-        .agg(
-            F.min_by(F.when(task_failed(task), task), F.when(task_failed(task), rank)).alias("failed"),
-            F.min_by(task, rank).alias("first"),
-        )
-        .select(
-            "parent_run_id",
-            F.coalesce("failed", "first").alias("task"),
-            F.col("failed").isNull().alias("is_fallback"),
-        )
+        .agg(F.min_by(F.struct(task.alias("task"), passed), F.struct(passed, *order)).alias("first"))
+        .select("parent_run_id", "first.task", F.col("first.passed").alias("is_fallback"))
     )
 
 
@@ -108,9 +101,9 @@ def require_keys(runs: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
 def heads(runs: DataFrame) -> DataFrame:
     """One narrow row per run document: keys, blamed task and event id; the task list is dropped."""
     return with_event_id(
-        runs.withColumn("task", blamed_task(F.col("tasks")))
-        .withColumn("is_fallback", ~any_task_failed(F.col("tasks")))
-        .drop("tasks")
+        runs.select(
+            "*", blamed_task(F.col("tasks")).alias("task"), (~any_task_failed(F.col("tasks"))).alias("is_fallback")
+        ).drop("tasks")
     )
 
 
@@ -150,8 +143,8 @@ def identify(run_heads: DataFrame, settings: DataFrame) -> DataFrame:
         F.col("task.state.state_message").alias("state_message"),
         F.col("task.status.termination_details.code").alias("termination_code"),
         F.col("task.status.termination_details.message").alias("termination_message"),
-        "settings",
         "task_settings",
+        *[name for name in settings.columns if name != "job_id"],
         *[name for name in run_heads.columns if name not in keep],
     )
 

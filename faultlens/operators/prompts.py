@@ -115,18 +115,20 @@ def fill_template(pieces: Column, values: dict[str, Column]) -> Column:
     return F.array_join(F.transform(pieces, filled), "")
 
 
-def prompt_requests(
-    cases: DataFrame, bundles: DataFrame, refs: DataFrame, prompt: DataFrame, name: str, alias: str
+METADATA = ["prompt_name", "prompt_alias", "prompt_version", "model_endpoint"]
+
+
+def assign_prompt(
+    cases: DataFrame, prompt: DataFrame, name: str, alias: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Requests for the model, and rejected events with the reason.
+    """Cases with the prompt they are asked with, and rejected events with the reason.
 
     ``prompt`` is the outcome of ``select_prompt``: at most one row, hence the broadcast. Its
-    template is cut once, before it meets the events.
+    template is cut once, before it meets the cases.
     """
     chosen = model_settings(prompt).withColumn("pieces", template_pieces(F.col("user_prompt_template")))
     chosen = chosen.withColumn("piece_error", template_error(F.col("pieces"))).select(
-        "prompt_name", "prompt_alias", "prompt_version", "model_endpoint", "temperature", "max_tokens",
-        "system_prompt", "pieces", "settings_error", "piece_error",
+        *METADATA, "temperature", "max_tokens", "system_prompt", "pieces", "settings_error", "piece_error"
     )
     narrow = cases.select(
         "event_id", "source_job_id", "source_run_id", "source_job_name", "failed_task_key",
@@ -135,22 +137,26 @@ def prompt_requests(
         F.lit(name).alias("prompt_name"),
         F.lit(alias).alias("prompt_alias"),
     )
-    joined = (
-        narrow.join(bundles, "event_id", "left")
-        .join(refs, "event_id", "left")
-        .join(F.broadcast(chosen), ["prompt_name", "prompt_alias"], "left")
-        .withColumn("discovered_code_paths", list_of_path(F.col("failure_code_path")))
-        .withColumn("discovered_tables", F.to_json(F.coalesce("refs", F.array().cast("array<string>"))))
-    )
     reason = (
         F.when(F.col("pieces").isNull(), F.lit(f"No active RCA prompt found for {name}@{alias}"))
         .when(F.col("settings_error").isNotNull(), F.col("settings_error"))
         .when(F.col("piece_error").isNotNull(), F.concat(F.lit("unknown placeholder "), F.col("piece_error")))
     )
-    judged = joined.withColumn("reason", reason)
+    judged = narrow.join(F.broadcast(chosen), ["prompt_name", "prompt_alias"], "left").withColumn("reason", reason)
+    rejected = judged.where(F.col("reason").isNotNull()).select("event_id", "reason")
+    return judged.where(F.col("reason").isNull()).drop("reason", "settings_error", "piece_error"), rejected
+
+
+def prompt_requests(asked: DataFrame, bundles: DataFrame, refs: DataFrame) -> DataFrame:
+    """Rendered requests for the model service."""
+    joined = (
+        asked.join(bundles, "event_id", "left")
+        .join(refs, "event_id", "left")
+        .withColumn("discovered_code_paths", list_of_path(F.col("failure_code_path")))
+        .withColumn("discovered_tables", F.to_json(F.coalesce("refs", F.array().cast("array<string>"))))
+    )
     values = {placeholder: F.col(placeholder) for placeholder in V.PROMPT_PLACEHOLDERS}
-    requests = judged.where(F.col("reason").isNull()).select(
-        "event_id", "prompt_name", "prompt_alias", "prompt_version", "model_endpoint", "temperature",
-        "max_tokens", "system_prompt", fill_template(F.col("pieces"), values).alias("user_prompt"),
+    return joined.select(
+        "event_id", *METADATA, "temperature", "max_tokens", "system_prompt",
+        fill_template(F.col("pieces"), values).alias("user_prompt"),
     )
-    return requests, judged.where(F.col("reason").isNotNull()).select("event_id", "reason")

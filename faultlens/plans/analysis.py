@@ -41,6 +41,7 @@ class Collected:
     events: DataFrame
     evidence: DataFrame
     refs: DataFrame
+    asked: DataFrame
     requests: DataFrame
     rejects: DataFrame
 
@@ -91,7 +92,7 @@ def collect(
     complete, incomplete = failures.require_keys(inputs.runs, "job_id", "run_id")
     runs = failures.qualifying_runs(complete) if only_failed else complete
     keyed = failures.heads(runs)
-    cases = keep(failures.identify(keyed, inputs.settings), "cases")
+    cases = keep(failures.identify(keyed, E.with_settings_refs(inputs.settings)), "cases")
 
     documents = failures.with_event_id(runs.withColumn("task", failures.blamed_task(F.col("tasks")))).select(
         "event_id",
@@ -118,37 +119,36 @@ def collect(
         "event_id", "error_type", "error_description"
     )
     chosen = prompts.select_prompt(inputs.prompts, prompt_name, prompt_alias)
-    requests, unasked = prompts.prompt_requests(
-        cases, E.bundle(everything), refs, chosen, prompt_name, prompt_alias
-    )
+    asked, unasked = prompts.assign_prompt(cases, chosen, prompt_name, prompt_alias)
     rejects = unasked.unionByName(
         incomplete.select(F.col("run_id").cast("string").alias("event_id"), "reason")
     )
-    known = cases.drop("settings", "task_settings").join(summary, "event_id", "left")
+    known = cases.drop("settings", "task_settings", "settings_refs").join(summary, "event_id", "left")
     return Collected(
         cases=known,
         events=align(event_rows(cases, channel), EVENTS),
         evidence=everything,
         refs=refs,
-        requests=requests,
+        asked=asked.select("event_id", *prompts.METADATA),
+        requests=prompts.prompt_requests(asked, E.bundle(everything), refs),
         rejects=rejects,
     )
 
 
 def report(
     cases: DataFrame,
-    requests: DataFrame,
+    asked: DataFrame,
     responses: DataFrame,
     attempts: DataFrame,
     channel: str = V.DEFAULT_CHANNEL,
 ) -> Reported:
     """Second phase: read answers, compose notifications, resolve delivery, write reports.
 
-    Every join is on the event id, so the event's rows stay where the first join puts them.
+    ``asked`` names the prompt each event was asked with; ``requests`` has the same columns. Every
+    join is on the event id, so an event's rows stay where the first join puts them.
     """
-    metadata = requests.select("event_id", "prompt_name", "prompt_alias", "prompt_version", "model_endpoint")
-    asked = cases.join(metadata, "event_id")
-    fields = reports.report_fields(reports.model_reports(asked, responses))
+    known = cases.join(asked.select("event_id", *prompts.METADATA), "event_id")
+    fields = reports.report_fields(reports.model_reports(known, responses))
     resolved = notify.resolve_delivery(fields, attempts, channel)
     delivery = F.to_json(
         F.struct(

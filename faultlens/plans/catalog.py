@@ -28,7 +28,14 @@ QUERIES: dict[str, Query] = {}
 def query(function: Callable) -> Callable:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         session.tune(spark)
-        return function(lambda name: samples.load(spark, folder, name))
+        loaded: dict[str, DataFrame] = {}
+
+        def table(name: str) -> DataFrame:
+            if name not in loaded:
+                loaded[name] = samples.load(spark, folder, name)
+            return loaded[name]
+
+        return function(table)
 
     run.__doc__ = function.__doc__
     QUERIES[function.__name__] = run
@@ -359,7 +366,7 @@ def _analysed(table) -> tuple[analysis.Collected, analysis.Reported]:
     collected = _collected(table)
     responses = samples.responses_for(collected.cases)
     attempts = samples.attempts_for(collected.cases, F.col("source_run_id").cast("bigint") / 10)
-    return collected, analysis.report(collected.cases, collected.requests, responses, attempts)
+    return collected, analysis.report(collected.cases, collected.asked, responses, attempts)
 
 
 @query

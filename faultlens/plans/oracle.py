@@ -282,7 +282,7 @@ CTES["table_docs"] = f"""
 TABLES = ["page_refs", "table_columns", "table_history", "table_docs"]
 
 SQL["recent_history_top5"] = """
-select table_name, rank, version, operation, day
+select table_name, cast(rank as integer) as rank, version, operation, day
 from (select *, row_number() over (partition by table_name order by version desc, ts desc, operation desc) as rank
       from (select 'lake.parts.p' || l_partkey as table_name, l_orderkey * 10 + l_linenumber as version,
               l_shipdate as ts, l_returnflag as operation, strftime(l_shipdate, '%Y-%m-%d') as day from lineitem))
@@ -346,7 +346,7 @@ REFS = [*OUTPUTS, "source_code", "codes", "event_refs"]
 EVIDENCE = [*REFS, *TABLES, "evidence"]
 
 SQL["refs_per_event_top10"] = with_tables(*REFS) + f"""
-select event_id, len(refs) as n_refs, array_to_string(refs[1:{V.MAX_TABLES_PER_EVENT}], ',') as top_refs from event_refs"""
+select event_id, cast(len(refs) as integer) as n_refs, array_to_string(refs[1:{V.MAX_TABLES_PER_EVENT}], ',') as top_refs from event_refs"""
 
 SQL["evidence_rows"] = with_tables(*EVIDENCE) + "select event_id, collector_name, detail, evidence_json from evidence"
 
@@ -357,7 +357,7 @@ CTES["bundles"] = f"""
   from evidence group by event_id"""
 
 SQL["evidence_bundle_order"] = with_tables(*EVIDENCE, "bundles") + """
-select event_id, collectors, length(evidence_bundle_json) as bundle_chars from bundles"""
+select event_id, collectors, cast(length(evidence_bundle_json) as integer) as bundle_chars from bundles"""
 
 # Prompts ---------------------------------------------------------------------------------------
 
@@ -539,7 +539,7 @@ _LINKS = (
 )
 
 SQL["as_lines"] = f"""
-select conv_id, turn, len(items) as n_lines, {_BULLETS.format('items')} as fixes, {_LINKS.format('items')} as links
+select conv_id, turn, cast(len(items) as integer) as n_lines, {_BULLETS.format('items')} as fixes, {_LINKS.format('items')} as links
 from (select *, {text_lines('lines')} as items
       from (select conv_id, turn, case turn % 3 when 0 then cast(to_json(['first', text, 'third', 'fourth']) as varchar)
                 when 1 then text else '' end as lines from conversations))"""
@@ -703,8 +703,8 @@ where rn = 1"""
 AS_OF = "date '2001-08-01'"
 
 SQL["feed_freshness"] = f"""
-select n_nationkey as vendor_id, count_if(d = {AS_OF}) as rows_on_day, cast(max(d) as varchar) as newest_day,
-  date_diff('day', max(d), {AS_OF}) as lag_days,
+select n_nationkey as vendor_id, cast(count_if(d = {AS_OF}) as bigint) as rows_on_day, cast(max(d) as varchar) as newest_day,
+  cast(date_diff('day', max(d), {AS_OF}) as integer) as lag_days,
   case when count_if(d = {AS_OF}) = 0 then 'Data quality check failed: expected rows for 2001-08-01 in ' || n_nationkey
     || ', found 0. Likely stale or missing upstream feed.' end as failure
 from nation left join (select c_nationkey, cast(o_orderdate as date) as d from orders join customer on c_custkey = o_custkey)

@@ -253,32 +253,35 @@ def part_prompts(part: DataFrame) -> DataFrame:
 # Model answers and delivery attempts -----------------------------------------------------------
 
 
-def answer_text(form: Column, said: Column, quoted: Column) -> Column:
-    """Answer in one of eight forms around a JSON object; ``quoted`` is ``said`` as a JSON string."""
-    body = F.concat(
-        F.lit('{"title": "T", "error_type": "DATA", "error_description": '),
-        quoted,
-        F.lit(', "possible_fixes": ["check input", "rerun", null, "page owner"], "confidence": "high",'
-              ' "likely_root_cause": "late feed", "evidence": [{"line": 1}], "databricks_links": "[\\"a\\", \\"b\\", \\"c\\"]"}'),
-    )
-    return (
-        F.when(form == 0, body)
-        .when(form == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-        .when(form == 2, F.concat(F.lit("Here it is: "), body, F.lit(" - as asked.")))
-        .when(form == 3, F.concat(F.lit("["), body, F.lit("]")))
-        .when(form == 4, F.lit("{'title': 'single quotes'}"))
-        .when(form == 5, said)
-        .when(form == 6, F.lit('\n {"error_type": "", "possible_fixes": "restart", "recommended_fix": "restart twice",'
-                               ' "owner_next_steps": ["ask"], "confidence": null, "missing_context": ["log"]}\t'))
-        .otherwise(F.lit('{"primary_error": "boom", "possible_fixes": [], "owner_next_steps": ["ask owner"], "evidence": 0}'))
-    )
+# Answers by form; ``said`` is quoted as JSON where the form is an object around it.
+ANSWER_HEAD = '{"title": "T", "error_type": "DATA", "error_description": '
+ANSWER_TAIL = (
+    ', "possible_fixes": ["check input", "rerun", null, "page owner"], "confidence": "high",'
+    ' "likely_root_cause": "late feed", "evidence": [{"line": 1}], "databricks_links": "[\\"a\\", \\"b\\", \\"c\\"]"}'
+)
+ANSWER_WRAPPED = {0: ("", ""), 1: ("```json\n", "\n```"), 2: ("Here it is: ", " - as asked."), 3: ("[", "]")}
+ANSWER_FIXED = {
+    4: "{'title': 'single quotes'}",
+    6: '\n {"error_type": "", "possible_fixes": "restart", "recommended_fix": "restart twice",'
+       ' "owner_next_steps": ["ask"], "confidence": null, "missing_context": ["log"]}\t',
+    7: '{"primary_error": "boom", "possible_fixes": [], "owner_next_steps": ["ask owner"], "evidence": 0}',
+}
 
 
 def with_answer(df: DataFrame, form: Column, said: Column) -> DataFrame:
-    """Add ``answer``."""
+    """Add ``answer``: one of eight forms, most of them around a JSON object."""
     listed = F.to_json(F.array(said))
-    quoted = F.substring(listed, F.lit(2), F.char_length(listed) - 2)
-    return df.withColumn("answer", answer_text(form, said, quoted))
+    body = F.concat(
+        F.lit(ANSWER_HEAD), F.substring(listed, F.lit(2), F.char_length(listed) - 2), F.lit(ANSWER_TAIL)
+    )
+    before = F.create_map(*[F.lit(v) for f, (v, _) in ANSWER_WRAPPED.items() for v in (f, v)])
+    after = F.create_map(*[F.lit(v) for f, (_, v) in ANSWER_WRAPPED.items() for v in (f, v)])
+    fixed = F.create_map(*[F.lit(v) for pair in ANSWER_FIXED.items() for v in pair])
+    form = form.cast("int")
+    return df.withColumn(
+        "answer",
+        F.when(form < 4, F.concat(before[form], body, after[form])).when(form == 5, said).otherwise(fixed[form]),
+    )
 
 
 def responses_for(cases: DataFrame) -> DataFrame:
@@ -299,44 +302,30 @@ def responses_for(cases: DataFrame) -> DataFrame:
     )
 
 
-# Per form: the kinds tried in order, with ok, HTTP status, body and error of each.
+# Attempts by form, in SQL: kind, attempt, ok, HTTP status, body, error. The first try of the
+# helper is superseded by its second.
+_FIRST = "('helper', 1, false, null, null, 'first try')"
+_NO_HELPER = f"{_FIRST}, ('helper', 2, false, null, null, 'ImportError: helper')"
 ATTEMPT_FORMS = [
-    [("helper", True, None, None, None)],
-    [("helper", False, None, None, "SlackApiError: not_in_channel")],
-    [("helper", False, None, None, "SlackApiError: channel_not_found")],
-    [("helper", False, None, None, "ImportError: helper"),
-     ("api", True, 200, '{"ok": true, "channel": "C42", "ts": "17.5"}', None)],
-    [("helper", False, None, None, "ImportError: helper"),
-     ("api", False, 200, '{"ok": false, "error": "invalid_auth"}', None), ("webhook", True, 200, "ok", None)],
-    [("helper", False, None, None, "ImportError: helper"), ("webhook", None, 200, " OK\n", None)],
-    [("helper", False, None, None, "ImportError: helper"), ("webhook", None, 500, "down", None)],
-    [],
+    f"{_FIRST}, ('helper', 2, true, null, null, null)",
+    f"{_FIRST}, ('helper', 2, false, null, null, 'SlackApiError: not_in_channel')",
+    f"{_FIRST}, ('helper', 2, false, null, null, 'SlackApiError: channel_not_found')",
+    f"""{_NO_HELPER}, ('api', 1, true, 200, '{{"ok": true, "channel": "C42", "ts": "17.5"}}', null)""",
+    f"""{_NO_HELPER}, ('api', 1, false, 200, '{{"ok": false, "error": "invalid_auth"}}', null),
+        ('webhook', 1, true, 200, 'ok', null)""",
+    f"{_NO_HELPER}, ('webhook', 1, null, 200, ' OK\\n', null)",
+    f"{_NO_HELPER}, ('webhook', 1, null, 500, 'down', null)",
+    "",
 ]
+_ATTEMPT = "struct<kind string, attempt int, ok boolean, http_status int, body string, error string>"
 
 
 def attempts_for(cases: DataFrame, number: Column, key: str = "event_id") -> DataFrame:
-    """Delivery attempts of every case in one of eight forms; each is tried twice, the last counts."""
-    kind = S.DELIVERY_ATTEMPTS
-
-    def attempt(no: int, values: tuple) -> Column:
-        name, ok, status, body, error = values
-        return F.struct(
-            F.lit(name).alias("kind"), F.lit(no).cast("int").alias("attempt"),
-            F.lit(ok).cast("boolean").alias("ok"), F.lit(status).cast("int").alias("http_status"),
-            F.lit(body).cast("string").alias("body"), F.lit(error).cast("string").alias("error"),
-        )
-
-    first = ("helper", False, None, None, "first try")
-    element = "array<struct<kind string, attempt int, ok boolean, http_status int, body string, error string>>"
-    chain = None
-    for form, tries in enumerate(ATTEMPT_FORMS):
-        items = [attempt(2, values) for values in tries]
-        if any(values[0] == "helper" for values in tries):
-            items.append(attempt(1, first))
-        listed = F.array(*items).cast(element)
-        chain = F.when(number % 8 == form, listed) if chain is None else chain.when(number % 8 == form, listed)
-    exploded = cases.select(F.col(key).cast("string").alias("event_id"), F.explode(chain).alias("a"))
-    return exploded.select("event_id", "a.*").select(*kind.fieldNames())
+    """Delivery attempts of every case in one of eight forms."""
+    forms = ", ".join(f"cast(array({rows}) as array<{_ATTEMPT}>)" for rows in ATTEMPT_FORMS)
+    tried = F.get(F.expr(f"array({forms})"), (number % 8).cast("int"))
+    exploded = cases.select(F.col(key).cast("string").alias("event_id"), F.explode(tried).alias("a"))
+    return exploded.select("event_id", "a.*").select(*S.DELIVERY_ATTEMPTS.fieldNames())
 
 
 # Feeds -----------------------------------------------------------------------------------------
