@@ -14,17 +14,6 @@ _OPTIONS = {"allowSingleQuotes": "false"}
 _JSON_SPACE = " \t\n\r"
 
 
-def strict_value(text: Column) -> Column:
-    """Compact JSON text (strings unquoted) in a one-item array; null when not strict JSON.
-
-    The lambda names the parsed pair, so the text is parsed once.
-    """
-    digest = F.md5(text)
-    pair = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')), "array<string>", _OPTIONS)
-    sound = F.filter(F.array(pair), lambda read: (F.size(read) == 2) & (F.get(read, 1) == digest))
-    return F.slice(F.get(sound, 0), 1, 1)
-
-
 def kind_of(text: Column) -> Column:
     """Kind of the JSON value in ``text`` judged by its first character (valid text assumed)."""
     first = F.left(F.btrim(text, F.lit(_JSON_SPACE)), F.lit(1))
@@ -38,6 +27,18 @@ def kind_of(text: Column) -> Column:
     )
 
 
+def strict_value(text: Column) -> Column:
+    """Compact JSON text (strings unquoted) in a one-item array; null when not strict JSON.
+
+    Text that no JSON value can start with is not parsed, and the lambda names the parsed pair, so
+    other text is parsed once.
+    """
+    digest = F.md5(text)
+    pair = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')), "array<string>", _OPTIONS)
+    sound = F.filter(F.array(pair), lambda read: (F.size(read) == 2) & (F.get(read, 1) == digest))
+    return F.when(kind_of(text).isNotNull(), F.slice(F.get(sound, 0), 1, 1))
+
+
 def strict_kind(text: Column) -> Column:
     """object, array, string, boolean, null or number; SQL null when ``text`` is not strict JSON."""
     return F.when(strict_value(text).isNotNull(), kind_of(text))
@@ -48,21 +49,15 @@ def parse(text: Column, schema: str) -> Column:
     return F.from_json(text, schema, _OPTIONS)
 
 
-def variant_text(value: Column) -> Column:
-    """A JSON value as plain text: strings as they are, null as ``None``, the rest as JSON."""
-    return F.when(F.is_variant_null(value), F.lit("None")).otherwise(value.cast("string"))
-
-
-def truthy_json(value: Column) -> Column:
-    """JSON text of the value; SQL null for null, empty, zero and false values."""
-    text = F.to_json(value)
-    empty = text.isin("null", '""', "[]", "{}", "false") | text.rlike(r"^-?0(\.0*)?([eE][-+]?\d+)?$")
-    return F.when(~empty, text)
+def is_empty(json: Column) -> Column:
+    """Whether JSON text is null, an empty text, list or object, false or zero."""
+    zero = F.substring(json, 1, 1).isin("0", "-") & json.rlike(r"^-?0(\.0*)?([eE][-+]?\d+)?$")
+    return json.isin("null", '""', "[]", "{}", "false") | zero
 
 
-def truthy_text(value: Column) -> Column:
-    """Plain text of the value; SQL null for null, empty, zero and false values."""
-    return F.when(truthy_json(value).isNotNull(), value.cast("string"))
+def truthy(json: Column, shown: Column | None = None) -> Column:
+    """``shown`` (or the JSON text itself) unless the value is empty, then SQL null."""
+    return F.when(~is_empty(json), json if shown is None else shown)
 
 
 def _items_text(array_json: Column) -> Column:

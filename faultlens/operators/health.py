@@ -76,15 +76,6 @@ def missing_tables(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     return counted.join(catalog.select("table_name").distinct(), "table_name", "left_anti")
 
 
-def failure_family(text: Column) -> Column:
-    """First family, in order of precedence, whose expression matches the text."""
-    chain = None
-    for family, pattern in V.FAILURE_PATTERNS:
-        match = text.rlike(f"(?i){pattern}")
-        chain = F.when(match, family) if chain is None else chain.when(match, family)
-    return chain.otherwise(V.OTHER_FAMILY)
-
-
 def failure_families(text: Column) -> Column:
     """Every family whose expression matches the text, in order of precedence."""
     return F.array_compact(
@@ -92,6 +83,11 @@ def failure_families(text: Column) -> Column:
     )
 
 
+def failure_family(families: Column) -> Column:
+    """The family that comes first, or the one for texts that match none."""
+    return F.coalesce(F.get(families, 0), F.lit(V.OTHER_FAMILY))
+
+
 def access_failures(probes: DataFrame) -> DataFrame:
     """Failed table probes with their error class and family."""
     none = F.lit(None).cast("string")
@@ -103,5 +99,5 @@ def access_failures(probes: DataFrame) -> DataFrame:
         "table_name",
         message.alias("message"),
         classify_error(message, none, none).alias("error_type"),
-        failure_family(F.coalesce("error_text", F.lit(""))).alias("family"),
+        failure_family(failure_families(F.coalesce("error_text", F.lit("")))).alias("family"),
     )

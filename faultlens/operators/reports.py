@@ -56,10 +56,8 @@ def parse_report(answers: DataFrame, text: Column, job_name: Column, task_key: C
     read = (
         answers.withColumn("_text", strip(F.coalesce(text, F.lit(""))))
         .withColumn("_whole", J.strict_value(F.col("_text")))
-        .withColumn(
-            "_inner",
-            F.when(F.col("_whole").isNull(), J.strict_value(F.regexp_extract("_text", r"(?s)\{.*\}", 0))),
-        )
+        .withColumn("_span", F.when(F.col("_whole").isNull(), F.regexp_extract("_text", r"(?s)\{.*\}", 0)))
+        .withColumn("_inner", J.strict_value(F.col("_span")))
     )
     whole_is_object = F.col("_whole").isNotNull() & (J.kind_of(F.col("_text")) == "object")
     fixed = _fixed_report(
@@ -79,7 +77,7 @@ def parse_report(answers: DataFrame, text: Column, job_name: Column, task_key: C
             "report_source",
             F.when(whole_is_object, "whole").when(F.col("_inner").isNotNull(), "inner").otherwise("fixed"),
         )
-        .drop("_text", "_whole", "_inner")
+        .drop("_text", "_whole", "_span", "_inner")
     )
 
 
@@ -109,53 +107,58 @@ def model_reports(cases: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
+_TEXTS = ["error_type", "error_description", "primary_error", "likely_root_cause", "recommended_fix", "confidence"]
+_VALUES = ["possible_fixes", "owner_next_steps", "evidence", "missing_context", "databricks_links"]
+
+
 def report_fields(reports: DataFrame) -> DataFrame:
     """Columns read from ``report_json``, in the forms the report row and the message need.
 
     ``*_shown`` keep what the model wrote, even when empty, and are null only for an absent field;
     the others are null when the value is empty.
     """
-    parsed = reports.withColumn("_r", J.parse(F.col("report_json"), f"struct<{_struct()}>"))
-    field = {name: F.col(f"_r.{name}") for name in V.REPORT_FIELDS}
-    texts = ["error_type", "error_description", "primary_error", "likely_root_cause", "recommended_fix", "confidence"]
-    fixes = F.coalesce(J.truthy_json(field["possible_fixes"]), F.to_json(field["recommended_fix"]))
-    return parsed.select(
+    struct = ", ".join(f"{name}: variant" for name in _TEXTS + _VALUES)
+    parsed = reports.withColumn("_r", J.parse(F.col("report_json"), f"struct<{struct}>")).select(
         *reports.columns,
-        *[J.truthy_text(field[name]).alias(f"model_{name}") for name in texts],
-        J.variant_text(field["error_type"]).alias("error_type_shown"),
-        J.variant_text(field["confidence"]).alias("confidence_shown"),
-        F.coalesce(
-            J.truthy_json(field["possible_fixes"]), J.truthy_json(field["owner_next_steps"]), F.lit("[]")
-        ).alias("possible_fixes"),
-        F.coalesce(J.truthy_json(field["evidence"]), F.lit("[]")).alias("evidence_json"),
-        F.coalesce(J.truthy_json(field["missing_context"]), F.lit("[]")).alias("missing_context"),
-        J.json_lines(fixes).alias("fix_lines"),
-        J.json_lines(F.to_json(field["databricks_links"])).alias("link_lines"),
+        *[F.to_json(f"_r.{name}").alias(f"_j_{name}") for name in _TEXTS + _VALUES],
+        *[F.col(f"_r.{name}").cast("string").alias(f"_s_{name}") for name in _TEXTS],
     )
+    json = {name: F.col(f"_j_{name}") for name in _TEXTS + _VALUES}
+    text = {name: F.col(f"_s_{name}") for name in _TEXTS}
+    lists = parsed.withColumn("_fixes", F.coalesce(J.truthy(json["possible_fixes"]), json["recommended_fix"]))
+    nothing = F.lit("[]")
 
+    def shown(name: str) -> Column:
+        return F.when(json[name] == "null", F.lit("None")).otherwise(text[name])
 
-def _struct() -> str:
-    return ", ".join(f"{name}: variant" for name in V.REPORT_FIELDS)
+    return lists.select(
+        *reports.columns,
+        *[J.truthy(json[name], text[name]).alias(f"model_{name}") for name in _TEXTS],
+        shown("error_type").alias("error_type_shown"),
+        shown("confidence").alias("confidence_shown"),
+        F.coalesce(J.truthy(json["possible_fixes"]), J.truthy(json["owner_next_steps"]), nothing).alias("possible_fixes"),
+        F.coalesce(J.truthy(json["evidence"]), nothing).alias("evidence_json"),
+        F.coalesce(J.truthy(json["missing_context"]), nothing).alias("missing_context"),
+        J.json_lines(F.col("_fixes")).alias("fix_lines"),
+        J.json_lines(json["databricks_links"]).alias("link_lines"),
+    )
 
 
 def attach(report_json: Column, prompt: Column, delivery: Column) -> Column:
-    """Report with prompt metadata and delivery result added; top-level keys sorted, last one wins."""
-    fields = J.parse(report_json, "map<string, variant>")
-    entries = F.map_entries(fields)
-    extra = {"prompt_metadata": prompt, "slack_notification": delivery}
-    keys = F.sort_array(
-        F.array_union(F.array_distinct(F.map_keys(fields)), F.array(*[F.lit(name) for name in extra]))
-    )
+    """Report with prompt metadata and delivery result added.
 
-    def value(key: Column) -> Column:
-        written = F.element_at(F.filter(entries, lambda e: e["key"] == key), -1)["value"]
-        chain = None
-        for name, struct in extra.items():
-            step = F.to_variant_object(struct)
-            chain = F.when(key == name, step) if chain is None else chain.when(key == name, step)
-        return chain.otherwise(written)
-
-    return F.to_json(F.map_from_arrays(keys, F.transform(keys, value)))
+    They are appended to the object's text. A model that wrote one of these keys itself loses its
+    value, which takes reading the object.
+    """
+    extra = {"prompt_metadata": F.to_json(prompt), "slack_notification": F.to_json(delivery)}
+    clash = F.lit(False)
+    for name in extra:
+        clash = clash | F.contains(report_json, F.lit(f'"{name}"'))
+    kept = F.map_filter(J.parse(report_json, "map<string, variant>"), lambda key, _: ~key.isin(*extra))
+    base = F.when(clash, F.to_json(kept)).otherwise(report_json)
+    added = F.concat_ws(",", *[F.concat(F.lit(f'"{name}":'), json) for name, json in extra.items()])
+    comma = F.when(base == "{}", F.lit("")).otherwise(F.lit(","))
+    return F.concat(F.substring(base, F.lit(1), F.char_length(base) - 1), comma, added, F.lit("}"))
 
 
 def report_rows(reports: DataFrame) -> DataFrame:

@@ -458,11 +458,11 @@ def _output_texts(table) -> DataFrame:
 
 @query
 def failure_pattern_tags(table) -> DataFrame:
-    error = F.col("error")
-    return _output_texts(table).select(
+    tagged = _output_texts(table).select("run_id", health.failure_families(F.col("error")).alias("found"))
+    return tagged.select(
         "run_id",
-        health.failure_family(error).alias("family"),
-        F.array_join(health.failure_families(error), ",").alias("families"),
+        health.failure_family(F.col("found")).alias("family"),
+        F.array_join("found", ",").alias("families"),
     )
 
 

@@ -611,19 +611,14 @@ SQL["delivery_status"] = f"select cast(event_id as varchar) as event_id, {delive
 def report_columns(created: str) -> str:
     metadata = "to_json({'model_endpoint': model_endpoint, 'prompt_alias': prompt_alias, 'prompt_name': prompt_name, 'prompt_version': prompt_version})"
     result = "to_json({'channel_id': slack_channel_id, 'error': slack_error, 'message_ts': slack_message_ts, 'status': slack_notification_status})"
-    keys = "list_sort(list_concat(json_keys(report_json), ['prompt_metadata', 'slack_notification']))"
-    entry = (
-        f"cast(to_json(k) as varchar) || ':' || case k when 'prompt_metadata' then cast({metadata} as varchar) "
-        f"when 'slack_notification' then cast({result} as varchar) "
-        "else cast(json_extract(report_json, '$.' || k) as varchar) end"
-    )
     return f"""event_id, source_job_id, source_run_id, source_job_name, failed_task_key, failed_task_run_id,
   coalesce(model_error_type, rule_type) as error_type,
   coalesce(model_error_description, model_primary_error, rule_description) as error_description,
   coalesce(model_likely_root_cause, '') as likely_root_cause, possible_fixes,
   coalesce(model_recommended_fix, '') as recommended_fix, coalesce(model_confidence, '') as confidence,
   evidence_list as evidence_json, missing_context,
-  '{{' || array_to_string(list_transform({keys}, lambda k: {entry}), ',') || '}}' as report_json,
+  left(report_json, length(report_json) - 1) || ',"prompt_metadata":' || cast({metadata} as varchar)
+    || ',"slack_notification":' || cast({result} as varchar) || '}}' as report_json,
   {created} as created_at, slack_channel_id, slack_notification_status, slack_message_ts, slack_error"""
 
 

@@ -112,7 +112,7 @@ def event_runs(events: DataFrame) -> DataFrame:
         (F.col("user_id") * 11).alias("job_id"),
         F.when(n % 4 != 0, join_text("run of job ", F.col("user_id"))).alias("run_name"),
         F.col("ts").cast("timestamp").alias("event_ts"),
-        F.transform(F.sequence(F.lit(0).cast("bigint"), n % 3), task).cast(S.RUNS["tasks"].dataType).alias("tasks"),
+        F.transform(F.sequence(F.lit(0).cast("bigint"), n % 3), task).alias("tasks"),
     )
 
 
