@@ -60,8 +60,8 @@ def default_prompt(spark: SparkSession) -> DataFrame:
         "user_prompt_template": V.DEFAULT_USER_TEMPLATE,
         "notes": "Default prompt for failed runs.",
     }
-    columns = [F.lit(value).alias(name) for name, value in row.items()]
-    return spark.range(1).select(*columns, now.alias("created_at"), now.alias("updated_at"))
+    shipped = spark.createDataFrame([tuple(row.values())], ", ".join(f"{name} string" for name in row))
+    return shipped.select("*", now.alias("created_at"), now.alias("updated_at"))
 
 
 def missing_prompts(defaults: DataFrame, prompts: DataFrame, least_version: int = 2) -> DataFrame:
@@ -123,28 +123,35 @@ def assign_prompt(
 ) -> tuple[DataFrame, DataFrame]:
     """Cases with the prompt they are asked with, and rejected events with the reason.
 
-    ``prompt`` is the outcome of ``select_prompt``: at most one row, hence the broadcast. Its
-    template is cut once, before it meets the cases.
+    ``prompt`` is the outcome of ``select_prompt``: at most one row, read as a scalar subquery, so
+    the cases are not joined or moved. Its template is cut once, before it meets the cases.
     """
-    chosen = model_settings(prompt).withColumn("pieces", template_pieces(F.col("user_prompt_template")))
-    chosen = chosen.withColumn("piece_error", template_error(F.col("pieces"))).select(
-        *METADATA, "temperature", "max_tokens", "system_prompt", "pieces", "settings_error", "piece_error"
+    pieces = template_pieces(F.col("user_prompt_template"))
+    fields = [*METADATA, "temperature", "max_tokens", "system_prompt", "settings_error"]
+    chosen = model_settings(prompt).select(
+        F.struct(*fields, pieces.alias("pieces"), template_error(pieces).alias("piece_error")).alias("prompt")
     )
-    narrow = cases.select(
+    judged = cases.select(
         "event_id", "source_job_id", "source_run_id", "source_job_name", "failed_task_key",
         F.coalesce(F.col("task_run_id").cast("string"), F.lit("")).alias("failed_task_run_id"),
         "failure_code_path",
-        F.lit(name).alias("prompt_name"),
-        F.lit(alias).alias("prompt_alias"),
+        chosen.scalar().alias("prompt"),
     )
     reason = (
-        F.when(F.col("pieces").isNull(), F.lit(f"No active RCA prompt found for {name}@{alias}"))
-        .when(F.col("settings_error").isNotNull(), F.col("settings_error"))
-        .when(F.col("piece_error").isNotNull(), F.concat(F.lit("unknown placeholder "), F.col("piece_error")))
+        F.when(F.col("prompt").isNull(), F.lit(f"{V.NO_PROMPT} {name}@{alias}"))
+        .when(F.col("prompt.settings_error").isNotNull(), F.col("prompt.settings_error"))
+        .when(
+            F.col("prompt.piece_error").isNotNull(),
+            F.concat(F.lit("unknown placeholder "), F.col("prompt.piece_error")),
+        )
     )
-    judged = narrow.join(F.broadcast(chosen), ["prompt_name", "prompt_alias"], "left").withColumn("reason", reason)
+    judged = judged.withColumn("reason", reason)
     rejected = judged.where(F.col("reason").isNotNull()).select("event_id", "reason")
-    return judged.where(F.col("reason").isNull()).drop("reason", "settings_error", "piece_error"), rejected
+    keys = [name for name in judged.columns if name not in ("prompt", "reason")]
+    accepted = judged.where(F.col("reason").isNull()).select(
+        *keys, *[f"prompt.{name}" for name in [*METADATA, "temperature", "max_tokens", "system_prompt", "pieces"]]
+    )
+    return accepted, rejected
 
 
 def prompt_requests(asked: DataFrame, bundles: DataFrame, refs: DataFrame) -> DataFrame:
