@@ -87,8 +87,8 @@ def output_evidence(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     """Outputs of the root run and of the blamed task, found with one join.
 
     Each case asks for two run ids; a case without a task run id asks for one and gets a warning
-    in place of the other. The row of the blamed task also carries the error class and
-    description.
+    in place of the other. Texts are shortened before the join, which bounds what it moves. The
+    row of the blamed task also carries the error class and description.
     """
     asked = cases.select(
         *KEYS,
@@ -103,19 +103,22 @@ def output_evidence(cases: DataFrame, outputs: DataFrame) -> DataFrame:
             )
         ).alias("asked"),
     )
-    found = unique_lookup(asked, outputs.withColumn("present", F.lit(True)), F.col("asked.id"), "run_id", F.col("event_id"))
-    asked_id = F.col("asked.id").cast("string")
 
     def part(name: str) -> Column:
-        return F.when(F.col(name).isNotNull(), truncate(F.col(name), V.RUN_OUTPUT_LIMIT))
+        return F.when(F.col(name).isNotNull(), truncate(F.col(name), V.RUN_OUTPUT_LIMIT)).alias(name)
 
+    short = outputs.select(
+        "run_id", part("error"), part("logs"), part("notebook_output"), "output_json", F.lit(True).alias("present")
+    )
+    found = unique_lookup(asked, short, F.col("asked.id"), "run_id", F.col("event_id"))
+    asked_id = F.col("asked.id").cast("string")
     missing = F.concat(F.lit("LookupError: no output recorded for run "), asked_id)
     absent = F.col("present").isNull() & asked_id.isNotNull()
     document = F.struct(
-        F.when(absent, missing).otherwise(part("error")).alias("error"),
-        part("logs").alias("logs"),
-        part("notebook_output").alias("notebook_output"),
-        F.col("output_json"),
+        F.when(absent, missing).otherwise(F.col("error")).alias("error"),
+        "logs",
+        "notebook_output",
+        "output_json",
         F.when(asked_id.isNull(), F.lit(V.NO_TASK_RUN_ID)).alias("warning"),
     )
     shown = found.withColumn("doc", document).withColumn("text", F.to_json("doc"))
@@ -167,7 +170,8 @@ def _as_text(source_code: DataFrame) -> Column:
 def event_refs(rows: DataFrame) -> DataFrame:
     """Sorted distinct references per event over the rows of its (at most six) collectors."""
     return rows.groupBy("event_id").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs")
+        *[F.max(name).alias(name) for name in KEYS if name != "event_id"],
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs"),
     )
 
 
@@ -227,12 +231,10 @@ def table_documents(columns: DataFrame, history: DataFrame, details: DataFrame)
     )
 
 
-def table_evidence(cases: DataFrame, refs: DataFrame, tables: DataFrame) -> DataFrame:
+def table_evidence(refs: DataFrame, tables: DataFrame) -> DataFrame:
     """Table documents of the first ten references of an event; a table may be referenced by many."""
     top = F.slice("refs", 1, V.MAX_TABLES_PER_EVENT)
-    asked = cases.select(*KEYS).join(
-        refs.where(F.size("refs") > 0).select("event_id", F.explode(top).alias("ref")), "event_id"
-    )
+    asked = refs.select(*KEYS, F.explode(top).alias("ref"))
     found = spread_lookup(asked, tables, F.col("ref"), "table_name", F.col("event_id"))
     missing = F.to_json(
         F.struct(

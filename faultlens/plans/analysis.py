@@ -87,7 +87,8 @@ def collect(
 ) -> Collected:
     """First phase: identify, gather evidence, render requests.
 
-    ``keep`` writes the two frames that several outputs share, so they are computed once.
+    ``keep`` writes the frames that several outputs share, so they are computed once. Runs are
+    unique by job, run and ``event_ts``; each lookup table is unique by its key.
     """
     complete, incomplete = failures.require_keys(inputs.runs, "job_id", "run_id")
     runs = failures.qualifying_runs(complete) if only_failed else complete
@@ -107,12 +108,12 @@ def collect(
         .unionByName(E.code_evidence(cases, inputs.source_code)),
         "evidence",
     )
-    refs = E.event_refs(found)
+    refs = keep(E.event_refs(found), "refs")
     tables = E.table_documents(inputs.table_columns, inputs.table_history, inputs.table_details)
     plain = [*E.KEYS, "ord", "detail", "collector_name", "evidence_json"]
     everything = (
         found.select(*plain)
-        .unionByName(E.table_evidence(cases, refs, tables))
+        .unionByName(E.table_evidence(refs, tables))
         .unionByName(E.summary_evidence(found))
     )
     summary = found.where(F.col("collector_name") == V.FAILED_TASK_OUTPUT).select(
@@ -130,7 +131,7 @@ def collect(
         evidence=everything,
         refs=refs,
         asked=asked.select("event_id", *prompts.METADATA),
-        requests=prompts.prompt_requests(asked, E.bundle(everything), refs),
+        requests=prompts.prompt_requests(asked, E.bundle(everything), refs.select("event_id", "refs")),
         rejects=rejects,
     )
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from faultlens.operators.failures import qualifying_runs
+from faultlens.plans import analysis
 
 
 def qualifying_stream(runs: DataFrame) -> DataFrame:
@@ -38,3 +40,23 @@ def batch_writer(folder: str, transform: Callable[[DataFrame], DataFrame]) -> Ca
         transform(batch).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
     return write
+
+
+def analysis_writer(inputs: analysis.Inputs, folder: str, *prompt: str) -> Callable[[DataFrame, int], None]:
+    """Run the first phase of the analysis on each batch; ``inputs.runs`` is replaced by the batch.
+
+    Every output table has one folder per batch, so a replayed batch replaces what it wrote.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        collected = analysis.collect(replace(inputs, runs=batch), *prompt)
+        outputs = {
+            "events": collected.events,
+            "evidence": analysis.evidence_rows(collected.evidence),
+            "prompt_requests": collected.requests,
+            "rejects": collected.rejects,
+        }
+        for name, frame in outputs.items():
+            frame.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
+
+    return write

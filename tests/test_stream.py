@@ -46,3 +46,18 @@ def test_only_new_files_are_analysed(spark, tmp_path):
     events.where(errors).write.mode("append").parquet(f"{tmp_path}/in")
     run()
     assert sum(seen) == 2 * first
+
+
+def test_each_batch_is_analysed_in_full(spark, tmp_path):
+    from tests.test_pipeline import inputs
+
+    known = inputs(spark)
+    known.runs.where("run_id is not null").write.parquet(f"{tmp_path}/in")
+    write = failed_runs.analysis_writer(known, f"{tmp_path}/out", "p", "a")
+    stream = spark.readStream.schema(known.runs.schema).parquet(f"{tmp_path}/in")
+    failed_runs.on_failures(stream, write, f"{tmp_path}/checkpoint").awaitTermination()
+    counts = {n: spark.read.parquet(f"{tmp_path}/out/{n}").count() for n in ("events", "evidence", "prompt_requests", "rejects")}
+    assert counts == {"events": 3, "evidence": 17 + 7 + 7 + 1, "prompt_requests": 3, "rejects": 0}
+    replayed = spark.read.schema(known.runs.schema).parquet(f"{tmp_path}/in")
+    write(failures.qualifying_runs(replayed), 0)
+    assert spark.read.parquet(f"{tmp_path}/out/events").count() == 3
