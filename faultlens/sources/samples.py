@@ -169,10 +169,12 @@ def page_refs(pages: DataFrame) -> DataFrame:
 
 
 def snapshot_columns(pages: DataFrame, customer: DataFrame) -> DataFrame:
-    """Columns of the tables named in pages, and of one sales table per customer."""
-    named = page_refs(pages).groupBy("table_name").agg(F.min("page_id").alias("first_page"))
+    """Columns of the tables that several pages name, and of one sales table per customer."""
+    named = page_refs(pages).groupBy("table_name").agg(
+        F.min("page_id").alias("first_page"), F.count("*").alias("pages")
+    )
     width = 1 + F.col("first_page") % 3
-    of_pages = named.where(F.col("first_page") % 4 != 3).select(
+    of_pages = named.where(F.col("pages") > 1).select(
         "table_name", F.explode(F.sequence(F.lit(1).cast("bigint"), width)).alias("ordinal")
     )
     of_sales = customer.select(
