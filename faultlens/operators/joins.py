@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def salts_for(df: DataFrame) -> int:
-    """Pieces a key is spread over; follows the partition count the cluster is set to."""
+    """Pieces a key is spread over; follows the partition count the cluster is set to.
+
+    Sixteen at most: the repeated lookup should stay small enough for Spark to broadcast it where
+    the plain one would be, and adaptive execution splits a piece that is still too large.
+    """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(64, max(2, partitions // 8))
+    return min(16, max(2, partitions // 8))
 
 
 def spread_lookup(

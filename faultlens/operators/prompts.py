@@ -127,16 +127,13 @@ def assign_prompt(
     the cases are not joined or moved. Its template is cut once, before it meets the cases.
     """
     pieces = template_pieces(F.col("user_prompt_template"))
-    fields = [*METADATA, "temperature", "max_tokens", "system_prompt", "settings_error"]
+    fields = [*METADATA, "temperature", "max_tokens", "system_prompt"]
     chosen = model_settings(prompt).select(
-        F.struct(*fields, pieces.alias("pieces"), template_error(pieces).alias("piece_error")).alias("prompt")
-    )
-    judged = cases.select(
-        "event_id", "source_job_id", "source_run_id", "source_job_name", "failed_task_key",
-        F.coalesce(F.col("task_run_id").cast("string"), F.lit("")).alias("failed_task_run_id"),
-        "failure_code_path",
-        chosen.scalar().alias("prompt"),
+        F.struct(
+            *fields, pieces.alias("pieces"), "settings_error", template_error(pieces).alias("piece_error")
+        ).alias("prompt")
     )
+    judged = cases.withColumn("prompt", chosen.scalar())
     reason = (
         F.when(F.col("prompt").isNull(), F.lit(f"{V.NO_PROMPT} {name}@{alias}"))
         .when(F.col("prompt.settings_error").isNotNull(), F.col("prompt.settings_error"))
@@ -147,9 +144,8 @@ def assign_prompt(
     )
     judged = judged.withColumn("reason", reason)
     rejected = judged.where(F.col("reason").isNotNull()).select("event_id", "reason")
-    keys = [name for name in judged.columns if name not in ("prompt", "reason")]
     accepted = judged.where(F.col("reason").isNull()).select(
-        *keys, *[f"prompt.{name}" for name in [*METADATA, "temperature", "max_tokens", "system_prompt", "pieces"]]
+        *cases.columns, *[f"prompt.{field}" for field in [*fields, "pieces"]]
     )
     return accepted, rejected
 
@@ -159,6 +155,7 @@ def prompt_requests(asked: DataFrame, bundles: DataFrame, refs: DataFrame) -> Da
     joined = (
         asked.join(bundles, "event_id", "left")
         .join(refs, "event_id", "left")
+        .withColumn("failed_task_run_id", F.coalesce(F.col("task_run_id").cast("string"), F.lit("")))
         .withColumn("discovered_code_paths", list_of_path(F.col("failure_code_path")))
         .withColumn("discovered_tables", F.to_json(F.coalesce("refs", F.array().cast("array<string>"))))
     )

@@ -35,9 +35,12 @@ class Inputs:
 
 @dataclass(frozen=True)
 class Collected:
-    """Outcome of the first phase: what is known before the model is asked."""
+    """Outcome of the first phase: what is known before the model is asked.
+
+    ``asked`` holds the cases that have a request, with their error class and prompt; it is what the
+    second phase starts from and is to be stored when the phases run apart.
+    """
 
-    cases: DataFrame
     events: DataFrame
     evidence: DataFrame
     refs: DataFrame
@@ -87,9 +90,13 @@ def collect(
 ) -> Collected:
     """First phase: identify, gather evidence, render requests.
 
+    Parameters are stripped and an empty channel means the default one.
+
     ``keep`` writes the frames that several outputs share, so they are computed once. Runs are
     unique by job, run and ``event_ts``; each lookup table is unique by its key.
     """
+    prompt_name, prompt_alias = prompt_name.strip(), prompt_alias.strip()
+    channel = channel.strip() or V.DEFAULT_CHANNEL
     complete, incomplete = failures.require_keys(inputs.runs, "job_id", "run_id")
     runs = failures.qualifying_runs(complete) if only_failed else complete
     keyed = failures.heads(runs)
@@ -120,36 +127,30 @@ def collect(
         "event_id", "error_type", "error_description"
     )
     chosen = prompts.select_prompt(inputs.prompts, prompt_name, prompt_alias)
-    asked, unasked = prompts.assign_prompt(cases, chosen, prompt_name, prompt_alias)
-    rejects = unasked.unionByName(
-        incomplete.select(F.col("run_id").cast("string").alias("event_id"), "reason")
-    )
-    known = cases.drop("settings", "task_settings", "settings_refs").join(summary, "event_id", "left")
+    narrow = cases.drop("settings", "task_settings", "settings_refs")
+    accepted, unasked = prompts.assign_prompt(narrow, chosen, prompt_name, prompt_alias)
+    asked = accepted.drop("temperature", "max_tokens", "system_prompt", "pieces").join(summary, "event_id", "left")
     return Collected(
-        cases=known,
-        events=align(event_rows(cases, channel), EVENTS),
+        events=align(event_rows(narrow, channel), EVENTS),
         evidence=everything,
         refs=refs,
-        asked=asked.select("event_id", *prompts.METADATA),
-        requests=prompts.prompt_requests(asked, E.bundle(everything), refs.select("event_id", "refs")),
-        rejects=rejects,
+        asked=asked,
+        requests=prompts.prompt_requests(accepted, E.bundle(everything), refs.select("event_id", "refs")),
+        rejects=unasked.unionByName(
+            incomplete.select(F.col("run_id").cast("string").alias("event_id"), "reason")
+        ),
     )
 
 
 def report(
-    cases: DataFrame,
-    asked: DataFrame,
-    responses: DataFrame,
-    attempts: DataFrame,
-    channel: str = V.DEFAULT_CHANNEL,
+    asked: DataFrame, responses: DataFrame, attempts: DataFrame, channel: str = V.DEFAULT_CHANNEL
 ) -> Reported:
     """Second phase: read answers, compose notifications, resolve delivery, write reports.
 
-    ``asked`` names the prompt each event was asked with; ``requests`` has the same columns. Every
-    join is on the event id, so an event's rows stay where the first join puts them.
+    Every join is on the event id, so an event's rows stay where the first join puts them.
     """
-    known = cases.join(asked.select("event_id", *prompts.METADATA), "event_id")
-    fields = reports.report_fields(reports.model_reports(known, responses))
+    channel = channel.strip() or V.DEFAULT_CHANNEL
+    fields = reports.report_fields(reports.model_reports(asked, responses))
     resolved = notify.resolve_delivery(fields, attempts, channel)
     delivery = F.to_json(
         F.struct(

@@ -364,9 +364,9 @@ def latest_report_per_job(table) -> DataFrame:
 
 def _analysed(table) -> tuple[analysis.Collected, analysis.Reported]:
     collected = _collected(table)
-    responses = samples.responses_for(collected.cases)
-    attempts = samples.attempts_for(collected.cases, F.col("source_run_id").cast("bigint") / 10)
-    return collected, analysis.report(collected.cases, collected.asked, responses, attempts)
+    responses = samples.responses_for(collected.asked)
+    attempts = samples.attempts_for(collected.asked, F.col("source_run_id").cast("bigint") / 10)
+    return collected, analysis.report(collected.asked, responses, attempts)
 
 
 @query
@@ -379,7 +379,7 @@ def analysis_reports(table) -> DataFrame:
 def sink_round_trip(table) -> DataFrame:
     """Append all output tables to a fresh folder, read them back and summarise each."""
     collected, reported = _analysed(table)
-    spark = collected.cases.sparkSession
+    spark = collected.asked.sparkSession
     folder = session.fresh_folder(spark, "tables")
     analysis.write_folder(collected, reported, folder)
     sink.append_path(samples.part_prompts(table("part")), schemas.PROMPTS, f"{folder}/prompts")

@@ -11,7 +11,7 @@ from faultlens import fixed_values as V
 from faultlens import schemas as S
 from faultlens.operators import prompts as P
 from faultlens.plans import analysis
-from faultlens.sources.readers import runs_from_documents
+from faultlens.sources.readers import runs_from_documents, settings_from_documents
 from tests.test_failures import task
 
 WHEN = datetime(2024, 1, 1, 0, 0, 7)
@@ -149,14 +149,14 @@ def test_events_that_cannot_be_asked(spark, template, prompt, reason):
 
 
 def test_reports(spark, collected):
-    ids = {r.source_run_id: r.event_id for r in collected.cases.collect()}
+    ids = {r.source_run_id: r.event_id for r in collected.asked.collect()}
     answer = json.dumps({"error_type": "", "possible_fixes": "restart", "confidence": ["a"], "prompt_metadata": 1})
     content = lambda text: [Row(message=Row(content=text))]
     responses = spark.createDataFrame(
         [(ids["1"], content(answer), None, None, None), (ids["2"], None, ["words"], None, None)], S.MODEL_RESPONSES
     )
     attempts = spark.createDataFrame([(ids["1"], "helper", 1, True, None, None, None)], S.DELIVERY_ATTEMPTS)
-    out = analysis.report(collected.cases, collected.requests, responses, attempts)
+    out = analysis.report(collected.asked, responses, attempts)
     rows = {r.source_run_id: r for r in out.reports.collect()}
     assert out.reports.columns == S.REPORTS.fieldNames()
     one = rows["1"]
@@ -180,6 +180,13 @@ def test_run_documents_in_json(spark):
     assert by_id[None].tasks is None
 
 
+def test_settings_documents_in_json(spark):
+    text = json.dumps({"settings": {"name": "n", "tasks": [{"task_key": "t", "spark_python_task": {"python_file": "/f"}}]}})
+    frame = spark.createDataFrame([("7", text), ("8", "{}")], "job string, details string")
+    rows = {r.job_id: r.settings for r in settings_from_documents(frame, "job", "details").collect()}
+    assert rows[7].name == "n" and rows[7].tasks[0].spark_python_task == {"python_file": "/f"} and rows[8] is None
+
+
 def test_default_template_is_complete(spark):
     pieces = P.template_pieces(F.lit(V.DEFAULT_USER_TEMPLATE))
     row = spark.range(1).select(P.template_error(pieces).alias("e"), pieces.alias("p")).first()
