@@ -40,9 +40,9 @@ def active_prompts(prompts: DataFrame, numeric_version: bool = False, tie_break:
 
 
 def select_prompt(prompts: DataFrame, name: str, alias: str, numeric_version: bool = False) -> DataFrame:
-    """Active prompt of one (name, alias): no or one row."""
-    chosen = prompts.where((F.col("prompt_name") == name) & (F.col("prompt_alias") == alias) & is_active())
-    return chosen.orderBy(*[c.desc() for c in _precedence(numeric_version)]).limit(1)
+    """Active prompt of one (name, alias): no or one row. The filter on both reaches the scan."""
+    named = prompts.where((F.col("prompt_name") == name) & (F.col("prompt_alias") == alias))
+    return active_prompts(named, numeric_version)
 
 
 def default_prompt(spark: SparkSession) -> DataFrame:
@@ -128,21 +128,15 @@ def assign_prompt(
     """
     pieces = template_pieces(F.col("user_prompt_template"))
     fields = [*METADATA, "temperature", "max_tokens", "system_prompt"]
-    chosen = model_settings(prompt).select(
-        F.struct(
-            *fields, pieces.alias("pieces"), "settings_error", template_error(pieces).alias("piece_error")
-        ).alias("prompt")
+    cut = model_settings(prompt).withColumn("pieces", pieces)
+    bad_piece = F.concat(F.lit("unknown placeholder "), template_error(F.col("pieces")))
+    chosen = cut.select(
+        F.struct(*fields, "pieces", F.coalesce("settings_error", bad_piece).alias("problem")).alias("prompt")
     )
-    judged = cases.withColumn("prompt", chosen.scalar())
-    reason = (
-        F.when(F.col("prompt").isNull(), F.lit(f"{V.NO_PROMPT} {name}@{alias}"))
-        .when(F.col("prompt.settings_error").isNotNull(), F.col("prompt.settings_error"))
-        .when(
-            F.col("prompt.piece_error").isNotNull(),
-            F.concat(F.lit("unknown placeholder "), F.col("prompt.piece_error")),
-        )
+    problem = F.when(F.col("prompt").isNull(), F.lit(f"{V.NO_PROMPT} {name}@{alias}")).otherwise(
+        F.col("prompt.problem")
     )
-    judged = judged.withColumn("reason", reason)
+    judged = cases.withColumn("prompt", chosen.scalar()).withColumn("reason", problem)
     rejected = judged.where(F.col("reason").isNotNull()).select("event_id", "reason")
     accepted = judged.where(F.col("reason").isNull()).select(
         *cases.columns, *[f"prompt.{field}" for field in [*fields, "pieces"]]
