@@ -60,7 +60,7 @@ def default_prompt(spark: SparkSession) -> DataFrame:
         "user_prompt_template": V.DEFAULT_USER_TEMPLATE,
         "notes": "Default prompt for failed runs.",
     }
-    shipped = spark.createDataFrame([tuple(row.values())], ", ".join(f"{name} string" for name in row))
+    shipped = spark.range(1).select(F.inline(F.array(F.struct(*[F.lit(v).alias(n) for n, v in row.items()]))))
     return shipped.select("*", now.alias("created_at"), now.alias("updated_at"))
 
 
