@@ -12,8 +12,11 @@ from array import array
 # The word pattern of the byte-level vocabulary (a fixed value of that vocabulary).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-PIECES_KEPT = 500_000
-WORDS_KEPT = 300_000
+# Marks that are a word of their own after a word of letters.
+ENDS = frozenset(".,:;!?")
+
+PIECES_KEPT = 800_000
+WORDS_KEPT = 100_000
 
 
 class CachedEncoder:
@@ -23,11 +26,16 @@ class CachedEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         import regex
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        vocabulary = self._tokenizer.get_vocab()
+        self._starts_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        # The byte-level alphabet writes a space as this letter.
+        self._starts_word[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self._words_of = regex.compile(WORD_PATTERN).findall
         self._wide_space = regex.compile(r"\s\s").search
         self._pieces: dict[str, bytes] = {}
@@ -48,17 +56,39 @@ class CachedEncoder:
         self._learn_words(words)
         return b"".join(map(self._words.__getitem__, words))
 
+    def _learn_plain(self, words: list[str]) -> None:
+        """Pieces of letters only: each is one word, so many go through the library as one text.
+
+        Every word starts with its space, and ids that start with a space show where the words part.
+        """
+        import numpy as np
+
+        ids = np.array(self._tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        starts = (np.flatnonzero(self._starts_word[ids]) * 4).tolist()
+        code = ids.tobytes()
+        for word, at, stop in zip(words, starts, [*starts[1:], len(code)], strict=True):
+            self._pieces[word] = code[at:stop]
+
     def _learn_pieces(self, pieces) -> None:
         new = set(pieces).difference(self._pieces)
         if not new:
             return
-        if len(self._pieces) + len(new) > PIECES_KEPT:
+        if len(self._pieces) + 2 * len(new) > PIECES_KEPT:
             self._pieces.clear()
             new = set(pieces)
-        # A piece follows a space, which belongs to the first word after it.
-        split = {piece: self._words_of(" " + piece) for piece in new}
-        self._learn_words([word for words in split.values() for word in words])
+        plain = {piece for piece in new if piece.isalpha()}
+        rest = new - plain
+        ended = {piece for piece in rest if piece[-1:] in ENDS and piece[:-1].isalpha()}
+        plain.update(piece[:-1] for piece in ended)
+        plain = plain.difference(self._pieces)
+        if plain:
+            self._learn_plain(list(plain))
+        # Other pieces follow a space as well, which belongs to their first word.
+        split = {piece: self._words_of(" " + piece) for piece in rest - ended}
+        self._learn_words([*ENDS, *(word for words in split.values() for word in words)])
         known = self._words.__getitem__
+        for piece in ended:
+            self._pieces[piece] = self._pieces[piece[:-1]] + known(piece[-1])
         for piece, words in split.items():
             self._pieces[piece] = b"".join(map(known, words))
 
