@@ -139,14 +139,14 @@ def deduplicated(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
 
     def key(doc_id: Column, length: Column, digest: Column) -> list[Column]:
         # Without nulls, so that the join and the removal of repeated rows share one shuffle.
-        return [doc_id.isNull().alias("_no_id"), F.coalesce(doc_id, F.lit(0)).alias("_id"),
-                length.alias("_n"), digest.alias("_sha")]
+        return [doc_id.isNull().alias("__exact_no_id"), F.coalesce(doc_id, F.lit(0)).alias("__exact_id"),
+                length.alias("__exact_n"), digest.alias("__exact_sha")]
 
     text = F.col(text_column)
     length = F.char_length(F.coalesce(text, F.lit(""))).cast("bigint")
     own = docs.select("*", *key(F.col(id_column), length, F.sha2(normalised(text), 256)))
     stay = classes(docs, id_column=id_column, text_column=text_column, **options).where("kept")
     stay = stay.select(*key(F.col("doc_id"), F.col("n_original"), F.col("text_sha256")))
-    names = ["_no_id", "_id", "_n", "_sha"]
+    names = ["__exact_no_id", "__exact_id", "__exact_n", "__exact_sha"]
     # A row that repeats whole has one decision; one of its rows stays.
     return own.join(stay, names, "left_semi").dropDuplicates(names).select(*docs.columns)

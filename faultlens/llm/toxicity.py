@@ -5,7 +5,7 @@ ones don't, one the other way round; both follow the same background, trained on
 what the classes share costs the same in both. A document is cut into windows of a few words, each
 window is compressed with either dictionary, and the difference in length is its margin. A document's
 largest margins, with its number of windows, go through a logistic calibration fitted on labelled
-documents that the dictionaries have not seen; a fixed threshold on that score decides.
+documents by dictionaries that have not seen them; a fixed threshold on that score decides.
 
 What a class says is counted by distinct contexts (a word with the word before it), so that copies of a
 document teach no more than one. Labelled rows are read up to a bound for each part (parameters of
@@ -22,6 +22,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from heapq import nlargest
 
 from pyspark.sql import Column, DataFrame
@@ -32,18 +33,17 @@ from faultlens.session import stage
 WORDS_PER_WINDOW = 8
 TOP_MARGINS = 3
 THRESHOLD = 0.7
-# Labelled documents of each class that teach the dictionaries, and that calibrate.
-DICTIONARY_DOCUMENTS = 2_000
-CALIBRATION_DOCUMENTS = 3_000
+# Labelled documents of each class in each half of the sample.
+DOCUMENTS = 2_000
 # Contexts a word needs to count at all, and words that are kept.
-LEAST_CONTEXTS = 8
+LEAST_CONTEXTS = 6
 MOST_WORDS = 30_000
 # A word belongs to a class when it is this many times as frequent there (log), with at least this
 # share of the evidence of the class's strongest word.
 LOG_RATIO = 2.0
-EVIDENCE_SHARE = 0.03
+EVIDENCE_SHARE = 0.08
 BACKGROUND_BYTES = 32_768
-CLASS_BYTES = 4_096
+CLASS_BYTES = 2_048
 # Ends of words that are not part of them.
 _EDGES = b"\t\n\x0b\x0c\r .,;:!?\"'()[]{}|*#%$&<>-"
 
@@ -140,27 +140,28 @@ def score(docs: DataFrame, model: Model | None, *, id_column: str = "doc_id", te
 
 
 def _contexts(sample: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary): numbers of distinct contexts of a word in either class."""
+    """(word, toxic_0, ordinary_0, toxic_1, ordinary_1): distinct contexts of a word by class and half."""
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for label, text in zip(batch.column(1), batch.column(2), strict=True):
+            for label, text, half in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 words = words_of(text.as_py())
-                pairs = set(zip([b"", *words[:-1]], words, strict=True))
+                pairs = set(zip([b"", *words], words, strict=False))
                 word, before = zip(*pairs, strict=True) if pairs else ((), ())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([label.as_py()] * len(word), pa.int32()), pa.array(word, pa.binary()),
-                     pa.array(before, pa.binary())],
-                    ["label", "word", "before"],
+                    [pa.array([half.as_py()] * len(word), pa.int32()), pa.array([label.as_py()] * len(word), pa.int32()),
+                     pa.array(word, pa.binary()), pa.array(before, pa.binary())],
+                    ["half", "label", "word", "before"],
                 )
 
-    pairs = sample.mapInArrow(scan, "label int, word binary, before binary").distinct()
-    return pairs.groupBy("word").agg(
-        F.sum(F.col("label").cast("bigint")).alias("toxic"),
-        F.sum((1 - F.col("label")).cast("bigint")).alias("ordinary"),
-    )
+    pairs = sample.mapInArrow(scan, "half int, label int, word binary, before binary").distinct()
+    return pairs.groupBy("word").agg(*[
+        F.count_if((F.col("half") == half) & (F.col("label") == label)).alias(f"{name}_{half}")
+        for half in (0, 1)
+        for label, name in ((1, "toxic"), (0, "ordinary"))
+    ])
 
 
 def _dictionary(counts: dict[bytes, int], size: int) -> bytes:
@@ -222,49 +223,60 @@ def fit_logistic(features, labels, ridge: float = 1.0) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
+def _contents(counts: list[tuple[bytes, int, int]]) -> tuple[bytes, bytes] | None:
+    """Contents of the ordinary and the toxic dictionary, none when nothing sets the toxic class apart."""
+    shared, toxic, ordinary = class_words([row for row in counts if row[1] + row[2] >= LEAST_CONTEXTS])
+    if not toxic:
+        return None
+    background = _dictionary(shared, BACKGROUND_BYTES) if shared else b" "
+    specific = [_dictionary(own, CLASS_BYTES) if own else b"" for own in (ordinary, toxic)]
+    return background + specific[0], background + specific[1]
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, *, dictionary_documents: int = DICTIONARY_DOCUMENTS,
-    calibration_documents: int = CALIBRATION_DOCUMENTS, id_column: str = "doc_id", text_column: str = "text",
-    label_column: str = "toxic",
+    docs: DataFrame, labels: DataFrame, *, documents: int = DOCUMENTS, id_column: str = "doc_id",
+    text_column: str = "text", label_column: str = "toxic",
 ) -> Model | None:
-    """Dictionaries and calibration from bounded samples of the labelled rows that aren't held out."""
+    """Dictionaries and calibration from bounded samples of the labelled rows that aren't held out.
+
+    The sample has two halves. Each half is scored by dictionaries trained on the other one, which gives
+    the calibration; the dictionaries that go into the model are trained on both.
+    """
     doc_id = F.col(id_column).cast("bigint")
     known = labels.select(doc_id.alias("doc_id"), F.col(label_column).cast("int").alias("label"))
     known = known.where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    # One half teaches the dictionaries, the other calibrates.
-    half = F.crc32(F.concat(F.lit("half "), F.col("doc_id").cast("string")).cast("binary")) % 2
-
-    def sample(part: int, label: int, rows: int) -> DataFrame:
-        own = known.where((half == part) & (F.col("label") == label))
-        return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("part", F.lit(part))
-
-    chosen = sample(0, 0, dictionary_documents)
-    for part, label, rows in ((0, 1, dictionary_documents), (1, 0, calibration_documents), (1, 1, calibration_documents)):
-        chosen = chosen.unionByName(sample(part, label, rows))
+    own_half = F.crc32(F.concat(F.lit("half "), F.col("doc_id").cast("string")).cast("binary")) % 2
+    halves = known.withColumn("half", own_half.cast("int"))
+    chosen = [
+        halves.where((F.col("half") == half) & (F.col("label") == label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
+        for half in (0, 1)
+        for label in (0, 1)
+    ]
+    sample = reduce(lambda a, b: a.unionByName(b), chosen)
     texts = docs.select(doc_id.alias("doc_id"), F.col(text_column).alias("text"))
-    # At most two of each of the bounds above, so the ids may be broadcast.
-    taught = stage(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", "part"), "labelled")
-    own = taught.where("part = 0").select("doc_id", "label", "text")
-    enough = F.col("toxic") + F.col("ordinary")
-    counts = _contexts(own).where(enough >= LEAST_CONTEXTS).orderBy(enough.desc(), "word").limit(MOST_WORDS).collect()
-    calibration = taught.where("part = 1").select("doc_id", "label", "text")
-    shared, toxic, ordinary = class_words([(bytes(r["word"]), r["toxic"], r["ordinary"]) for r in counts])
-    if not toxic:
+    # At most four times the bound, so the ids may be broadcast.
+    taught = stage(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text", "half"), "labelled")
+    parts = ["toxic_0", "ordinary_0", "toxic_1", "ordinary_1"]
+    total = reduce(lambda a, b: a + b, map(F.col, parts))
+    counts = _contexts(taught).where(total >= LEAST_CONTEXTS).orderBy(total.desc(), "word").limit(MOST_WORDS).collect()
+    rows = [(bytes(r["word"]), *(r[name] for name in parts)) for r in counts]
+    final = _contents([(w, t0 + t1, o0 + o1) for w, t0, o0, t1, o1 in rows])
+    by_half = [_contents([(r[0], r[1 + 2 * half], r[2 + 2 * half]) for r in rows]) for half in (0, 1)]
+    if final is None or None in by_half:
         return None
-    background = _dictionary(shared, BACKGROUND_BYTES) if shared else b""
-    contents = [background + (_dictionary(own, CLASS_BYTES) if own else b"") for own in (ordinary, toxic)]
-    contents = [content or b" " for content in contents]
-    rows = _features(calibration, *contents).select("label", "features").collect()
-    if len({r["label"] for r in rows}) < 2:
+    scored = [
+        _features(taught.where(F.col("half") == 1 - half).select("doc_id", "label", "text"), *by_half[half]) for half in (0, 1)
+    ]
+    seen = scored[0].unionByName(scored[1]).select("label", "features").collect()
+    prior = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    drawn = Counter(r["label"] for r in seen)
+    if len(prior) < 2 or len(drawn) < 2:
         return None
-    weights = fit_logistic([r["features"] for r in rows], [r["label"] for r in rows])
+    weights = fit_logistic([r["features"] for r in seen], [r["label"] for r in seen])
     # The bounds change the classes' proportions; the intercept takes them back to those of the labels.
-    prior = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    seen = Counter(r["label"] for r in rows)
-    shift = math.log(prior[1] / prior[0]) - math.log(seen[1] / seen[0])
-    weights = (*weights[:-1], weights[-1] + shift)
-    return Model(*contents, weights)
+    shift = math.log(prior[1] / prior[0]) - math.log(drawn[1] / drawn[0])
+    return Model(*final, (*weights[:-1], weights[-1] + shift))
 
 
 def classify(
