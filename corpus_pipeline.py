@@ -39,8 +39,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rows whose id isn't rejected; rows without an id stay."""
-    ids = session.stage(rejected, "rejected")
-    return docs.join(ids.withColumnRenamed("doc_id", "_rejected"), docs["doc_id"] == F.col("_rejected"), "left_anti")
+    ids = session.stage(rejected.select(F.col("doc_id").alias("__rejected_id")), "rejected")
+    return docs.join(ids, F.col("doc_id") == F.col("__rejected_id"), "left_anti")
 
 
 STAGES = [
