@@ -57,13 +57,15 @@ def lines(items: Column, limit: int, empty: str) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO-8601 text in UTC; a whole second has no fraction."""
-    utc = F.to_utc_timestamp(ts, F.current_timezone())
-    whole = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.date_format(utc, ".SSSSSS")
+    """ISO-8601 text in UTC, whatever the session's zone; a whole second has no fraction."""
+    micros = F.unix_micros(ts)
+    fraction = F.pmod(micros, F.lit(1_000_000))
+    seconds = ((micros - fraction) / 1_000_000).cast("decimal(18,6)")
+    # A timestamp without zone prints as it is.
+    whole = (F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)).cast("string")
     return F.concat(
-        whole,
-        F.when(fraction == ".000000", F.lit("")).otherwise(fraction),
+        F.replace(whole, F.lit(" "), F.lit("T")),
+        F.when(fraction == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(fraction.cast("string"), 6, "0"))),
         F.lit("+00:00"),
     )
 

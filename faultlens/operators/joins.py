@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def salts_for(df: DataFrame) -> int:
-    """Pieces a key is spread over; follows the partition count the cluster is set to.
+def _keyless_apart(facts: DataFrame, lookup: DataFrame, fact_key: Column, lookup_key: str, spread_by: Column):
+    """Both sides with ``_key`` and a second join column that deals out the facts without a key.
 
-    Sixteen at most: the repeated lookup should stay small enough for Spark to broadcast it where
-    the plain one would be, and adaptive execution splits a piece that is still too large.
+    On the lookup side the column is 0 but computed from the key: a literal would be folded into a
+    filter, the rows would be dealt by the key alone, and those without one would meet.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(16, max(2, partitions // 8))
+    left = facts.withColumn("_key", fact_key).withColumn(
+        "_gap", F.when(F.col("_key").isNull(), F.xxhash64(spread_by)).otherwise(F.lit(0).cast("bigint"))
+    )
+    right = lookup.withColumnRenamed(lookup_key, "_key").withColumn("_gap", F.pmod(F.xxhash64("_key"), F.lit(1)))
+    return left, right
 
 
 def spread_lookup(
@@ -22,27 +25,25 @@ def spread_lookup(
     fact_key: Column,
     lookup_key: str,
     spread_by: Column,
-    salts: int | None = None,
+    salts: int = 1,
 ) -> DataFrame:
-    """Left join of ``facts`` to a ``lookup`` with one row per key, safe for hot keys.
+    """Left join of ``facts`` to a ``lookup`` with one row per key, safe for hot and missing keys.
 
-    Rows of one key go to ``salts`` partitions and the lookup row is repeated that often; the
-    lookup is the compact side, so the repetition is small against the facts. Rows without a key
-    match nothing and are spread over all partitions. No side is forced to be broadcast: Spark
-    does so only when the size it knows is below its threshold, and adaptive execution splits
-    what is still too large.
+    A hot key is split by adaptive execution, which sees the sizes. A caller that has measured one and
+    runs without adaptive execution may set ``salts``: rows of one key then go to that many partitions
+    and the lookup is repeated as often. Rows without a key match nothing and are spread over all
+    partitions. No side is forced to be broadcast.
 
     The lookup's key column is dropped; ``fact_key`` may be any expression over ``facts``.
     """
-    salts = salts or salts_for(facts)
-    digest = F.xxhash64(spread_by)
-    left = facts.withColumn("_key", fact_key).withColumn(
-        "_salt", F.when(F.col("_key").isNull(), digest).otherwise(F.pmod(digest, F.lit(salts)))
-    )
-    right = lookup.withColumnRenamed(lookup_key, "_key").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
-    )
-    return left.join(right, ["_key", "_salt"], "left").drop("_key", "_salt")
+    left, right = _keyless_apart(facts, lookup, fact_key, lookup_key, spread_by)
+    keys = ["_key", "_gap"]
+    if salts > 1:
+        keys = [*keys, "_salt"]
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+        every = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
+        right = right.withColumn("_salt", F.explode(every))
+    return left.join(right, keys, "left").drop(*keys)
 
 
 def unique_lookup(
@@ -50,11 +51,8 @@ def unique_lookup(
 ) -> DataFrame:
     """Left join on a key that is unique on both sides, but may be missing in many facts.
 
-    Rows without a key match nothing; a digest of ``spread_by`` keeps them from meeting in one
-    partition. The digest is repeatable, so a task that runs again places its rows as before.
+    A digest of ``spread_by`` places the rows without a key. It is repeatable, so a task that runs
+    again places its rows as before.
     """
-    left = facts.withColumn("_key", fact_key).withColumn(
-        "_gap", F.when(F.col("_key").isNull(), F.xxhash64(spread_by)).otherwise(F.lit(0).cast("bigint"))
-    )
-    right = lookup.withColumnRenamed(lookup_key, "_key").withColumn("_gap", F.lit(0).cast("bigint"))
+    left, right = _keyless_apart(facts, lookup, fact_key, lookup_key, spread_by)
     return left.join(right, ["_key", "_gap"], "left").drop("_key", "_gap")

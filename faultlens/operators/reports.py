@@ -117,11 +117,22 @@ def report_fields(reports: DataFrame) -> DataFrame:
     ``*_shown`` keep what the model wrote, even when empty, and are null only for an absent field;
     the others are null when the value is empty.
     """
-    struct = ", ".join(f"{name}: variant" for name in _TEXTS + _VALUES)
-    parsed = reports.withColumn("_r", J.parse(F.col("report_json"), f"struct<{struct}>")).select(
-        *reports.columns,
-        *[F.to_json(f"_r.{name}").alias(f"_j_{name}") for name in _TEXTS + _VALUES],
-        *[F.col(f"_r.{name}").cast("string").alias(f"_s_{name}") for name in _TEXTS],
+    def struct(kind: str) -> str:
+        return f"struct<{', '.join(f'{name}: {kind}' for name in _TEXTS + _VALUES)}>"
+
+    def as_json(name: str) -> Column:
+        # A variant can't hold an object that repeats a key; its text can.
+        raw = F.col(f"_raw.{name}")
+        return F.coalesce(F.to_json(f"_r.{name}"), F.when(raw.rlike(r"^[\[{]"), raw))
+
+    parsed = (
+        reports.withColumn("_r", J.parse(F.col("report_json"), struct("variant")))
+        .withColumn("_raw", J.parse(F.col("report_json"), struct("string")))
+        .select(
+            *reports.columns,
+            *[as_json(name).alias(f"_j_{name}") for name in _TEXTS + _VALUES],
+            *[F.coalesce(F.col(f"_r.{name}").cast("string"), as_json(name)).alias(f"_s_{name}") for name in _TEXTS],
+        )
     )
     json = {name: F.col(f"_j_{name}") for name in _TEXTS + _VALUES}
     text = {name: F.col(f"_s_{name}") for name in _TEXTS}
@@ -155,7 +166,9 @@ def attach(report_json: Column, prompt: Column, delivery: Column) -> Column:
     for name in extra:
         clash = clash | F.contains(report_json, F.lit(f'"{name}"'))
     kept = F.map_filter(J.parse(report_json, "map<string, variant>"), lambda key, _: ~key.isin(*extra))
-    base = F.when(clash, F.to_json(kept)).otherwise(report_json)
+    # An object that can't be read as a map, because a key repeats inside it, keeps its text; the keys
+    # appended last are the ones that count.
+    base = F.when(clash, F.coalesce(F.to_json(kept), report_json)).otherwise(report_json)
     added = F.concat_ws(",", *[F.concat(F.lit(f'"{name}":'), json) for name, json in extra.items()])
     comma = F.when(base == "{}", F.lit("")).otherwise(F.lit(","))
     return F.concat(F.substring(base, F.lit(1), F.char_length(base) - 1), comma, added, F.lit("}"))

@@ -178,11 +178,20 @@ def evidence_rows(evidence: DataFrame) -> DataFrame:
     return align(evidence.withColumn("created_at", iso_utc(F.col("event_ts"))), EVIDENCE)
 
 
+def _handed_over(collected: Collected, reported: Reported) -> dict[str, DataFrame]:
+    """Outputs for other services and for tracing; their tables are created by the first append."""
+    return {
+        "prompt_requests": collected.requests, "notifications": reported.notifications, "rejects": collected.rejects,
+    }
+
+
 def write_tables(collected: Collected, reported: Reported, database: str) -> None:
-    """One append per output table."""
+    """One append per output table, all six of them."""
     append_table(collected.events, f"{database}.events")
     append_table(evidence_rows(collected.evidence.unionByName(reported.evidence)), f"{database}.evidence")
     append_table(reported.reports, f"{database}.reports")
+    for name, frame in _handed_over(collected, reported).items():
+        frame.write.mode("append").saveAsTable(f"{database}.{name}")
 
 
 def write_folder(collected: Collected, reported: Reported, folder: str) -> None:
@@ -192,3 +201,5 @@ def write_folder(collected: Collected, reported: Reported, folder: str) -> None:
         evidence_rows(collected.evidence.unionByName(reported.evidence)), EVIDENCE, f"{folder}/evidence"
     )
     append_path(reported.reports, REPORTS, f"{folder}/reports")
+    for name, frame in _handed_over(collected, reported).items():
+        frame.write.mode("append").parquet(f"{folder}/{name}")

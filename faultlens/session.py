@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="faultlens-")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -49,6 +49,22 @@ def test_unique_lookup_keeps_rows_without_a_key(spark):
     assert rows == {i: (True if i % 2 == 0 and i < 10 else None) for i in range(20)}
 
 
+def test_rows_without_a_key_do_not_meet(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        lookup = spark.range(0, 3000).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+        frame = spark.range(6000).withColumn("key", F.when(F.col("id") % 2 == 0, F.col("id")))
+        for helper in (spread_lookup, unique_lookup):
+            joined = helper(frame, lookup, F.col("key"), "k", F.col("id"))
+            sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+            assert sum(sizes) == 6000 and max(sizes) < 6000 / 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_adaptive_execution_splits_a_hot_key(spark):
     """With the sizes lowered to test data, the final plan of the lookup reads skewed partitions in parts."""
     from faultlens import session
@@ -72,7 +88,6 @@ def test_adaptive_execution_splits_a_hot_key(spark):
         joined = spread_lookup(wide, lookup, F.col("key"), "k", F.col("id"), salts=2)
         assert len(joined.collect()) == 40000
         plan = joined._jdf.queryExecution().executedPlan().toString()
-        print(plan)
         assert "isFinalPlan=true" in plan
         assert "skewed" in plan or "skew=true" in plan
     finally:

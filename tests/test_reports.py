@@ -161,3 +161,15 @@ def test_latest_reports(spark):
     assert reports.latest_report(frame).first().event_id == "b"
     assert reports.latest_report(frame).columns == reports.REPORT_VIEW
     assert {r.source_job_id: r.event_id for r in reports.latest_report_per_job(frame).collect()} == {"1": "b", "2": "c"}
+
+
+def test_keys_that_repeat_inside_an_answer(spark):
+    """Strict JSON takes them; neither the evidence nor the report may be lost."""
+    answer = '{"title": "t", "evidence": [{"a": 1, "a": 2}], "possible_fixes": {"b": 1, "b": 2}, "prompt_metadata": {"c": 0}}'
+    added = reports.attach(F.col("report_json"), F.struct(F.lit("n").alias("prompt_name")), F.struct(F.lit("s").alias("status")))
+    row = fields(spark, answer).withColumn("whole", added).first()
+    assert json.loads(row.evidence_json) == [{"a": 2}]
+    assert json.loads(row.possible_fixes) == {"b": 2}
+    whole = json.loads(row.whole)
+    assert whole["evidence"] == [{"a": 2}]
+    assert whole["prompt_metadata"] == {"prompt_name": "n"} and whole["slack_notification"] == {"status": "s"}

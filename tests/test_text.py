@@ -2,6 +2,7 @@ import random
 import re
 from datetime import datetime, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from faultlens import fixed_values as V
@@ -92,3 +93,21 @@ def test_number_or(values):
 
 def test_list_of_path(values):
     assert values(T.list_of_path, ["", "/a\"b"]) == ["[]", '["/a\\"b"]']
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kathmandu"])
+def test_iso_time_does_not_follow_the_session_zone(spark, zone):
+    from faultlens.functions.text import iso_utc
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        # 2024-03-10T02:30Z falls into the hour New York leaves out on that day.
+        micros = [1710037800000000, 1710037800250000, -1, 0]
+        rows = spark.createDataFrame([(m,) for m in micros], "m bigint").select(iso_utc(F.timestamp_micros("m")).alias("t"))
+        assert [r.t for r in rows.collect()] == [
+            "2024-03-10T02:30:00+00:00", "2024-03-10T02:30:00.250000+00:00", "1969-12-31T23:59:59.999999+00:00",
+            "1970-01-01T00:00:00+00:00",
+        ]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
