@@ -153,7 +153,8 @@ def resample(
     """
     chosen = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     wanted = target_ids.select(F.col(id_column).cast("bigint").alias("doc_id")).distinct()
-    target = chosen.join(wanted, "doc_id", "left_semi").select("text")
+    # The ids grow with the corpus: never broadcast, one plan at every size.
+    target = chosen.join(wanted.hint("merge"), "doc_id", "left_semi").select("text")
     ratio = log_ratio(target, chosen.select("text"), buckets)
     weighed = stage(weigh(chosen, ratio, seed), "weights")
     keys = ["doc_id", "digest"]
