@@ -137,7 +137,7 @@ def assign_prompt(
         F.col("prompt.problem")
     )
     judged = cases.withColumn("prompt", chosen.scalar()).withColumn("reason", problem)
-    rejected = judged.where(F.col("reason").isNotNull()).select("event_id", "reason")
+    rejected = judged.where(F.col("reason").isNotNull()).select("source_job_id", "source_run_id", "event_id", "reason")
     accepted = judged.where(F.col("reason").isNull()).select(
         *cases.columns, *[f"prompt.{field}" for field in [*fields, "pieces"]]
     )

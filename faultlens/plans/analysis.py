@@ -137,7 +137,12 @@ def collect(
         asked=asked,
         requests=prompts.prompt_requests(accepted, E.bundle(everything), refs.select("event_id", "refs")),
         rejects=unasked.unionByName(
-            incomplete.select(F.col("run_id").cast("string").alias("event_id"), "reason")
+            incomplete.select(
+                F.col("job_id").cast("string").alias("source_job_id"),
+                F.col("run_id").cast("string").alias("source_run_id"),
+                F.lit(None).cast("string").alias("event_id"),
+                "reason",
+            )
         ),
     )
 

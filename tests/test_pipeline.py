@@ -73,7 +73,9 @@ def test_only_failed_runs_with_keys_become_events(collected):
         "slack_channel": V.DEFAULT_CHANNEL, "source_job_id": "7", "source_job_name": "nightly",
         "source_run_id": "1", "trigger_source": "job_failure_callback",
     }
-    assert [(r.event_id, r.reason) for r in collected.rejects.collect()] == [(None, "required: run_id")]
+    rejected = collected.rejects.collect()
+    assert [(r.source_run_id, r.event_id, r.reason) for r in rejected] == [(None, None, "required: run_id")]
+    assert rejected[0].source_job_id is not None
 
 
 def test_all_runs_may_be_analysed(spark):
