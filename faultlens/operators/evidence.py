@@ -13,40 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens import fixed_values as V
+from faultlens.functions.json_text import string_values
 from faultlens.functions.text import decode_utf8, table_refs, truncate
 from faultlens.operators.failures import classify_error, describe_error
 from faultlens.operators.joins import spread_lookup, unique_lookup
 
-KEYS = ["event_id", "source_job_id", "source_run_id", "event_ts"]
+KEYS = ["case_id", "event_id", "source_job_id", "source_run_id", "event_ts"]
 
 
-def _leaves(task: Column) -> Column:
-    """Text values of one task or task-settings struct."""
-    maps = [F.array_join(F.map_values(task[block]), "\n") for block in
-            ("notebook_task", "spark_python_task", "python_wheel_task")]
-    return F.concat_ws("\n", task["task_key"], *maps)
-
-
-def run_text(run_name: Column, tasks: Column) -> Column:
-    """All text of a run document, one value per line."""
-
-    def of_task(task: Column) -> Column:
-        termination = task["status"]["termination_details"]
-        return F.concat_ws(
-            "\n",
-            _leaves(task),
-            task["state"]["result_state"],
-            task["state"]["state_message"],
-            termination["code"],
-            termination["message"],
-            termination["type"],
-        )
-
-    return F.concat_ws("\n", run_name, F.array_join(F.transform(tasks, of_task), "\n"))
-
-
-def settings_text(settings: Column) -> Column:
-    return F.concat_ws("\n", settings["name"], F.array_join(F.transform(settings["tasks"], _leaves), "\n"))
+def document_refs(document: Column) -> Column:
+    """References in the strings of a JSON document, at any depth and under any key."""
+    return table_refs(F.array_join(string_values(document), "\n"))
 
 
 def _row(df: DataFrame, order: int, collector: str, document: Column, refs: Column | None = None) -> DataFrame:
@@ -63,24 +40,53 @@ def _row(df: DataFrame, order: int, collector: str, document: Column, refs: Colu
     )
 
 
-def run_evidence(runs_with_keys: DataFrame) -> DataFrame:
-    """The run document itself; needs no lookup."""
-    document = F.to_json(F.struct("job_id", "run_id", "run_name", "tasks"))
-    return _row(runs_with_keys, 1, V.JOB_RUN, document, table_refs(run_text(F.col("run_name"), F.col("tasks"))))
+def run_evidence(documents: DataFrame) -> DataFrame:
+    """The whole run document; needs no lookup."""
+    return _row(documents, 1, V.JOB_RUN, F.col("document"), document_refs(F.col("document")))
+
 
+def settings_documents(settings: DataFrame) -> DataFrame:
+    """Whole settings per job with their references and the texts of their tasks, found once per job."""
+    built = F.to_json(F.when(F.col("settings").isNotNull(), F.struct("settings")))
+    document = F.coalesce("document", built) if "document" in settings.columns else built
+    tasks = F.from_json("document", "settings struct<tasks array<string>>")["settings"]["tasks"]
+    return (
+        settings.select("job_id", document.alias("document"))
+        .withColumn("task_documents", tasks)
+        .withColumn("task_keys", F.transform("task_documents", lambda task: F.get_json_object(task, "$.task_key")))
+        .withColumn("settings_refs", document_refs(F.col("document")))
+    )
 
-def settings_evidence(cases: DataFrame) -> DataFrame:
-    """Job settings and the settings of the blamed task; absent ones read as an empty object."""
-    empty = F.lit("{}")
-    job = F.coalesce(F.to_json(F.when(F.col("settings").isNotNull(), F.struct("settings"))), empty)
-    task = F.coalesce(F.to_json("task_settings"), empty)
-    refs = F.coalesce("settings_refs", F.array().cast("array<string>"))
-    return _row(cases, 2, V.JOB_SETTINGS, job, refs).unionByName(_row(cases, 3, V.FAILED_TASK_SETTINGS, task))
 
+def settings_evidence(cases: DataFrame, documents: DataFrame) -> DataFrame:
+    """Job settings and the first entry for the blamed task; absent ones read as an empty object.
 
-def with_settings_refs(settings: DataFrame) -> DataFrame:
-    """References in the settings of a job, found once per job rather than once per run."""
-    return settings.withColumn("settings_refs", table_refs(settings_text(F.col("settings"))))
+    ``documents`` comes from ``settings_documents``. A job may own a large share of the cases.
+    """
+    job = F.col("source_job_id").cast("bigint")
+    found = spread_lookup(cases.select(*KEYS, "failed_task_key"), documents, job, "job_id", F.col("case_id"))
+    position = F.array_position("task_keys", F.col("failed_task_key")).cast("int")
+    task = F.when(position > 0, F.get("task_documents", position - 1))
+    none = F.array().cast("array<string>")
+    both = F.array(
+        F.struct(
+            F.lit(2).alias("ord"), F.lit(V.JOB_SETTINGS).alias("name"), F.col("document").alias("text"),
+            F.coalesce("settings_refs", none).alias("refs"),
+        ),
+        F.struct(
+            F.lit(3).alias("ord"), F.lit(V.FAILED_TASK_SETTINGS).alias("name"), task.alias("text"), none.alias("refs")
+        ),
+    )
+    return found.select(*KEYS, F.explode(both).alias("of")).select(
+        *KEYS,
+        "of.ord",
+        F.lit("").alias("detail"),
+        F.col("of.name").alias("collector_name"),
+        F.coalesce("of.text", F.lit("{}")).alias("evidence_json"),
+        "of.refs",
+        F.lit(None).cast("string").alias("error_type"),
+        F.lit(None).cast("string").alias("error_description"),
+    )
 
 
 def output_evidence(cases: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -110,7 +116,7 @@ def output_evidence(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     short = outputs.select(
         "run_id", part("error"), part("logs"), part("notebook_output"), "output_json", F.lit(True).alias("present")
     )
-    found = unique_lookup(asked, short, F.col("asked.id"), "run_id", F.col("event_id"))
+    found = unique_lookup(asked, short, F.col("asked.id"), "run_id", F.col("case_id"))
     asked_id = F.col("asked.id").cast("string")
     missing = F.concat(F.lit("LookupError: no output recorded for run "), asked_id)
     absent = F.col("present").isNull() & asked_id.isNotNull()
@@ -150,7 +156,7 @@ def code_evidence(cases: DataFrame, source_code: DataFrame) -> DataFrame:
     shown = source_code.select("path", truncate(_as_text(source_code), V.SOURCE_CODE_LIMIT).alias("source"))
     source = shown.withColumn("source_refs", table_refs(F.concat_ws("\n", "path", "source")))
     path = F.nullif(F.col("failure_code_path"), F.lit(""))
-    found = spread_lookup(cases.select(*KEYS, "failure_code_path"), source, path, "path", F.col("event_id"))
+    found = spread_lookup(cases.select(*KEYS, "failure_code_path"), source, path, "path", F.col("case_id"))
     missing = F.concat(F.lit("LookupError: no source recorded for "), path)
     document = F.struct(
         F.when(path.isNotNull() & F.col("source").isNull(), missing).alias("error"),
@@ -169,8 +175,8 @@ def _as_text(source_code: DataFrame) -> Column:
 
 def event_refs(rows: DataFrame) -> DataFrame:
     """Sorted distinct references per event over the rows of its (at most six) collectors."""
-    return rows.groupBy("event_id").agg(
-        *[F.max(name).alias(name) for name in KEYS if name != "event_id"],
+    return rows.groupBy("case_id").agg(
+        *[F.max(name).alias(name) for name in KEYS if name != "case_id"],
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs"),
     )
 
@@ -185,31 +191,36 @@ def recent_history(history: DataFrame, limit: int = V.MAX_HISTORY_PER_TABLE) ->
     )
 
 
+def _row_json(columns: list[str], **shown: Column) -> Column:
+    """JSON of a snapshot row with every column but the table's name, in alphabetical order."""
+    fields = {name: F.col(name) for name in columns if name != "table_name"} | shown
+    return F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)]))
+
+
 def table_documents(columns: DataFrame, history: DataFrame, details: DataFrame) -> DataFrame:
     """One document per table from three independent snapshots; absent parts are named.
 
-    A single aggregation merges the snapshots. Its groups are as large as a table is wide, plus
-    at most five history entries.
+    Snapshots may have any further columns, all are kept. Rows become JSON before a single
+    aggregation merges the snapshots. Its groups are as large as a table is wide, plus at most five
+    history entries and the detail row.
     """
-    column = F.struct("ordinal", "col_name", "comment", "data_type")
-    entry = F.struct("rank", "operation", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "version")
-    detail = F.struct("format", "num_files")
+    moment = {"timestamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")}
+    of_column = F.struct("ordinal", _row_json([c for c in columns.columns if c != "ordinal"]).alias("text"))
+    of_entry = F.struct("rank", _row_json([c for c in history.columns if c != "ts"], **moment).alias("text"))
     parts = [
-        columns.select("table_name", column.alias("column")),
-        recent_history(history).select("table_name", entry.alias("entry")),
-        details.select("table_name", detail.alias("detail")),
+        columns.select("table_name", of_column.alias("column")),
+        recent_history(history).select("table_name", of_entry.alias("entry")),
+        details.select("table_name", _row_json(details.columns).alias("detail")),
     ]
     merged = (
         reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), parts)
         .groupBy("table_name")
         .agg(
-            F.sort_array(F.collect_list("column")).alias("columns"),
-            F.sort_array(F.collect_list("entry")).alias("entries"),
-            F.collect_list("detail").alias("details"),
+            F.sort_array(F.collect_list("column"))["text"].alias("columns"),
+            F.sort_array(F.collect_list("entry"))["text"].alias("entries"),
+            F.sort_array(F.collect_list("detail")).alias("details"),
         )
     )
-    plain_column = F.transform("columns", lambda c: c.dropFields("ordinal"))
-    plain_entry = F.transform("entries", lambda e: e.dropFields("rank"))
     missing = F.array_compact(
         F.array(
             F.when(F.size("details") == 0, F.lit("detail")),
@@ -217,25 +228,27 @@ def table_documents(columns: DataFrame, history: DataFrame, details: DataFrame)
             F.when(F.size("columns") == 0, F.lit("schema")),
         )
     )
-    return merged.select(
-        "table_name",
-        F.to_json(
-            F.struct(
-                F.col("details").alias("detail"),
-                F.when(F.size(missing) > 0, missing).alias("missing_parts"),
-                plain_entry.alias("recent_history"),
-                plain_column.alias("schema"),
-                F.col("table_name").alias("table"),
-            )
-        ).alias("table_json"),
+
+    def listed(name: str, items: str) -> Column:
+        return F.concat(F.lit(f'"{name}":['), F.array_join(items, ","), F.lit("]"))
+
+    named = F.to_json(F.struct(F.col("table_name").alias("table")))
+    document = F.concat_ws(
+        ",",
+        listed("detail", "details"),
+        F.when(F.size(missing) > 0, F.concat(F.lit('"missing_parts":'), F.to_json(missing))),
+        listed("recent_history", "entries"),
+        listed("schema", "columns"),
+        F.substring(named, F.lit(2), F.char_length(named) - 2),
     )
+    return merged.select("table_name", F.concat(F.lit("{"), document, F.lit("}")).alias("table_json"))
 
 
 def table_evidence(refs: DataFrame, tables: DataFrame) -> DataFrame:
     """Table documents of the first ten references of an event; a table may be referenced by many."""
     top = F.slice("refs", 1, V.MAX_TABLES_PER_EVENT)
     asked = refs.select(*KEYS, F.explode(top).alias("ref"))
-    found = spread_lookup(asked, tables, F.col("ref"), "table_name", F.col("event_id"))
+    found = spread_lookup(asked, tables, F.col("ref"), "table_name", F.col("case_id"))
     missing = F.to_json(
         F.struct(
             F.concat(F.lit("LookupError: no snapshot of table "), F.col("ref")).alias("error"),
@@ -269,10 +282,10 @@ def bundle(evidence: DataFrame) -> DataFrame:
         truncate(F.col("evidence_json"), V.PROMPT_EXCERPT_LIMIT).alias("evidence_json_excerpt"),
     )
     return (
-        evidence.groupBy("event_id")
+        evidence.groupBy("case_id")
         .agg(F.sort_array(F.collect_list(item)).alias("items"))
         .select(
-            "event_id",
+            "case_id",
             F.to_json(F.transform("items", lambda i: i.dropFields("ord", "detail"))).alias("evidence_bundle_json"),
         )
     )

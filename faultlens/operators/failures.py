@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens import fixed_values as V
@@ -98,18 +98,51 @@ def require_keys(runs: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
     return complete, rejected
 
 
+def with_document(runs: DataFrame) -> DataFrame:
+    """Runs with their whole JSON text; feeds without one get the text of their columns."""
+    built = F.to_json(F.struct("job_id", "run_id", "run_name", "tasks"))
+    return runs.withColumn("document", F.coalesce("document", built) if "document" in runs.columns else built)
+
+
+def first_deliveries(runs: DataFrame, order: str) -> DataFrame:
+    """One row per case of a feed that may deliver a run again: the one least by ``order``.
+
+    The rank limit is applied before the shuffle as well, so a run that was delivered very often is
+    reduced where its rows are read.
+    """
+    turn = F.row_number().over(Window.partitionBy("case_id").orderBy(order))
+    return runs.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+
+
+def repeated_deliveries(run_heads: DataFrame) -> DataFrame:
+    """One row per case that was delivered more than once, with the number of surplus rows."""
+    keys = {"source_job_id": F.col("job_id").cast("string"), "source_run_id": F.col("run_id").cast("string")}
+    counted = run_heads.groupBy("case_id", *[value.alias(name) for name, value in keys.items()]).agg(
+        F.count("*").alias("deliveries"), F.min("event_id").alias("event_id")
+    )
+    surplus = (F.col("deliveries") - 1).cast("string")
+    return counted.where("deliveries > 1").select(
+        *keys, "event_id", F.concat(F.lit("delivered again: "), surplus).alias("reason")
+    )
+
+
 def heads(runs: DataFrame) -> DataFrame:
-    """One narrow row per run document: keys, blamed task and event id; the task list is dropped."""
+    """One narrow row per run document: keys, blamed task and event id; tasks and text are dropped."""
     return with_event_id(
         runs.select(
             "*", blamed_task(F.col("tasks")).alias("task"), (~any_task_failed(F.col("tasks"))).alias("is_fallback")
-        ).drop("tasks")
+        ).drop("tasks", "document")
     )
 
 
 def with_event_id(runs: DataFrame) -> DataFrame:
-    """Add task key and event id to runs that carry their blamed ``task``."""
-    return runs.withColumn("failed_task_key", task_key_or_unknown(F.col("task"))).withColumn(
+    """Add task key, event id and case id to runs that carry their blamed ``task``.
+
+    The event id shows whole seconds, so two runs may share it; the case id tells them apart.
+    """
+    keys = [F.col("job_id").cast("string"), F.col("run_id").cast("string"), F.unix_micros("event_ts").cast("string")]
+    cases = runs.withColumn("failed_task_key", task_key_or_unknown(F.col("task")))
+    return cases.withColumn("case_id", F.concat_ws(":", *keys)).withColumn(
         "event_id",
         F.concat_ws(
             ":",

@@ -46,6 +46,16 @@ def spread_lookup(
     return left.join(right, keys, "left").drop(*keys)
 
 
+def by_case(cases: DataFrame, known: DataFrame) -> tuple[DataFrame, str]:
+    """What a service returned and the key it is looked up by, the other key dropped.
+
+    The case id is the key where both sides have it, else the event id, which runs of one second share.
+    """
+    if "case_id" in cases.columns and "case_id" in known.columns:
+        return known.drop("event_id"), "case_id"
+    return known.drop("case_id"), "event_id"
+
+
 def unique_lookup(
     facts: DataFrame, lookup: DataFrame, fact_key: Column, lookup_key: str, spread_by: Column
 ) -> DataFrame:

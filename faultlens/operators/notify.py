@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultlens import fixed_values as V
 from faultlens.functions.text import bullets, first_text, lines, strip, truncate
+from faultlens.operators.joins import by_case
 
 
 def _job() -> Column:
@@ -87,7 +88,7 @@ def message_blocks() -> Column:
 def notifications(reports: DataFrame, channel: str = V.DEFAULT_CHANNEL) -> DataFrame:
     """Outbox rows for a delivery service."""
     return reports.select(
-        "event_id",
+        *[name for name in ("case_id", "event_id") if name in reports.columns],
         _channel(reports, channel).alias("channel"),
         message_text().alias("text"),
         message_blocks().alias("blocks_json"),
@@ -98,15 +99,15 @@ def _channel(df: DataFrame, default: str) -> Column:
     return F.coalesce(first_text(F.col("channel")), F.lit(default)) if "channel" in df.columns else F.lit(default)
 
 
-def latest_attempts(attempts: DataFrame) -> DataFrame:
-    """Last attempt of each kind per event, one row per event; combines before the shuffle."""
+def latest_attempts(attempts: DataFrame, key: str = "event_id") -> DataFrame:
+    """Last attempt of each kind, one row per event or case; combines before the shuffle."""
     attempt = F.struct("ok", "http_status", "body", "error")
 
     def last(kind: str) -> Column:
         order = F.when(F.col("kind") == kind, F.struct("attempt", "ok", "http_status", "body", "error"))
         return F.max_by(attempt, order).alias(kind)
 
-    return attempts.groupBy("event_id").agg(last("helper"), last("api"), last("webhook"))
+    return attempts.groupBy(key).agg(last("helper"), last("api"), last("webhook"))
 
 
 def resolve_delivery(cases: DataFrame, attempts: DataFrame, channel: str = V.DEFAULT_CHANNEL) -> DataFrame:
@@ -115,7 +116,8 @@ def resolve_delivery(cases: DataFrame, attempts: DataFrame, channel: str = V.DEF
     The helper decides when it worked or named a channel problem; then an API attempt decides,
     whatever its outcome; only without one does the webhook.
     """
-    known = cases.join(latest_attempts(attempts), "event_id", "left").withColumn(
+    tried, key = by_case(cases, attempts)
+    known = cases.join(latest_attempts(tried, key), key, "left").withColumn(
         "_channel", _channel(cases, channel)
     )
     helper, api, hook = F.col("helper"), F.col("api"), F.col("webhook")

@@ -147,14 +147,14 @@ def assign_prompt(
 def prompt_requests(asked: DataFrame, bundles: DataFrame, refs: DataFrame) -> DataFrame:
     """Rendered requests for the model service."""
     joined = (
-        asked.join(bundles, "event_id", "left")
-        .join(refs, "event_id", "left")
+        asked.join(bundles, "case_id", "left")
+        .join(refs, "case_id", "left")
         .withColumn("failed_task_run_id", F.coalesce(F.col("task_run_id").cast("string"), F.lit("")))
         .withColumn("discovered_code_paths", list_of_path(F.col("failure_code_path")))
         .withColumn("discovered_tables", F.to_json(F.coalesce("refs", F.array().cast("array<string>"))))
     )
     values = {placeholder: F.col(placeholder) for placeholder in V.PROMPT_PLACEHOLDERS}
     return joined.select(
-        "event_id", *METADATA, "temperature", "max_tokens", "system_prompt",
+        "case_id", "event_id", *METADATA, "temperature", "max_tokens", "system_prompt",
         fill_template(F.col("pieces"), values).alias("user_prompt"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultlens import fixed_values as V
 from faultlens.functions import json_text as J
 from faultlens.functions.text import first_text, iso_utc, strip
+from faultlens.operators.joins import by_case
 
 REPORT_VIEW = [
     "event_id",
@@ -84,9 +85,11 @@ def parse_report(answers: DataFrame, text: Column, job_name: Column, task_key: C
 def model_reports(cases: DataFrame, responses: DataFrame) -> DataFrame:
     """Report of every case; a missing or failed response gives the call-failed report.
 
-    ``cases`` needs event_id, source_job_name and failed_task_key. Responses are unique per event.
+    ``cases`` needs event_id, source_job_name and failed_task_key. Responses are unique per case id,
+    or per event id where they have no case id.
     """
-    answers = cases.join(responses.withColumn("_answered", F.lit(True)), "event_id", "left")
+    known, key = by_case(cases, responses)
+    answers = cases.join(known.withColumn("_answered", F.lit(True)), key, "left")
     content = response_content(F.col("choices"), F.col("predictions"), F.col("outputs"))
     parsed = parse_report(answers, content, F.col("source_job_name"), F.col("failed_task_key"))
     error = F.when(F.col("_answered").isNull(), F.lit("LookupError: no model response recorded")).otherwise(

@@ -92,25 +92,30 @@ def collect(
 
     Parameters are stripped and an empty channel means the default one.
 
-    ``keep`` writes the frames that several outputs share, so they are computed once. Runs are
-    unique by job, run and ``event_ts``; each lookup table is unique by its key.
+    ``keep`` writes the frames that several outputs share, so they are computed once. A run that is
+    delivered again (same job, run and ``event_ts``) is analysed once and its surplus rows are counted
+    among the rejects. Each lookup table is unique by its key.
     """
     prompt_name, prompt_alias = prompt_name.strip(), prompt_alias.strip()
     channel = channel.strip() or V.DEFAULT_CHANNEL
     complete, incomplete = failures.require_keys(inputs.runs, "job_id", "run_id")
     runs = failures.qualifying_runs(complete) if only_failed else complete
-    keyed = failures.heads(runs)
-    cases = keep(failures.identify(keyed, E.with_settings_refs(inputs.settings)), "cases")
+    runs = failures.with_document(runs).withColumn("_digest", F.xxhash64("document"))
+    delivered = failures.heads(runs)
+    keyed = failures.first_deliveries(delivered, "_digest").drop("_digest")
+    settings = inputs.settings.select("job_id", "settings")
+    cases = keep(failures.identify(keyed, settings).drop("settings", "task_settings"), "cases")
 
     documents = failures.with_event_id(runs.withColumn("task", failures.blamed_task(F.col("tasks")))).select(
+        "case_id",
         "event_id",
         F.col("job_id").cast("string").alias("source_job_id"),
         F.col("run_id").cast("string").alias("source_run_id"),
-        "event_ts", "job_id", "run_id", "run_name", "tasks",
+        "event_ts", "document", "_digest",
     )
     found = keep(
-        E.run_evidence(documents)
-        .unionByName(E.settings_evidence(cases))
+        E.run_evidence(failures.first_deliveries(documents, "_digest"))
+        .unionByName(E.settings_evidence(cases, E.settings_documents(inputs.settings)))
         .unionByName(E.output_evidence(cases, inputs.outputs))
         .unionByName(E.code_evidence(cases, inputs.source_code)),
         "evidence",
@@ -124,19 +129,18 @@ def collect(
         .unionByName(E.summary_evidence(found))
     )
     summary = found.where(F.col("collector_name") == V.FAILED_TASK_OUTPUT).select(
-        "event_id", "error_type", "error_description"
+        "case_id", "error_type", "error_description"
     )
     chosen = prompts.select_prompt(inputs.prompts, prompt_name, prompt_alias)
-    narrow = cases.drop("settings", "task_settings", "settings_refs")
-    accepted, unasked = prompts.assign_prompt(narrow, chosen, prompt_name, prompt_alias)
-    asked = accepted.drop("temperature", "max_tokens", "system_prompt", "pieces").join(summary, "event_id", "left")
+    accepted, unasked = prompts.assign_prompt(cases, chosen, prompt_name, prompt_alias)
+    asked = accepted.drop("temperature", "max_tokens", "system_prompt", "pieces").join(summary, "case_id", "left")
     return Collected(
-        events=align(event_rows(narrow, channel), EVENTS),
+        events=align(event_rows(cases, channel), EVENTS),
         evidence=everything,
         refs=refs,
         asked=asked,
-        requests=prompts.prompt_requests(accepted, E.bundle(everything), refs.select("event_id", "refs")),
-        rejects=unasked.unionByName(
+        requests=prompts.prompt_requests(accepted, E.bundle(everything), refs.select("case_id", "refs")),
+        rejects=unasked.unionByName(failures.repeated_deliveries(delivered)).unionByName(
             incomplete.select(
                 F.col("job_id").cast("string").alias("source_job_id"),
                 F.col("run_id").cast("string").alias("source_run_id"),
@@ -152,7 +156,7 @@ def report(
 ) -> Reported:
     """Second phase: read answers, compose notifications, resolve delivery, write reports.
 
-    Every join is on the event id, so an event's rows stay where the first join puts them.
+    Answers and attempts that carry the case id of their request are found by it, others by event id.
     """
     channel = channel.strip() or V.DEFAULT_CHANNEL
     fields = reports.report_fields(reports.model_reports(asked, responses))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -240,7 +242,9 @@ def evidence_rows(table) -> DataFrame:
 
 @query
 def evidence_bundle_order(table) -> DataFrame:
-    bundles = E.bundle(_collected(table).evidence)
+    evidence = _collected(table).evidence
+    ids = evidence.where(F.col("collector_name") == V.JOB_RUN).select("case_id", "event_id")
+    bundles = E.bundle(evidence).join(ids, "case_id")
     names = F.get_json_object("evidence_bundle_json", "$[*].collector_name")
     return bundles.select(
         "event_id",
@@ -287,7 +291,7 @@ def required_key_split(table) -> DataFrame:
 
 @query
 def render_prompt(table) -> DataFrame:
-    return _collected(table).requests
+    return _collected(table).requests.drop("case_id")
 
 
 # Reports and notifications ---------------------------------------------------------------------
@@ -494,3 +498,59 @@ def stream_failed_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["stream_failed_runs"] = stream_failed_runs
+
+
+def stream_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    """The first phase run by a stream over the event file; the written tables are read back.
+
+    Every failed run once: its event row, the number and digest of its evidence rows, and its request.
+    """
+    session.tune(spark)
+    stored = partial(samples.load, spark, folder)
+    events = spark.readStream.schema(stored("events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    out = session.fresh_folder(spark, "stream")
+    write = failed_runs.analysis_writer(_inputs(stored), f"{out}/tables")
+    failed_runs.on_failures(samples.event_runs(events), write, f"{out}/checkpoint").awaitTermination()
+    found, evidence, requests = (
+        spark.read.parquet(f"{out}/tables/{name}").drop("batch_id") for name in ("events", "evidence", "prompt_requests")
+    )
+    gathered = evidence.groupBy("event_id").agg(
+        F.count("*").alias("n_evidence"), F.sum(F.char_length("evidence_json")).alias("evidence_chars")
+    )
+    asked = requests.select("event_id", F.md5("user_prompt").alias("prompt_md5"))
+    return found.join(gathered, "event_id", "left").join(asked, "event_id", "left")
+
+
+QUERIES["stream_analysis"] = stream_analysis
+
+
+@query
+def repeated_deliveries(table) -> DataFrame:
+    """Runs of the events, those of every third event delivered one to three times more: the rejects."""
+    n = F.col("run_id") / 10
+    copies = F.when(n % 3 == 0, 2 + n % 2).otherwise(1).cast("int")
+    runs = samples.event_runs(table("events"))
+    again = runs.withColumn("turn", F.explode(F.sequence(F.lit(1), copies))).drop("turn")
+    return analysis.collect(replace(_inputs(table), runs=again)).rejects
+
+
+@query
+def run_documents(table) -> DataFrame:
+    """Run documents read from JSON: what was parsed, and the references anywhere in the text."""
+    runs = samples.event_runs(table("events"))
+    return runs.select(
+        "run_id", "job_id", "run_name", F.size("tasks").alias("n_tasks"), "document",
+        F.array_join(E.document_refs(F.col("document")), ",").alias("refs"),
+    )
+
+
+@query
+def settings_documents(table) -> DataFrame:
+    """Job settings read from JSON: whole text, texts of the tasks and references anywhere in it."""
+    found = E.settings_documents(samples.customer_settings(table("customer")))
+    return found.select(
+        "job_id", "document",
+        F.array_join("task_keys", ",").alias("task_keys"),
+        F.array_join("task_documents", "\n").alias("task_documents"),
+        F.array_join("settings_refs", ",").alias("refs"),
+    )

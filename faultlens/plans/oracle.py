@@ -56,12 +56,11 @@ def path_of(task: str) -> str:
     )
 
 
-def leaves(task: str) -> str:
-    maps = ", ".join(
-        f"array_to_string(map_values({task}.{name}), e'\\n')"
-        for name in ("notebook_task", "spark_python_task", "python_wheel_task")
-    )
-    return f"concat_ws(e'\\n', {task}.task_key, {maps})"
+def leaves(document: str) -> str:
+    """Decoded strings of a JSON text without its keys, one per line."""
+    quoted = f"""regexp_extract_all({document}, '"(?:[^"\\\\]|\\\\.)*"\\s*:?')"""
+    values = f"list_filter({quoted}, lambda q: not ends_with(q, ':'))"
+    return f"array_to_string(list_transform({values}, lambda q: cast(q as json) ->> '$'), e'\\n')"
 
 
 CTES: dict[str, str] = {}
@@ -107,11 +106,12 @@ select run_id, job_id, event_id, failed_task_key, is_fallback,
   coalesce(cast(task.run_id as varchar), '') as failed_task_run_id, task.result_state as result_state
 from order_heads"""
 
-_ENTRY = "{{'notebook_task': {}, 'python_wheel_task': {}, 'spark_python_task': {}, 'task_key': {}}}"
+_ENTRY = "{{'max_retries': c_custkey % 4, 'notebook_task': {}, 'python_wheel_task': {}, 'spark_python_task': {}, 'task_key': {}}}"
 _NO_MAP = "cast(null as map(varchar, varchar))"
 
 CTES["settings"] = f"""
-  select c_custkey as job_id, c_name as name,
+  select c_custkey as job_id, c_name as name, c_mktsegment as creator,
+    {{'note': 'after lake.ref.calendar_' || (c_custkey % 7)}} as schedule,
     case when c_custkey % 10 <> 9 then [
       {_ENTRY.format("map {'notebook_path': '/jobs/page_' || (c_custkey % 400)}", _NO_MAP, _NO_MAP, "'task_' || (c_custkey % 3)")},
       {_ENTRY.format(_NO_MAP, _NO_MAP, "map {'python_file': '/src/etl_' || c_custkey || '.py'}", "'task_' || (c_custkey % 5)")},
@@ -134,10 +134,13 @@ CTES["runs"] = """
   select event_id * 10 as run_id, user_id * 11 as job_id,
     case when event_id % 4 <> 0 then 'run of job ' || user_id end as run_name, ts as event_ts,
     list_transform(range(0, event_id % 3 + 1), lambda i: {
+      'depends_on': case when i > 0 then [{'task_key': 'task_' || (i - 1)}] end,
       'notebook_task': case when (event_id + i) % 3 = 0 then map {'notebook_path': '/jobs/page_' || (event_id % 300)} end,
       'python_wheel_task': case when (event_id + i) % 3 = 2 then map {'package_name': 'pkg_' || user_id} end,
       'run_id': case when (event_id + i) % 13 <> 0 then event_id * 10 + i + 1 end,
       'spark_python_task': case when (event_id + i) % 3 = 1 then map {'python_file': '/src/etl_' || user_id || '.py'} end,
+      'sql_task': case when i = 1 then
+        {'query': 'select "id"' || chr(10) || 'from `lake`.raw.orders_' || (event_id % 50) || ' -- ' || chr(92)} end,
       'state': {
         'result_state': case when event_type = 'error' and i = event_id % 3 then 'FAILED'
                              when event_id % 5 <> 0 then 'SUCCESS' end,
@@ -165,9 +168,9 @@ CTES["cases"] = f"""
     coalesce(nullif(run_name, ''), nullif(h.name, ''), '') as source_job_name, failed_task_key,
     task.run_id as task_run_id,
     coalesce(nullif({path_of('task_settings')}, ''), nullif({path_of('task')}, ''), '') as failure_code_path,
-    task.state as state, task.status.termination_details as term, event_ts,
+    schedule, creator, tasks, run_name, task.state as state, task.status.termination_details as term, event_ts,
     has_settings, name, setting_tasks, task_settings
-  from (select h.*, s.job_id is not null as has_settings, s.name, s.tasks as setting_tasks,
+  from (select h.*, s.job_id is not null as has_settings, s.name, s.tasks as setting_tasks, s.schedule, s.creator,
           list_filter(s.tasks, lambda x: x.task_key = h.failed_task_key)[1] as task_settings
         from heads h left join settings s on s.job_id = h.job_id) h"""
 
@@ -261,9 +264,10 @@ CTES["table_columns"] = """
         select 'lake.sales.t' || c_custkey, unnest(range(1, c_custkey % 4 + 2)) from customer)"""
 
 CTES["table_history"] = """
-  select table_name, page_id as version, make_timestamp(page_id * 60 * 1000000) as ts, 'WRITE' as operation from page_refs
+  select table_name, page_id as version, make_timestamp(page_id * 60 * 1000000) as ts, 'WRITE' as operation,
+    'writer_' || (page_id % 3) as user_name from page_refs
   union all
-  select 'lake.sales.t' || o_custkey, o_orderkey, o_orderdate, o_orderstatus from orders"""
+  select 'lake.sales.t' || o_custkey, o_orderkey, o_orderdate, o_orderstatus, o_orderpriority from orders"""
 
 CTES["table_docs"] = f"""
   select table_name, cast({dropped("{'detail': coalesce(details, []), 'missing_parts': case when len(missing) > 0 then missing end, 'recent_history': coalesce(entries, []), 'schema': coalesce(columns, []), 'table': table_name}")} as varchar) as table_json
@@ -272,11 +276,11 @@ CTES["table_docs"] = f"""
                        case when columns is null then 'schema' end], lambda x: x is not null) as missing
         from (select table_name, list({dropped("{'col_name': col_name, 'comment': comment, 'data_type': data_type}")} order by ordinal) as columns
               from table_columns group by table_name)
-        full join (select table_name, list({dropped("{'operation': operation, 'timestamp': strftime(ts, '%Y-%m-%d %H:%M:%S'), 'version': version}")} order by rank) as entries
+        full join (select table_name, list({dropped("{'operation': operation, 'timestamp': strftime(ts, '%Y-%m-%d %H:%M:%S'), 'user_name': user_name, 'version': version}")} order by rank) as entries
               from (select *, row_number() over (partition by table_name order by version desc, ts desc, operation desc) as rank from table_history)
               where rank <= {V.MAX_HISTORY_PER_TABLE} group by table_name) using (table_name)
         full join (select 'lake.sales.t' || c_custkey as table_name,
-                     [to_json({{'format': 'parquet', 'num_files': c_nationkey}})] as details from customer) using (table_name))"""
+                     [to_json({{'format': 'parquet', 'location': '/lake/sales/t' || c_custkey, 'num_files': c_nationkey, 'partition_columns': ['day']}})] as details from customer) using (table_name))"""
 
 TABLES = ["page_refs", "table_columns", "table_history", "table_docs"]
 
@@ -306,26 +310,52 @@ CTES["codes"] = f"""
           case when failure_code_path = '' then {lit(V.NO_CODE_PATH)} end as warning
         from cases left join source_code s on s.path = nullif(failure_code_path, ''))"""
 
+_TASK_JSON = dropped("t")
+_JOB_JSON = dropped(
+    "{'creator': creator, 'settings': {'name': name, 'schedule': schedule, "
+    f"'tasks': list_transform(setting_tasks, lambda t: {_TASK_JSON})}}}}"
+)
+_RUN_JSON = dropped(
+    "{'job_id': cast(source_job_id as bigint), 'run_id': cast(source_run_id as bigint), 'run_name': run_name, "
+    f"'run_page_url': 'https://runs.example/' || source_run_id, 'tasks': list_transform(tasks, lambda t: {_TASK_JSON})}}"
+)
+_ALL_RUNS = "(select *, cast(job_id as varchar) as source_job_id, cast(run_id as varchar) as source_run_id from runs)"
+
+SQL["run_documents"] = with_tables("runs") + f"""
+select run_id, job_id, run_name, cast(len(tasks) as integer) as n_tasks, document,
+  array_to_string({refs(leaves('document'))}, ',') as refs
+from (select *, cast({_RUN_JSON} as varchar) as document from {_ALL_RUNS})"""
+
+SQL["settings_documents"] = with_tables("settings") + f"""
+select job_id, document, array_to_string(list_transform(setting_tasks, lambda t: t.task_key), ',') as task_keys,
+  array_to_string(list_transform(setting_tasks, lambda t: cast({_TASK_JSON} as varchar)), e'\\n') as task_documents,
+  array_to_string({refs(leaves('document'))}, ',') as refs
+from (select *, cast({_JOB_JSON} as varchar) as document from (select *, tasks as setting_tasks from settings))"""
+
+SQL["repeated_deliveries"] = with_tables("runs", "heads") + """
+select cast(job_id as varchar) as source_job_id, cast(run_id as varchar) as source_run_id, event_id,
+  'delivered again: ' || (1 + run_id // 10 % 2) as reason
+from heads where run_id // 10 % 3 = 0"""
+
+CTES["documents_of"] = f"""
+  select event_id, cast({_RUN_JSON} as varchar) as run_json,
+    case when has_settings then cast({_JOB_JSON} as varchar) else '{{}}' end as job_json
+  from cases"""
+
 CTES["event_refs"] = f"""
   select event_id, list_sort(list_distinct(flatten([
-      {refs("concat_ws(e'\\n', run_name, array_to_string(list_transform(tasks, lambda t: concat_ws(e'\\n', " + leaves('t') + ", t.state.result_state, t.state.state_message, t.status.termination_details.code, t.status.termination_details.message, t.status.termination_details.\"type\")), e'\\n'))")},
-      {refs("concat_ws(e'\\n', name, array_to_string(list_transform(setting_tasks, lambda t: " + leaves('t') + "), e'\\n'))")},
+      {refs(leaves('run_json'))},
+      {refs(leaves('job_json'))},
       {refs("concat_ws(e'\\n', o.error, o.logs, o.notebook_output, o.output_json)")},
       {refs("concat_ws(e'\\n', codes.path, codes.source)")}
     ]))) as refs
-  from cases join heads using (event_id) join (select * from output_docs where ord = 5) o using (event_id)
+  from cases join documents_of using (event_id) join (select * from output_docs where ord = 5) o using (event_id)
     join codes using (event_id)"""
 
-_TASK_JSON = dropped("t")
-_JOB_JSON = dropped(f"{{'name': name, 'tasks': list_transform(setting_tasks, lambda t: {_TASK_JSON})}}")
-_RUN_JSON = dropped(
-    f"{{'job_id': job_id, 'run_id': run_id, 'run_name': run_name, 'tasks': list_transform(tasks, lambda t: {_TASK_JSON})}}"
-)
-
 CTES["evidence"] = f"""
-  select event_id, 1 as ord, '' as detail, 'job_run' as collector_name, cast({_RUN_JSON} as varchar) as evidence_json from heads
+  select event_id, 1 as ord, '' as detail, 'job_run' as collector_name, run_json as evidence_json from documents_of
   union all
-  select event_id, 2, '', 'job_settings', case when has_settings then '{{"settings":' || cast({_JOB_JSON} as varchar) || '}}' else '{{}}' end from cases
+  select event_id, 2, '', 'job_settings', job_json from documents_of
   union all
   select event_id, 3, '', 'failed_task_settings',
     case when task_settings is null then '{{}}' else cast({dropped('task_settings')} as varchar) end from cases
@@ -341,7 +371,7 @@ CTES["evidence"] = f"""
   select event_id, 8, '', 'error_summary',
     cast(to_json({{'error_description': error_description, 'error_type': error_type}}) as varchar) from summaries"""
 
-REFS = [*OUTPUTS, "source_code", "codes", "event_refs"]
+REFS = [*OUTPUTS, "source_code", "codes", "documents_of", "event_refs"]
 EVIDENCE = [*REFS, *TABLES, "evidence"]
 
 SQL["refs_per_event_top10"] = with_tables(*REFS) + f"""
@@ -419,6 +449,13 @@ select event_id, '{V.DEFAULT_PROMPT_NAME}' as prompt_name, '{V.DEFAULT_PROMPT_AL
   {_filled_template()} as user_prompt
 from cases join bundles using (event_id) join event_refs using (event_id)"""
 
+SQL["stream_analysis"] = f"""
+select e.*, n_evidence, evidence_chars, md5(user_prompt) as prompt_md5
+from ({SQL['event_rows']}) e
+left join ({with_tables(*EVIDENCE)} select event_id, count(*) as n_evidence, cast(sum(length(evidence_json)) as bigint) as evidence_chars
+           from evidence group by event_id) using (event_id)
+left join ({SQL['render_prompt']}) using (event_id)"""
+
 # Reports ---------------------------------------------------------------------------------------
 
 

@@ -16,18 +16,21 @@ def typed(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def runs_from_documents(documents: DataFrame, text: str, event_ts: Column) -> DataFrame:
-    """Runs from a column of run-detail JSON; unknown keys are skipped, missing ones are null."""
-    run = F.from_json(text, S.RUN_DETAILS)
-    return (
-        documents.withColumn("event_ts", event_ts.cast("timestamp"))
-        .withColumn("run", run)
-        .select("run.run_id", "run.job_id", "run.run_name", "event_ts", "run.tasks")
+    """Runs from a column of run-detail JSON; missing keys are null, the whole text is kept as ``document``."""
+    read = documents.select(
+        F.from_json(text, S.RUN_DETAILS).alias("run"),
+        event_ts.cast("timestamp").alias("event_ts"),
+        F.col(text).alias("document"),
     )
+    return read.select("run.run_id", "run.job_id", "run.run_name", "event_ts", "run.tasks", "document")
 
 
 def settings_from_documents(documents: DataFrame, job_id: str, text: str) -> DataFrame:
-    document = F.from_json(text, S._row(("settings", S.SETTINGS)))
-    return documents.select(F.col(job_id).cast("bigint").alias("job_id"), document["settings"].alias("settings"))
+    """Job settings from a column of JSON; the whole text is kept as ``document``."""
+    parsed = F.from_json(text, S._row(("settings", S.SETTINGS)))
+    return documents.select(
+        F.col(job_id).cast("bigint").alias("job_id"), parsed["settings"].alias("settings"), F.col(text).alias("document")
+    )
 
 
 def source_files(spark: SparkSession, path: str) -> DataFrame:

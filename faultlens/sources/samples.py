@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from faultlens import schemas as S
 from faultlens.functions.text import iso_utc, table_refs
 from faultlens.operators.joins import spread_lookup
+from faultlens.sources.readers import runs_from_documents, settings_from_documents
 
 # Error texts by event number; one text carries two markers to show which rule comes first.
 ERROR_TEXTS = [
@@ -77,8 +78,11 @@ def line_tasks(lineitem: DataFrame) -> DataFrame:
 # Run documents from events ---------------------------------------------------------------------
 
 
-def event_runs(events: DataFrame) -> DataFrame:
-    """Runs with one to three tasks each, built within the row."""
+def event_documents(events: DataFrame) -> DataFrame:
+    """JSON documents of runs with one to three tasks each, built within the row.
+
+    They hold keys that the run schema does not know, among them the only mention of some tables.
+    """
     n = F.col("event_id")
     is_error = F.col("event_type") == "error"
 
@@ -89,10 +93,15 @@ def event_runs(events: DataFrame) -> DataFrame:
         i = i.cast("bigint")
         hit = is_error & (i == n % 3)
         return F.struct(
+            F.when(i > 0, F.array(F.struct(join_text("task_", i - 1).alias("task_key")))).alias("depends_on"),
             block(i, 0, "notebook_path", "/jobs/page_", n % 300).alias("notebook_task"),
             block(i, 2, "package_name", "pkg_", F.col("user_id")).alias("python_wheel_task"),
             F.when((n + i) % 13 != 0, n * 10 + i + 1).alias("run_id"),
             block(i, 1, "python_file", "/src/etl_", F.col("user_id"), ".py").alias("spark_python_task"),
+            F.when(
+                i == 1,
+                F.struct(join_text('select "id"\nfrom `lake`.raw.orders_', n % 50, " -- \\").alias("query")),
+            ).alias("sql_task"),
             F.struct(
                 F.when(hit, "FAILED").when(n % 5 != 0, "SUCCESS").alias("result_state"),
                 F.when(hit, join_text("failed reading `lake`.sales.t", F.col("user_id"))).alias("state_message"),
@@ -107,13 +116,19 @@ def event_runs(events: DataFrame) -> DataFrame:
             join_text("task_", (n + i * i) % 4).alias("task_key"),
         )
 
-    return events.select(
-        (n * 10).alias("run_id"),
+    details = F.struct(
         (F.col("user_id") * 11).alias("job_id"),
+        (n * 10).alias("run_id"),
         F.when(n % 4 != 0, join_text("run of job ", F.col("user_id"))).alias("run_name"),
-        F.col("ts").cast("timestamp").alias("event_ts"),
+        join_text("https://runs.example/", n * 10).alias("run_page_url"),
         F.transform(F.sequence(F.lit(0).cast("bigint"), n % 3), task).alias("tasks"),
     )
+    return events.select(F.col("ts").cast("timestamp").alias("event_ts"), F.to_json(details).alias("details"))
+
+
+def event_runs(events: DataFrame) -> DataFrame:
+    """The same read back from the documents."""
+    return runs_from_documents(event_documents(events), "details", F.col("event_ts"))
 
 
 def event_outputs(events: DataFrame) -> DataFrame:
@@ -133,13 +148,14 @@ def event_outputs(events: DataFrame) -> DataFrame:
     )
 
 
-def customer_settings(customer: DataFrame) -> DataFrame:
+def customer_documents(customer: DataFrame) -> DataFrame:
+    """JSON documents of job settings, with keys that the settings schema does not know."""
     c = F.col("c_custkey")
     none = F.lit(None).cast("map<string,string>")
 
     def entry(key: Column, notebook: Column = none, wheel: Column = none, script: Column = none) -> Column:
         return F.struct(
-            notebook.alias("notebook_task"), wheel.alias("python_wheel_task"),
+            (c % 4).alias("max_retries"), notebook.alias("notebook_task"), wheel.alias("python_wheel_task"),
             script.alias("spark_python_task"), key.alias("task_key"),
         )
 
@@ -150,9 +166,17 @@ def customer_settings(customer: DataFrame) -> DataFrame:
         entry(F.lit("task_1"), notebook=F.create_map(F.lit("notebook_path"), F.lit(""))),
     )
     settings = F.struct(
-        F.col("c_name").alias("name"), F.when(c % 10 != 9, tasks).alias("tasks")
-    ).cast(S.SETTINGS)
-    return customer.select(c.alias("job_id"), settings.alias("settings"))
+        F.col("c_name").alias("name"),
+        F.struct(join_text("after lake.ref.calendar_", c % 7).alias("note")).alias("schedule"),
+        F.when(c % 10 != 9, tasks).alias("tasks"),
+    )
+    details = F.struct(F.col("c_mktsegment").alias("creator"), settings.alias("settings"))
+    return customer.select(c.alias("job_id"), F.to_json(details).alias("details"))
+
+
+def customer_settings(customer: DataFrame) -> DataFrame:
+    """The same read back from the documents."""
+    return settings_from_documents(customer_documents(customer), "job_id", "details")
 
 
 def page_and_document_sources(pages: DataFrame, documents: DataFrame) -> DataFrame:
@@ -196,10 +220,12 @@ def snapshot_history(pages: DataFrame, orders: DataFrame) -> DataFrame:
     of_pages = page_refs(pages).select(
         "table_name", F.col("page_id").alias("version"),
         F.timestamp_seconds(F.col("page_id") * 60).alias("ts"), F.lit("WRITE").alias("operation"),
+        join_text("writer_", F.col("page_id") % 3).alias("user_name"),
     )
     of_sales = orders.select(
         join_text("lake.sales.t", F.col("o_custkey")).alias("table_name"), F.col("o_orderkey").alias("version"),
         F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderstatus").alias("operation"),
+        F.col("o_orderpriority").alias("user_name"),
     )
     return of_pages.unionByName(of_sales)
 
@@ -209,6 +235,8 @@ def snapshot_details(customer: DataFrame) -> DataFrame:
         join_text("lake.sales.t", F.col("c_custkey")).alias("table_name"),
         F.lit("parquet").alias("format"),
         F.col("c_nationkey").cast("bigint").alias("num_files"),
+        join_text("/lake/sales/t", F.col("c_custkey")).alias("location"),
+        F.array(F.lit("day")).alias("partition_columns"),
     )
 
 

@@ -6,15 +6,26 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from faultlens.operators.failures import qualifying_runs
+from faultlens.operators.failures import qualifying_runs, with_document
 from faultlens.plans import analysis
 
 
 def qualifying_stream(runs: DataFrame) -> DataFrame:
-    """Stream of runs with a failed task; stateless."""
-    return qualifying_runs(runs)
+    """Stream of runs with a failed task, each once.
+
+    A run that is delivered again, in the same or a later micro-batch, is dropped by its job, run and
+    event time; runs without a job or run id are told apart by their text, for they end as rejects. Only these
+    keys are kept as state, without a watermark, since no run may be lost for being late; on a cluster
+    the state belongs into Spark's RocksDB store.
+    """
+    failed = with_document(qualifying_runs(runs))
+    keyless = F.col("job_id").isNull() | F.col("run_id").isNull()
+    told_apart = F.when(keyless, F.xxhash64("document")).otherwise(F.lit(0).cast("bigint"))
+    once = failed.withColumn("_other", told_apart).dropDuplicates(["job_id", "run_id", "event_ts", "_other"])
+    return once.drop("_other")
 
 
 def on_failures(

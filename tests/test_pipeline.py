@@ -1,6 +1,7 @@
 """Two-phase analysis of a few hand-written runs."""
 
 import json
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from faultlens import fixed_values as V
 from faultlens import schemas as S
+from faultlens.operators import evidence as E
 from faultlens.operators import prompts as P
 from faultlens.plans import analysis
 from faultlens.sources.readers import runs_from_documents, settings_from_documents
@@ -182,6 +184,52 @@ def test_run_documents_in_json(spark):
     assert by_id[None].tasks is None
 
 
+def test_whole_documents_are_kept_and_searched(spark):
+    task_text = {"task_key": "load", "state": {"result_state": "FAILED"}, "depends_on": [{"task_key": "a.b.c"}],
+                 "sql_task": {"query": 'select "x" from `lake`.raw.orders -- \\\n"'}, "w.x.y": 1.50}
+    run = json.dumps({"job_id": 7, "run_id": 1, "run_page_url": "http://host/1", "tasks": [task_text]})
+    job = json.dumps({"creator": "me", "settings": {"name": "n", "tags": {"k": "main.ops.tags"}, "tasks": [
+        {"task_key": "other", "retries": 0}, {"task_key": "load", "retries": 2}, {"task_key": "load"}]}})
+    frame = spark.createDataFrame([(run, job)], "run string, job string")
+    runs = runs_from_documents(frame, "run", F.lit("2024-01-01"))
+    settings = settings_from_documents(frame.withColumn("id", F.lit(7)), "id", "job")
+    got = analysis.collect(replace(inputs(spark), runs=runs, settings=settings), "p", "a")
+    shown = {r.collector_name: r.evidence_json for r in got.evidence.collect()}
+    assert shown["job_run"] == run and shown["job_settings"] == job
+    assert json.loads(shown["failed_task_settings"]) == {"task_key": "load", "retries": 2}
+    assert got.refs.first().refs == ["a.b.c", "lake.raw.orders", "main.ops.tags"]  # no reference from a key
+
+
+def test_all_columns_of_a_snapshot_are_kept(spark):
+    known = inputs(spark)
+    history = known.table_history.withColumn("user_name", F.lit("u")).withColumn("metrics", F.create_map(F.lit("rows"), F.lit(1)))
+    details = known.table_details.withColumn("location", F.lit('/"x"'))
+    found = E.table_documents(known.table_columns, history, details).where("table_name = 'lake.sales.t00'").first()
+    document = json.loads(found.table_json)
+    assert document["detail"] == [{"format": "parquet", "num_files": 3, "location": '/"x"'}]
+    assert document["recent_history"][0]["metrics"] == {"rows": 1} and document["recent_history"][0]["user_name"] == "u"
+
+
+def test_repeated_and_simultaneous_runs(spark):
+    known = inputs(spark)
+    one = known.runs.where("run_id = 1")
+    close = one.withColumn("event_ts", F.col("event_ts") + F.expr("interval 300 milliseconds"))
+    runs = one.unionByName(one).unionByName(one).unionByName(close)
+    got = analysis.collect(replace(known, runs=runs), "p", "a")
+    ids = [r.case_id for r in got.asked.collect()]
+    assert got.events.count() == len(ids) == len(set(ids)) == 2
+    assert got.requests.count() == 2 and got.requests.select("event_id").distinct().count() == 1
+    assert got.evidence.groupBy("case_id").count().select("count").distinct().collect() == [Row(count=17)]
+    assert [r.reason for r in got.rejects.collect()] == ["delivered again: 2"]
+    by_event = spark.createDataFrame([(r.event_id, None, ["one"], None, None) for r in got.events.limit(1).collect()], S.MODEL_RESPONSES)
+    attempts = spark.createDataFrame([], S.DELIVERY_ATTEMPTS)
+    assert analysis.report(got.asked, by_event, attempts).reports.count() == 2
+    said = [(case, None, [f"answer {case}"], None, None) for case in ids]
+    by_case = spark.createDataFrame(said, S.MODEL_RESPONSES).withColumnRenamed("event_id", "case_id")
+    reports = analysis.report(got.asked, by_case, attempts).reports.collect()
+    assert {json.loads(r.report_json)["summary"] for r in reports} == {f"answer {case}" for case in ids}
+
+
 def test_settings_documents_in_json(spark):
     text = json.dumps({"settings": {"name": "n", "tasks": [{"task_key": "t", "spark_python_task": {"python_file": "/f"}}]}})
     frame = spark.createDataFrame([("7", text), ("8", "{}")], "job string, details string")

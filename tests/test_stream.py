@@ -43,11 +43,26 @@ def test_only_new_files_are_analysed(spark, tmp_path):
     first = sum(seen)
     run()
     assert sum(seen) == first > 0
-    events.where(errors).write.mode("append").parquet(f"{tmp_path}/in")
+    later = events.where(errors).withColumn("event_id", F.col("event_id") + 10_000_000)
+    later.write.mode("append").parquet(f"{tmp_path}/in")
+    events.where(errors).write.mode("append").parquet(f"{tmp_path}/in")  # delivered again
     run()
     assert sum(seen) == 2 * first
 
 
+def test_runs_without_a_key_stay_apart(spark, tmp_path):
+    from tests.test_pipeline import inputs
+
+    runs = inputs(spark).runs
+    nameless = runs.where("run_id is null")
+    runs.unionByName(nameless.withColumn("run_name", F.lit("other"))).write.parquet(f"{tmp_path}/in")
+    seen = []
+    stream = spark.readStream.schema(runs.schema).parquet(f"{tmp_path}/in")
+    note = lambda batch, _: seen.extend(r.run_name for r in batch.where("run_id is null").collect())
+    failed_runs.on_failures(stream, note, f"{tmp_path}/checkpoint").awaitTermination()
+    assert sorted(seen) == ["no id", "other"]
+
+
 def test_each_batch_is_analysed_in_full(spark, tmp_path):
     from tests.test_pipeline import inputs
 
