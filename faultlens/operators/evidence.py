@@ -16,7 +16,7 @@ from faultlens import fixed_values as V
 from faultlens.functions.json_text import string_values
 from faultlens.functions.text import decode_utf8, table_refs, truncate
 from faultlens.operators.failures import classify_error, describe_error
-from faultlens.operators.joins import spread_lookup, unique_lookup
+from faultlens.operators.joins import asked_for, spread_lookup, unique_lookup
 
 KEYS = ["case_id", "event_id", "source_job_id", "source_run_id", "event_ts"]
 
@@ -113,7 +113,7 @@ def output_evidence(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     def part(name: str) -> Column:
         return F.when(F.col(name).isNotNull(), truncate(F.col(name), V.RUN_OUTPUT_LIMIT)).alias(name)
 
-    short = outputs.select(
+    short = asked_for(outputs, "run_id", asked, F.col("asked.id")).select(
         "run_id", part("error"), part("logs"), part("notebook_output"), "output_json", F.lit(True).alias("present")
     )
     found = unique_lookup(asked, short, F.col("asked.id"), "run_id", F.col("case_id"))
@@ -153,9 +153,10 @@ def code_evidence(cases: DataFrame, source_code: DataFrame) -> DataFrame:
 
     Shortening and the search for references happen once per path, before the lookup.
     """
-    shown = source_code.select("path", truncate(_as_text(source_code), V.SOURCE_CODE_LIMIT).alias("source"))
-    source = shown.withColumn("source_refs", table_refs(F.concat_ws("\n", "path", "source")))
     path = F.nullif(F.col("failure_code_path"), F.lit(""))
+    text = truncate(_as_text(source_code), V.SOURCE_CODE_LIMIT).alias("source")
+    shown = asked_for(source_code, "path", cases, path).select("path", text)
+    source = shown.withColumn("source_refs", table_refs(F.concat_ws("\n", "path", "source")))
     found = spread_lookup(cases.select(*KEYS, "failure_code_path"), source, path, "path", F.col("case_id"))
     missing = F.concat(F.lit("LookupError: no source recorded for "), path)
     document = F.struct(
@@ -197,19 +198,28 @@ def _row_json(columns: list[str], **shown: Column) -> Column:
     return F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)]))
 
 
-def table_documents(columns: DataFrame, history: DataFrame, details: DataFrame) -> DataFrame:
+def table_documents(
+    columns: DataFrame, history: DataFrame, details: DataFrame, wanted: DataFrame | None = None
+) -> DataFrame:
     """One document per table from three independent snapshots; absent parts are named.
 
     Snapshots may have any further columns, all are kept. Rows become JSON before a single
     aggregation merges the snapshots. Its groups are as large as a table is wide, plus at most five
-    history entries and the detail row.
+    history entries and the detail row. ``wanted`` with a column ``ref`` names the only tables that a
+    document is made for. History is ranked before it is cut to them: that way a table with
+    a very long history is reduced where its rows are read.
     """
+    newest = recent_history(history)
+    if wanted is not None:
+        columns, newest, details = (
+            asked_for(part, "table_name", wanted, F.col("ref")) for part in (columns, newest, details)
+        )
     moment = {"timestamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")}
     of_column = F.struct("ordinal", _row_json([c for c in columns.columns if c != "ordinal"]).alias("text"))
     of_entry = F.struct("rank", _row_json([c for c in history.columns if c != "ts"], **moment).alias("text"))
     parts = [
         columns.select("table_name", of_column.alias("column")),
-        recent_history(history).select("table_name", of_entry.alias("entry")),
+        newest.select("table_name", of_entry.alias("entry")),
         details.select("table_name", _row_json(details.columns).alias("detail")),
     ]
     merged = (
@@ -244,10 +254,13 @@ def table_documents(columns: DataFrame, history: DataFrame, details: DataFrame)
     return merged.select("table_name", F.concat(F.lit("{"), document, F.lit("}")).alias("table_json"))
 
 
+def top_refs() -> Column:
+    return F.slice("refs", 1, V.MAX_TABLES_PER_EVENT)
+
+
 def table_evidence(refs: DataFrame, tables: DataFrame) -> DataFrame:
     """Table documents of the first ten references of an event; a table may be referenced by many."""
-    top = F.slice("refs", 1, V.MAX_TABLES_PER_EVENT)
-    asked = refs.select(*KEYS, F.explode(top).alias("ref"))
+    asked = refs.select(*KEYS, F.explode(top_refs()).alias("ref"))
     found = spread_lookup(asked, tables, F.col("ref"), "table_name", F.col("case_id"))
     missing = F.to_json(
         F.struct(

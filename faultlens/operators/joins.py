@@ -46,6 +46,16 @@ def spread_lookup(
     return left.join(right, keys, "left").drop(*keys)
 
 
+def asked_for(lookup: DataFrame, key: str, facts: DataFrame, fact_key: Column) -> DataFrame:
+    """Rows of a ``lookup`` that some fact asks for; work on its texts is then done for no others.
+
+    The keys are made distinct before they move. Where they are few, as for a batch of new runs
+    against a whole archive, Spark sees their size and filters the lookup where it is read.
+    """
+    wanted = facts.select(fact_key.alias("_wanted")).where("_wanted is not null").distinct()
+    return lookup.join(wanted, F.col(key) == F.col("_wanted"), "left_semi")
+
+
 def by_case(cases: DataFrame, known: DataFrame) -> tuple[DataFrame, str]:
     """What a service returned and the key it is looked up by, the other key dropped.
 

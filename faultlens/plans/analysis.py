@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from faultlens import session
 from faultlens.functions.text import iso_utc
 from faultlens.operators import evidence as E
 from faultlens.operators import failures, notify, prompts, reports
+from faultlens.operators.joins import asked_for
 from faultlens.schemas import EVENTS, EVIDENCE, REPORTS
 from faultlens.sinks.tables import align, append_path, append_table
 
@@ -37,16 +39,100 @@ class Inputs:
 class Collected:
     """Outcome of the first phase: what is known before the model is asked.
 
-    ``asked`` holds the cases that have a request, with their error class and prompt; it is what the
-    second phase starts from and is to be stored when the phases run apart.
+    Outputs are built when they are first read, so a caller that wants only some of them does not
+    pay for the others; what several share is written once by ``keep``. ``cases`` holds one narrow
+    row of keys per failed run, ``delivered`` the same before repeats are taken out.
     """
 
-    events: DataFrame
-    evidence: DataFrame
-    refs: DataFrame
-    asked: DataFrame
-    requests: DataFrame
-    rejects: DataFrame
+    inputs: Inputs
+    runs: DataFrame
+    delivered: DataFrame
+    incomplete: DataFrame
+    cases: DataFrame
+    prompt_name: str
+    prompt_alias: str
+    channel: str
+    keep: Stage
+
+    @property
+    def events(self) -> DataFrame:
+        return align(event_rows(self.cases, self.channel), EVENTS)
+
+    @cached_property
+    def outputs(self) -> DataFrame:
+        """Output evidence, with the error class and description beside the blamed task's row."""
+        return self.keep(E.output_evidence(self.cases, self.inputs.outputs), "outputs")
+
+    @cached_property
+    def found(self) -> DataFrame:
+        """Evidence that does not depend on the references found in it."""
+        documents = failures.with_event_id(
+            self.runs.withColumn("task", failures.blamed_task(F.col("tasks")))
+        ).select(
+            "case_id",
+            "event_id",
+            F.col("job_id").cast("string").alias("source_job_id"),
+            F.col("run_id").cast("string").alias("source_run_id"),
+            "event_ts", "document", "_digest",
+        )
+        job = F.col("source_job_id").cast("bigint")
+        settings = E.settings_documents(asked_for(self.inputs.settings, "job_id", self.cases, job))
+        others = (
+            E.run_evidence(failures.first_deliveries(documents, "_digest"))
+            .unionByName(E.settings_evidence(self.cases, settings))
+            .unionByName(E.code_evidence(self.cases, self.inputs.source_code))
+        )
+        return self.keep(others, "evidence").unionByName(self.outputs)
+
+    @cached_property
+    def refs(self) -> DataFrame:
+        return self.keep(E.event_refs(self.found), "refs")
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        given = self.inputs
+        wanted = self.refs.select(F.explode(E.top_refs()).alias("ref"))
+        tables = E.table_documents(given.table_columns, given.table_history, given.table_details, wanted)
+        plain = [*E.KEYS, "ord", "detail", "collector_name", "evidence_json"]
+        return (
+            self.found.select(*plain)
+            .unionByName(E.table_evidence(self.refs, tables))
+            .unionByName(E.summary_evidence(self.outputs))
+        )
+
+    @cached_property
+    def _judged(self) -> tuple[DataFrame, DataFrame]:
+        """Cases with the prompt they are asked with, and those that can't be asked."""
+        chosen = prompts.select_prompt(self.inputs.prompts, self.prompt_name, self.prompt_alias)
+        return prompts.assign_prompt(self.cases, chosen, self.prompt_name, self.prompt_alias)
+
+    @cached_property
+    def asked(self) -> DataFrame:
+        """Cases that have a request, with their error class and prompt.
+
+        The second phase starts from it; it is to be stored when the phases run apart.
+        """
+        summary = self.outputs.where(F.col("collector_name") == V.FAILED_TASK_OUTPUT).select(
+            "case_id", "error_type", "error_description"
+        )
+        accepted = self._judged[0].drop("temperature", "max_tokens", "system_prompt", "pieces")
+        return accepted.join(summary, "case_id", "left")
+
+    @property
+    def requests(self) -> DataFrame:
+        refs = self.refs.select("case_id", "refs")
+        return prompts.prompt_requests(self._judged[0], E.bundle(self.evidence), refs)
+
+    @property
+    def rejects(self) -> DataFrame:
+        """Runs without keys, surplus deliveries and cases that can't be asked, with the reason."""
+        without_keys = self.incomplete.select(
+            F.col("job_id").cast("string").alias("source_job_id"),
+            F.col("run_id").cast("string").alias("source_run_id"),
+            F.lit(None).cast("string").alias("event_id"),
+            "reason",
+        )
+        return self._judged[1].unionByName(failures.repeated_deliveries(self.delivered)).unionByName(without_keys)
 
 
 @dataclass(frozen=True)
@@ -105,50 +191,7 @@ def collect(
     keyed = failures.first_deliveries(delivered, "_digest").drop("_digest")
     settings = inputs.settings.select("job_id", "settings")
     cases = keep(failures.identify(keyed, settings).drop("settings", "task_settings"), "cases")
-
-    documents = failures.with_event_id(runs.withColumn("task", failures.blamed_task(F.col("tasks")))).select(
-        "case_id",
-        "event_id",
-        F.col("job_id").cast("string").alias("source_job_id"),
-        F.col("run_id").cast("string").alias("source_run_id"),
-        "event_ts", "document", "_digest",
-    )
-    found = keep(
-        E.run_evidence(failures.first_deliveries(documents, "_digest"))
-        .unionByName(E.settings_evidence(cases, E.settings_documents(inputs.settings)))
-        .unionByName(E.output_evidence(cases, inputs.outputs))
-        .unionByName(E.code_evidence(cases, inputs.source_code)),
-        "evidence",
-    )
-    refs = keep(E.event_refs(found), "refs")
-    tables = E.table_documents(inputs.table_columns, inputs.table_history, inputs.table_details)
-    plain = [*E.KEYS, "ord", "detail", "collector_name", "evidence_json"]
-    everything = (
-        found.select(*plain)
-        .unionByName(E.table_evidence(refs, tables))
-        .unionByName(E.summary_evidence(found))
-    )
-    summary = found.where(F.col("collector_name") == V.FAILED_TASK_OUTPUT).select(
-        "case_id", "error_type", "error_description"
-    )
-    chosen = prompts.select_prompt(inputs.prompts, prompt_name, prompt_alias)
-    accepted, unasked = prompts.assign_prompt(cases, chosen, prompt_name, prompt_alias)
-    asked = accepted.drop("temperature", "max_tokens", "system_prompt", "pieces").join(summary, "case_id", "left")
-    return Collected(
-        events=align(event_rows(cases, channel), EVENTS),
-        evidence=everything,
-        refs=refs,
-        asked=asked,
-        requests=prompts.prompt_requests(accepted, E.bundle(everything), refs.select("case_id", "refs")),
-        rejects=unasked.unionByName(failures.repeated_deliveries(delivered)).unionByName(
-            incomplete.select(
-                F.col("job_id").cast("string").alias("source_job_id"),
-                F.col("run_id").cast("string").alias("source_run_id"),
-                F.lit(None).cast("string").alias("event_id"),
-                "reason",
-            )
-        ),
-    )
+    return Collected(inputs, runs, delivered, incomplete, cases, prompt_name, prompt_alias, channel, keep)
 
 
 def report(

@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from faultlens.operators.joins import spread_lookup, unique_lookup
+from faultlens.operators.joins import asked_for, by_case, spread_lookup, unique_lookup
 
 
 def facts(spark, n=6000):
@@ -93,3 +93,16 @@ def test_adaptive_execution_splits_a_hot_key(spark):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def test_asked_for_keeps_asked_rows_once(spark):
+    lookup = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    facts = spark.createDataFrame([("a",), ("a",), ("z",), (None,)], "f string")
+    assert [tuple(r) for r in asked_for(lookup, "k", facts, F.col("f")).collect()] == [("a", 1)]
+    assert asked_for(lookup, "k", facts.limit(0), F.col("f")).count() == 0
+
+
+def test_by_case_prefers_the_case_id(spark):
+    both = spark.createDataFrame([("c", "e")], "case_id string, event_id string")
+    assert by_case(both, both)[1] == "case_id" and by_case(both, both)[0].columns == ["case_id"]
+    assert by_case(both.drop("case_id"), both)[1] == "event_id"

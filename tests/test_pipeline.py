@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from faultlens import fixed_values as V
 from faultlens import schemas as S
 from faultlens.operators import evidence as E
+from faultlens.operators import failures
 from faultlens.operators import prompts as P
 from faultlens.plans import analysis
 from faultlens.sources.readers import runs_from_documents, settings_from_documents
@@ -248,3 +249,33 @@ def test_inserted_values_are_not_scanned_again(spark):
     pieces = P.template_pieces(F.lit("{{{source_job_id}}} {discovered_tables}"))
     filled = P.fill_template(pieces, {"source_job_id": F.lit("{discovered_tables}"), "discovered_tables": F.lit("T")})
     assert spark.range(1).select(filled.alias("x")).first().x == "{{discovered_tables}} T"
+
+
+def test_only_what_is_read_is_written(spark):
+    written = []
+
+    def keep(frame, label):
+        written.append(label)
+        return frame
+
+    got = analysis.collect(inputs(spark), "p", "a", keep=keep)
+    assert got.asked.count() == 3 and written == ["cases", "outputs"]
+    assert got.requests.count() == 3 and written == ["cases", "outputs", "evidence", "refs"]
+    assert got.evidence.count() > 0 and len(written) == 4
+
+
+def test_lookups_are_cut_to_what_is_asked_before_their_texts_are_read(spark):
+    known = inputs(spark)
+    got = analysis.collect(known, "p", "a", keep=lambda frame, _: frame)
+    code = E.code_evidence(got.cases, known.source_code)
+    plan = code._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    # In the printed tree an operator stands above its inputs: the search is done on what the join leaves.
+    assert plan.index("regexp_extract_all") < plan.index("LeftSemi")
+
+
+def test_a_run_delivered_often_is_reduced_where_it_is_read(spark):
+    runs = inputs(spark).runs.where("run_id = 1").withColumn("digest", F.lit(1))
+    first = failures.first_deliveries(failures.heads(runs), "digest")
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("WindowGroupLimit") > plan.index("Exchange")
