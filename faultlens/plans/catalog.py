@@ -19,6 +19,7 @@ from faultlens.operators.joins import spread_lookup
 from faultlens.plans import analysis
 from faultlens.sinks import tables as sink
 from faultlens.sources import samples
+from faultlens.sources.readers import runs_from_documents
 from faultlens.streaming import failed_runs
 
 AS_OF = "2001-08-01"
@@ -537,7 +538,7 @@ def repeated_deliveries(table) -> DataFrame:
 @query
 def run_documents(table) -> DataFrame:
     """Run documents read from JSON: what was parsed, and the references anywhere in the text."""
-    runs = samples.event_runs(table("events"))
+    runs = runs_from_documents(samples.event_documents(table("events")), "details", F.col("event_ts"))
     return runs.select(
         "run_id", "job_id", "run_name", F.size("tasks").alias("n_tasks"), "document",
         F.array_join(E.document_refs(F.col("document")), ",").alias("refs"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from faultlens import schemas as S
 from faultlens.functions.text import iso_utc, table_refs
 from faultlens.operators.joins import spread_lookup
-from faultlens.sources.readers import runs_from_documents, settings_from_documents
+from faultlens.sources.readers import settings_from_documents
 
 # Error texts by event number; one text carries two markers to show which rule comes first.
 ERROR_TEXTS = [
@@ -123,12 +123,16 @@ def event_documents(events: DataFrame) -> DataFrame:
         join_text("https://runs.example/", n * 10).alias("run_page_url"),
         F.transform(F.sequence(F.lit(0).cast("bigint"), n % 3), task).alias("tasks"),
     )
-    return events.select(F.col("ts").cast("timestamp").alias("event_ts"), F.to_json(details).alias("details"))
+    moment = F.col("ts").cast("timestamp").alias("event_ts")
+    return events.select(moment, details.alias("run"), F.to_json(details).alias("details"))
 
 
 def event_runs(events: DataFrame) -> DataFrame:
-    """The same read back from the documents."""
-    return runs_from_documents(event_documents(events), "details", F.col("event_ts"))
+    """The same as parsed rows beside the text, so that a filter on them does not parse it again."""
+    tasks = F.transform("run.tasks", lambda task: task.dropFields("depends_on", "sql_task")).alias("tasks")
+    return event_documents(events).select(
+        "run.run_id", "run.job_id", "run.run_name", "event_ts", tasks, F.col("details").alias("document")
+    )
 
 
 def event_outputs(events: DataFrame) -> DataFrame:
