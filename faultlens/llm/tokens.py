@@ -3,6 +3,9 @@
 A text is cut at single spaces, its pieces at the vocabulary's own word boundaries, and each distinct
 word goes through the library once while it is cached. Byte-level BPE merges only inside a word, so
 the ids of a text are those of its words in order.
+
+The vocabulary's added tokens (``<|endoftext|>``) come first: a text is cut at their literals, each
+has its own id, and only what lies between them is cut into words.
 """
 
 from __future__ import annotations
@@ -20,7 +23,10 @@ WORDS_KEPT = 100_000
 
 
 class CachedEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids. Caches are emptied when full."""
+    """Encodes ordinary text to little-endian unsigned 32-bit ids. Caches are emptied when full.
+
+    Literals of added tokens are ordinary text here; ``TextEncoder`` cuts texts at them before.
+    """
 
     def __init__(self, path: str):
         import os
@@ -101,11 +107,38 @@ class CachedEncoder:
         return self._encode_words(first) + b"".join(map(self._pieces.__getitem__, pieces))
 
 
-_ENCODERS: dict[str, CachedEncoder] = {}
+class TextEncoder:
+    """Encodes whole texts as the library does without ``add_special_tokens``."""
+
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        self._ordinary = CachedEncoder(path).encode
+        self._tokenizer = Tokenizer.from_file(path)
+        added = self._tokenizer.get_added_tokens_decoder()
+        self._codes = {token.content: array("I", [i]).tobytes() for i, token in added.items()}
+        # Of several literals at one place the longest counts.
+        literals = sorted(map(regex.escape, self._codes), key=len, reverse=True)
+        self._literals = regex.compile(f"({'|'.join(literals)})") if literals else None
+        # Tokens that take white space with them, or only stand alone, are left to the library.
+        self._bare = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+
+    def encode(self, text: str) -> bytes:
+        if not self._literals or not self._literals.search(text):
+            return self._ordinary(text)
+        if not self._bare:
+            return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        # Every second part is a literal.
+        parts = self._literals.split(text)
+        return b"".join(self._codes[part] if i % 2 else self._ordinary(part) for i, part in enumerate(parts))
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def encoder(path: str) -> CachedEncoder:
+def encoder(path: str) -> TextEncoder:
     """The worker's encoder for the tokenizer file at ``path``, which every machine has."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = CachedEncoder(path)
+        _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]

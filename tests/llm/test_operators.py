@@ -26,7 +26,7 @@ from faultlens.llm import (
     toxicity,
 )
 from faultlens.llm.queries import tokenizer_path
-from faultlens.llm.tokens import CachedEncoder
+from faultlens.llm.tokens import CachedEncoder, encoder
 
 SPACE = " \t\n\x0b\x0c\r"
 LONG = "the long line of an old text\n" * 400 + "tail " * 3000
@@ -156,6 +156,21 @@ def test_cached_encoder_equals_the_library():
         assert encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", " lead  <|endoftext|>end \n", "<|endoftext| >", LONG + "<|endoftext|> z"]
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    plain = Tokenizer.from_file(tokenizer_path())
+    ids = [plain.encode(text, add_special_tokens=False).ids for text in ADDED]
+    assert ids[0] == [64, 220, 50256, 275]
+    assert [encoder(tokenizer_path()).encode(text) for text in ADDED] == [np.array(i, "<u4").tobytes() for i in ids]
+    rows = frame(spark, [(i, text, "", "") for i, text in enumerate(ADDED)])
+    found = token_files.read(spark, token_files.write(rows, tokenizer_path(), 2), with_ids=True).orderBy("start").collect()
+    assert [r.ids for r in found] == [[*i, 2] for i in ids]
+    packed = packing.packed(rows, tokenizer_path(), 10**6, 0, with_ids=True).orderBy("doc_id").collect()
+    assert [r.ids for r in packed] == [[*i, 0] for i in ids]
+
+
 def test_token_files_round_trip(spark, odd):
     written = token_files.write(odd, tokenizer_path(), 2)
     found = token_files.read(spark, written, with_ids=True).collect()
