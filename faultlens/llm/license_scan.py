@@ -1,22 +1,30 @@
 """Licence texts and notices in documents, by Dice coefficient over word bigrams; DataFrame functions only.
 
-Texts are normalised to lower-case words of ASCII letters and digits. A document is looked at whole and
-line by line. For bags of bigrams a and b, Dice is 2 |a & b| / (|a| + |b|), so a template of n bigrams can
-reach a threshold t only in a text of n t / (2 - t) to n (2 - t) / t bigrams: a unit outside the bounds
-of every template is passed over for its number of words, and the others meet only the templates within
-their bounds. Bigrams find their templates in a table of the templates' bigrams, which is broadcast:
-its size is that of the template list given, not of the data. Only bigrams of templates go on from
-there, dealt by document and row, so a hot source costs what its documents cost.
+Texts are normalised to lower-case words of ASCII letters and digits. A document is looked at whole, line
+by line, and in every run of consecutive words, so that a notice wrapped over lines of a longer document
+and a sentence inside a longer line are found. For bags of bigrams a and b, Dice is 2 |a & b| / (|a| + |b|),
+so a template of n bigrams can reach a threshold t only in a text of n t / (2 - t) to n (2 - t) / t bigrams,
+n t / (2 - t) of them shared: other units, and documents that share fewer, are passed over. Bigrams find
+their templates in a table of the templates' bigrams, which is broadcast: its size is that of the template
+list given, not of the data. Only bigrams of templates go on from there, dealt by document and row, so a
+hot source costs what its documents cost.
+
+The best run of words begins and ends with a shared bigram. A start is left out where the run that begins
+one or two places before it always scores as high, or where too few shared bigrams follow. Of runs of
+one template that share a third of their words the best score stays, then, over templates, the one that shares
+most bigrams. A run inside a line or document that matches the same template is not told twice.
+Comparing runs takes the square of the number of matching runs in one document.
 
 Defined cases: null and empty texts match nothing; a text of one word has no bigrams; of equal scores the
-whole document comes before its lines, then the first line, then the first template id; rows that repeat
-are answered alike; an empty table gives no rows. Other columns are not read.
+whole document comes before its lines, then the first line (of a run: where it begins), then the first
+template id; rows that repeat are answered alike; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +32,9 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
+# Numbers in place of a line: the document itself, so that documents without a match stay, and its runs of words.
+_ITSELF, _RUNS = -1, -2
+
 # Wordings of public licences, as their publishers give them. Ids follow SPDX.
 TEMPLATES = {
     "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the "
@@ -110,8 +121,9 @@ def scan(
 ) -> DataFrame:
     """One row per document.
 
-    ``matches`` are the units (line 0: the whole document) that reach the threshold with their best
-    template; ``license_id``, ``score`` and ``line`` are the best of them, null where there is none.
+    ``matches`` are the units that reach the threshold with their best template (line 0: the whole
+    document) and the runs of words that reach it elsewhere (line where they begin); ``license_id``,
+    ``score`` and ``line`` are the best of them, null where there is none.
     """
     bags = {name: bag for name, text in sorted((templates or TEMPLATES).items()) if (bag := template_bigrams(text))}
     table = _template_table(docs, bags, threshold)
@@ -124,33 +136,56 @@ def scan(
         plain.alias("plain"),
     )
 
-    def unit(line: Column, words: Column) -> Column:
+    def unit(line: Column, words: Column, counts: Column | None = None) -> Column:
         n = F.char_length(words) - F.char_length(F.replace(words, F.lit(" "), F.lit("")))
-        return F.struct(line.cast("int").alias("line"), n.alias("n"), words.alias("words"))
+        counts = F.lit(None).cast("array<int>") if counts is None else counts
+        return F.struct(line.cast("int").alias("line"), n.alias("n"), words.alias("words"), counts.alias("counts"))
 
-    whole = F.array(unit(F.lit(0), F.btrim(F.regexp_replace("plain", "[ \n]+", " "))))
-    lines = F.transform(F.split("plain", "\n", -1), lambda x, i: unit(i + 1, F.btrim(x)))
+    joined = F.btrim(F.regexp_replace("plain", "[ \n]+", " "))
+    cut = F.split("plain", "\n", -1)
+    lines = F.transform(cut, lambda x, i: unit(i + 1, F.btrim(x)))
     fits = lambda u: reduce(lambda a, b: a | b, [u["n"].between(*span) for span in _spans(sizes)], F.lit(False))
-    itself = F.array(F.struct(F.lit(-1).alias("line"), F.lit(0).alias("n"), F.lit("").alias("words")))
+    counts = F.transform(cut, lambda x: F.when(F.btrim(x) == "", 0).otherwise(F.size(F.split(F.btrim(x), " "))))
+    itself = F.array(unit(F.lit(_ITSELF), F.lit(""), counts))
+    runs = F.filter(F.array(unit(F.lit(_RUNS), joined)), lambda u: u["n"] >= min((low for low, _ in sizes), default=0))
     key = ["doc_id", "_text", "_row"]
-    units = rows.select(*key, F.explode(F.concat(itself, F.filter(F.concat(whole, lines), fits))).alias("u"))
-    words = units.select(*key, "u.line", "u.n", F.split("u.words", " ").alias("words"))
+    found_units = F.filter(F.concat(F.array(unit(F.lit(0), joined)), lines), fits)
+    units = rows.select(*key, F.explode(F.concat(itself, runs, found_units)).alias("u"))
+    words = units.select(*key, "u.line", "u.n", "u.counts", F.split("u.words", " ").alias("words"))
     pairs = F.zip_with(
         F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    own = F.when(F.col("line") < 0, F.array(F.lit(""))).otherwise(pairs)
-    found = words.select(*key, "line", "n", F.explode(own).alias("bigram")).join(F.broadcast(table), "bigram")
-    found = found.where(F.col("n").between(F.col("low"), F.col("high"))).repartition(*key)
+    own = F.when(F.col("line") == _ITSELF, F.array(F.lit(""))).otherwise(pairs)
+    found = words.select(*key, "line", "n", "counts", F.posexplode(own).alias("place", "bigram")).join(F.broadcast(table), "bigram")
+    is_run = F.col("line") == _RUNS
+    in_bounds = F.when(is_run, F.col("n") >= F.col("low")).otherwise(F.col("n").between(F.col("low"), F.col("high")))
+    found = found.where(in_bounds).repartition(*key)
     # All groups below keep a document in its partition.
-    unit_key = [*key, "line", "n", "license_id", "template_size"]
-    shared = found.groupBy(*unit_key, "bigram", "in_template").agg(F.count("*").alias("here"))
-    common = F.sum(F.least("here", "in_template")).cast("double")
-    scored = shared.groupBy(*unit_key).agg((F.lit(2.0) * common / F.nullif(F.col("n") + F.col("template_size"), F.lit(0))).alias("score"))
-    best = scored.groupBy(*key, "line").agg(F.max("score").alias("score"), F.collect_list(F.struct("score", "license_id")).alias("all"))
+    unit_key = [*key, "line", "n", "counts", "license_id", "template_size", "low", "high"]
+    places = F.collect_list(F.when(is_run, F.col("place")))
+    shared = found.groupBy(*unit_key, "bigram", "in_template").agg(F.count("*").alias("here"), places.alias("places"))
+    common = F.sum(F.least("here", "in_template"))
+    groups = F.collect_list(F.when(is_run, F.struct(F.array_sort("places").alias("places"), "in_template")))
+    totals = shared.groupBy(*unit_key).agg(common.alias("common"), groups.alias("groups"))
+    score = F.lit(2.0) * F.col("common").cast("double") / F.nullif(F.col("n") + F.col("template_size"), F.lit(0))
+    enough = is_run & (F.col("common") >= F.col("low"))
+    scored = totals.select(
+        *key, "line", "counts", "license_id", F.when(~is_run, score).alias("score"),
+        F.when(enough, _runs(threshold)).alias("runs"),
+    )
+    best = scored.groupBy(*key, "line", "counts").agg(
+        F.max("score").alias("score"), F.collect_list(F.struct("score", "license_id")).alias("all"),
+        F.flatten(F.collect_list("runs")).alias("runs"),
+    )
     first = F.array_min(F.transform(F.filter("all", lambda s: s["score"] == F.col("score")), lambda s: s["license_id"]))
     unit_match = F.when(F.col("score") >= threshold, F.struct("line", "score", first.alias("license_id")))
-    documents = best.groupBy(*key).agg(F.array_sort(F.collect_list(unit_match)).alias("matches"), F.max("score").alias("top"))
+    documents = best.groupBy(*key).agg(
+        F.collect_list(unit_match).alias("units"), F.flatten(F.collect_list("runs")).alias("runs"),
+        F.first("counts", ignorenulls=True).alias("counts"),
+    )
+    documents = documents.select("doc_id", F.array_sort(F.concat("units", _untold(F.col("runs")))).alias("matches"))
+    documents = documents.withColumn("top", F.array_max(F.transform("matches", lambda m: m["score"])))
     top = F.filter("matches", lambda m: m["score"] == F.col("top"))
     top = F.when(F.size(top) > 0, top[0])
     return documents.select(
@@ -159,6 +194,102 @@ def scan(
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _runs(threshold: float) -> Column:
+    """Runs of words that reach the threshold against one template.
+
+    A hit at place p counts in a run from s on when fewer than ``in_template`` equal ones lie between:
+    when the one that many before it, q, is before s. r is the one that many after it.
+    """
+    n, low, high = F.col("template_size"), F.col("low"), F.col("high")
+
+    def hit(group: Column) -> Column:
+        times, own = group["in_template"], group["places"]
+        return F.transform(own, lambda p, i: F.struct(
+            p.alias("p"), F.coalesce(F.when(i >= times, F.get(own, i - times)), F.lit(-1)).alias("q"),
+            F.coalesce(F.get(own, i + times), F.lit(2**31 - 1)).alias("r"),
+        ))
+
+    def starts(hits: Column) -> Column:
+        def open_at(i: Column) -> Column:
+            here, before = F.get(hits, i)["p"], F.get(hits, i - 1)
+            behind = (i > 0) & (here - before["p"] <= 2) & (before["r"].cast("bigint") > before["p"] + high + 1)
+            enough = F.coalesce(F.get(hits, i + low - 1)["p"] < here + high, F.lit(False))
+            return enough & ~F.coalesce(behind, F.lit(False))
+
+        return F.filter(F.sequence(F.lit(0), F.size(hits) - 1), open_at)
+
+    def best_from(hits: Column, i: Column) -> Column:
+        def step(so_far: Column, h: Column) -> Column:
+            common = so_far["now"] + F.when(h["q"] < so_far["start"], 1).otherwise(0)
+            length = h["p"] - so_far["start"] + 1
+            score = F.lit(2.0) * common / (n + length)
+            better = (length <= high) & (score > so_far["score"])
+            pick = lambda new, old: F.when(better, new).otherwise(so_far[old]).alias(old)
+            return F.struct(
+                so_far["start"].alias("start"), common.cast("int").alias("now"), pick(score, "score"),
+                pick(common.cast("int"), "common"), pick(h["p"], "stop"),
+            )
+
+        zero = F.struct(
+            F.get(hits, i)["p"].alias("start"), F.lit(0).alias("now"), F.lit(0.0).alias("score"), F.lit(0).alias("common"),
+            F.lit(-1).alias("stop"),
+        )
+        return F.aggregate(F.slice(hits, i + 1, high), zero, step)
+
+    def all_runs(hits: Column) -> Column:
+        ends = F.filter(F.transform(starts(hits), lambda i: best_from(hits, i)), lambda w: w["score"] >= threshold)
+        named = F.transform(ends, lambda w: F.struct(
+            (-w["score"]).alias("_1"), (-w["common"]).alias("_2"), w["start"].alias("start"), w["stop"].alias("stop"),
+            F.col("license_id").alias("license_id"),
+        ))
+        return _apart(named)
+
+    return _let(F.array_sort(F.flatten(F.transform("groups", hit))), all_runs)
+
+
+def _apart(runs: Column) -> Column:
+    """Runs in their order, without those that share a third of a run before them."""
+
+    def near(a: Column, b: Column) -> Column:
+        both = F.least(a["stop"], b["stop"]) - F.greatest(a["start"], b["start"]) + 1
+        return both * 3 > F.least(a["stop"] - a["start"], b["stop"] - b["start"]) + 1
+
+    nothing = F.filter(runs, lambda w: F.lit(False))
+    keep = lambda kept, w: F.when(F.exists(kept, lambda k: near(k, w)), kept).otherwise(F.concat(kept, F.array(w)))
+    return F.aggregate(F.array_sort(runs), nothing, keep)
+
+
+def _untold(runs: Column) -> Column:
+    """Of all templates' runs those that stand for themselves, as matches; ``units`` and ``counts`` are the document's."""
+    by_common = F.transform(runs, lambda w: F.struct(
+        w["_2"].alias("_1"), w["_1"].alias("_2"), w["start"].alias("start"), w["stop"].alias("stop"), w["license_id"].alias("license_id"),
+    ))
+
+    def line_of(word: Column) -> Column:
+        def step(so_far: Column, count: Column) -> Column:
+            inside = so_far["before"] + count > word
+            return F.when(so_far["done"] | inside, F.struct(so_far["before"], so_far["line"], F.lit(True).alias("done"))).otherwise(
+                F.struct((so_far["before"] + count).alias("before"), (so_far["line"] + 1).alias("line"), F.lit(False).alias("done"))
+            )
+
+        zero = F.struct(F.lit(0).alias("before"), F.lit(1).alias("line"), F.lit(False).alias("done"))
+        return F.aggregate("counts", zero, step, lambda so_far: so_far["line"])
+
+    placed = F.transform(_apart(by_common), lambda w: F.struct(
+        line_of(w["start"]).alias("line"), (-w["_2"]).alias("score"), w["license_id"].alias("license_id"),
+        line_of(w["stop"] + 1).alias("last"),
+    ))
+    told = lambda w: F.exists("units", lambda m: (m["license_id"] == w["license_id"]) & (
+        (m["line"] == 0) | ((m["line"] == w["line"]) & (w["line"] == w["last"]))
+    ))
+    return F.transform(F.filter(placed, lambda w: ~told(w)), lambda w: F.struct(w["line"], w["score"], w["license_id"]))
+
+
 def _spans(sizes: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping or touching ranges joined."""
     out: list[tuple[int, int]] = []

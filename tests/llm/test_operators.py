@@ -101,6 +101,50 @@ def test_license_scan(spark, odd):
     assert [r.score for r in twice] == [1.0, 1.0]
 
 
+def wrapped(text, width=70, mark=" * "):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+CODE = "\n".join(f"int value_{i} = compute_{i}(left_{i}, right_{i});" for i in range(400))
+
+
+def test_license_in_the_middle_of_a_document(spark):
+    mit, gpl = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["GPL-3.0-notice"]
+    line = license_scan.TEMPLATES["MIT-line"]
+    rows = [
+        (1, f"/*\n{wrapped(mit)}\n */\n{CODE}", "MIT", 2), (2, f"{CODE}\n{wrapped(gpl, 60, '# ')}\n{CODE}", "GPL-3.0-notice", 401),
+        (3, f"One thing to know about this work is its terms. {line} Ask the team for anything else you need.", "MIT-line", 1),
+        (4, f"{CODE}\nx {line} {wrapped(mit)}\n{wrapped(mit)}\n{CODE}", "MIT", 401), (5, CODE + mit[:300] + CODE, None, None),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, [(i, t, "", "") for i, t, *_ in rows])).collect()}
+    assert [(i, got[i].license_id, got[i].line) for i, *_ in rows] == [(i, name, line) for i, _, name, line in rows]
+    assert {got[i].score for i in range(1, 5)} == {1.0}
+    assert sorted(m.license_id for m in got[4].matches) == ["MIT", "MIT", "MIT-line"]
+
+
+def test_best_run_of_words_equals_all_runs(spark):
+    rng = random.Random(8)
+    template = "a b c a b d e f a b g"
+    bag = license_scan.template_bigrams(template)
+    rows = []
+    for i in range(60):
+        words = [w for w in template.split() * rng.choice([1, 1, 2, 3]) if rng.random() > 0.1 or rng.random() > 0.5]
+        for _ in range(rng.randint(0, 5)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["x", "a", "b"]))
+        words = rng.choices("abxyz", k=rng.randint(0, 30)) + words + rng.choices("abxyz", k=rng.randint(0, 30))
+        rows.append((i, "".join(w + rng.choice([" ", " ", " ", "\n"]) for w in words), "", ""))
+    found = {r.doc_id: r.score for r in license_scan.scan(frame(spark, rows), {"T": template}).collect()}
+    for i, text, *_ in rows:
+        words = text.split()
+        best = max(
+            2 * (license_scan.template_bigrams(" ".join(words[a:b])) & bag).total() / (b - a - 1 + bag.total())
+            for a in range(len(words)) for b in range(a + 2, len(words) + 1)
+        )
+        assert found[i] == (pytest.approx(best) if best >= 0.8 else None), text
+
+
 @pytest.mark.parametrize("n", [1, 4, 9, 40])
 def test_license_bounds_are_tight(n):
     low, high = license_scan.bounds(n, 0.8)
