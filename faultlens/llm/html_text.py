@@ -5,8 +5,11 @@ stands in links. A node's density sum is the sum over its children; the subtree
 the text. The smallest density on the path from it to the body is the threshold by which other parts
 of the page still count as text, where no article element says what belongs together.
 
-What is never text (menus, headers, footers, forms, scripts, ... by element, role or the words of class
-and id; hidden parts; reader comments) is taken out before densities are computed.
+What is never text (menus, headers, footers, scripts, ... by element or role; hidden parts) is taken out
+before densities are computed. Forms, and the words of class and id (sidebars, notices, reader comments),
+only say that a part may not be text. Such a part stays when it holds the page's largest article, stands
+under a heading of its own, is a heading, or when parts without many links that have its word hold half of
+the text around them, as page wrappers do.
 
 The tree is built leniently: elements that end where another begins are closed there, end tags without
 a start are ignored, and a page may stop anywhere. Text between blocks is joined by one line break,
@@ -55,11 +58,11 @@ _NO_P = BLOCKS - frozenset("body caption dd dt html legend li optgroup option tb
 
 # Parts that are not the article, by element, role, and word of class or id.
 NOT_TEXT = frozenset(
-    "head script style noscript template nav footer aside form button select textarea iframe object embed svg math "
+    "head script style noscript template nav footer aside button select textarea iframe object embed svg math "
     "canvas dialog menu audio video map title xmp noembed noframes search".split()
 )
 NOT_TEXT_ROLES = frozenset(
-    "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split()
+    "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist".split()
 )
 NOT_TEXT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial adsense banner breadcrumb breadcrumbs "
@@ -78,6 +81,8 @@ class _Tree:
         self.tags = ["#"]
         self.parents = [-1]
         self.out = [False]
+        # Words of class and id of nodes that may not be text.
+        self.doubted: dict[int, set[str]] = {}
         # (node, None) where an element starts, (node, text) for text, (-1 - node, None) where it ends.
         self.events: list[tuple[int, str | None]] = [(0, None)]
 
@@ -92,10 +97,17 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
     own = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
     if "hidden" in own or own.get("aria-hidden") == "true" or own.get("role") in NOT_TEXT_ROLES:
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")):
-        return True
-    words = set(_WORDS.findall(f"{own.get('class', '')} {own.get('id', '')}")) & NOT_TEXT_WORDS
-    return bool(words - {"header"} if in_article else words)
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")))
+
+
+def _doubt(tag: str, attributes: str, in_article: bool) -> set[str] | None:
+    """Words of class and id, of a node by which it may not be text."""
+    if tag in _WHOLE or tag in HEADINGS or (not attributes and tag != "form"):
+        return None
+    own = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
+    words = set(_WORDS.findall(f"{own.get('class', '')} {own.get('id', '')}"))
+    found = words & NOT_TEXT_WORDS - ({"header"} if in_article else set())
+    return words if found or tag == "form" or own.get("role") == "form" else None
 
 
 def parse(page: str) -> _Tree:
@@ -149,6 +161,8 @@ def parse(page: str) -> _Tree:
         parent_out = tree.out[stack[-1]]
         in_article = "article" in names or "main" in names
         tree.out.append(parent_out or _left_out(tag, attributes, in_article))
+        if not tree.out[node] and (words := _doubt(tag, attributes, in_article)) is not None:
+            tree.doubted[node] = words
         tree.events.append((node, None))
         if tag in VOID or (attributes.endswith("/") and tag not in BLOCKS and tag not in RAW):
             tree.events.append((-1 - node, None))
@@ -162,9 +176,82 @@ def parse(page: str) -> _Tree:
                 tree.events.append((node, page[at:stop]))
             at = stop
     close_to(1)
+    if tree.doubted:
+        _settle(tree)
     return tree
 
 
+def _settle(tree: _Tree) -> None:
+    """Take out the doubted parts that are not the page's text."""
+    n = len(tree.tags)
+    chars, links = [0] * n, [0] * n
+    titles: dict[int, list[str]] = {}
+    # The nearest article, link and heading each node stands in.
+    scope, in_link, title = [0] * n, [False] * n, [0] * n
+    for node in range(1, n):
+        up, tag = tree.parents[node], tree.tags[node]
+        scope[node] = node if tag in ("article", "main") else scope[up]
+        in_link[node] = tag == "a" or in_link[up]
+        title[node] = node if tag in HEADINGS else title[up]
+    for node, text in tree.events:
+        if text is not None and not tree.out[node]:
+            chars[node] += len("".join(text.split()))
+            if title[node]:
+                titles.setdefault(title[node], []).append(text)
+    for node in range(n):
+        links[node] = chars[node] * in_link[node]
+    headed: dict[int, int] = {}  # first heading of a node
+    for node in range(n - 1, 0, -1):
+        up = tree.parents[node]
+        chars[up] += chars[node]
+        links[up] += links[node]
+        own = node if tree.tags[node] in HEADINGS and node in titles else headed.get(node)
+        if own:
+            headed[up] = own
+    articles = [node for node in range(n) if tree.tags[node] in ("article", "main") and not tree.out[node]]
+    largest = max(articles, key=lambda node: (chars[node], -node), default=0)
+    marked = largest and 4 * chars[largest] >= chars[0]
+    holders = set()
+    node = largest
+    while node > 0:
+        holders.add(node)
+        node = tree.parents[node]
+    few_links = {node for node in tree.doubted if 2 * links[node] < chars[node]}
+
+    # Text that each such word marks in an article or outside, where words repeat by the outermost part.
+    held: dict[tuple[int, str], int] = {}
+    reasons = {node: words & NOT_TEXT_WORDS or {"<form>"} for node, words in tree.doubted.items()}
+    for node in few_links - holders:
+        seen: set[str] = set()
+        up = tree.parents[node]
+        while up > 0 and scope[up] == scope[node]:
+            if up in few_links and up not in holders:
+                seen |= reasons[up]
+            up = tree.parents[up]
+        for word in reasons[node] - seen:
+            held[scope[node], word] = held.get((scope[node], word), 0) + chars[node]
+
+    def stays(node: int) -> bool:
+        if node in holders and largest:
+            return True
+        if node not in few_links:
+            return False
+        around = scope[node]
+        if around == 0 and marked:
+            return False
+        if all(2 * held.get((around, word), 0) >= chars[around] for word in reasons[node]):
+            return True
+        if node not in headed:
+            return False
+        words = tree.doubted[node]
+        own = set(_WORDS.findall("".join(titles[headed[node]]).lower()))
+        return around > 0 or tree.tags[headed[node]] == "h1" or bool(words) and words <= own
+
+    for node in range(1, n):
+        if tree.out[tree.parents[node]] or (node in tree.doubted and not stays(node)):
+            tree.out[node] = True
+
+
 def _densities(tree: _Tree) -> tuple[list[float], list[float]]:
     """Composite density and density sum of each node."""
     n = len(tree.tags)

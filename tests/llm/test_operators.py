@@ -278,6 +278,32 @@ def test_main_text(page, blocks):
     assert len(text) == blocks
 
 
+WRAPPED = [
+    "<body><div class='layout with-sidebar'><nav><a href=/>Home</a></nav><article>{}</article></div></body>",
+    "<body class=x><div class='has-cookie-banner nav-open'><div id=top><main>{}</main></div><div class=sidebar>Side</div></div>",
+    "<body><form id='aspnetForm'><div class=post>{}</div><div class=footer>Imprint</div></form></body>",
+    "<body><div class='layout with-sidebar'><div class=post>{}</div></div></body>",
+    "<body><article><div class='elementor-widget'>{}</div><div class=share-buttons>Share</div></article></body>",
+    "<body><article>{}</article><div class=related><article><h3>Other</h3>A teaser</article></div></body>",
+]
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_wrappers_keep_their_article(page):
+    expected = ["Title & more", "First paragraph of the article, with a link in it.", "Second one here"]
+    assert html_text.main_text(page.format(ARTICLE)).split("\n") == expected
+
+
+def test_headings_with_ids_of_their_words():
+    parts = [("related-work", "Related work"), ("social-impact", "Social impact"), ("cookies", "Cookies")]
+    page = ARTICLE + "".join(f"<h2 id='{i}'>{t}</h2><p>Text about {t}.</p>" for i, t in parts)
+    page += "<section id='sharing-data'><h2>Sharing data</h2><p>Text on that.</p></section>"
+    page += "<div class='related'><h3>See also</h3><a href=a>Another article</a> <a href=b>One more of them</a></div>"
+    text = [x for _, t in parts for x in (t, f"Text about {t}.")] + ["Sharing data", "Text on that."]
+    for whole in (f"<body><article>{page}</article>", f"<body><div class=post>{page}</div>"):
+        assert html_text.main_text(whole).split("\n")[3:] == text
+
+
 def test_main_text_of_odd_pages(spark):
     odd = {None: "", "": "", "plain & simple": "plain & simple", "<p>cut of<b": "cut of", "<style>p{}": "", "a<!-- b": "a",
            "<p>1 < 2 &amp": "1 < 2 &", "</div></p>x": "x"}
