@@ -26,6 +26,7 @@ import json
 from collections import Counter
 from collections.abc import Callable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +85,12 @@ TEMPLATES = {
 }
 
 
+def all_templates() -> dict[str, str]:
+    """The wordings above, and the full licences and further notices of ``licenses``, by file name."""
+    texts = {file.stem: file.read_text(encoding="utf-8") for file in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+    return TEMPLATES | texts
+
+
 def template_bigrams(text: str) -> Counter:
     """The bag of a template's bigrams."""
     import re
@@ -103,16 +110,16 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
 
 def _template_table(docs: DataFrame, bags: dict[str, Counter], threshold: float) -> DataFrame:
     rows = [
-        (bigram, name, count, bag.total(), *bounds(bag.total(), threshold))
+        {"license_id": name, "template_size": bag.total(), "low": low, "high": high, "bag": bag}
         for name, bag in bags.items()
-        for bigram, count in bag.items()
+        for low, high in [bounds(bag.total(), threshold)]
     ]
     # The empty bigram stands for the document itself, so that documents without a match stay.
-    rows.append(("", None, 0, 0, 0, 0))
-    names = ["bigram", "license_id", "in_template", "template_size", "low", "high"]
-    schema = "array<struct<bigram:string,license_id:string,in_template:int,template_size:int,low:int,high:int>>"
-    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
-    return docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), schema)))
+    rows.append({"license_id": None, "template_size": 0, "low": 0, "high": 0, "bag": {"": 0}})
+    sizes = ["license_id", "template_size", "low", "high"]
+    schema = "array<struct<license_id:string,template_size:int,low:int,high:int,bag:map<string,int>>>"
+    templates = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
+    return templates.select(*sizes, F.explode("bag").alias("bigram", "in_template"))
 
 
 def scan(
@@ -125,7 +132,7 @@ def scan(
     document) and the runs of words that reach it elsewhere (line where they begin); ``license_id``,
     ``score`` and ``line`` are the best of them, null where there is none.
     """
-    bags = {name: bag for name, text in sorted((templates or TEMPLATES).items()) if (bag := template_bigrams(text))}
+    bags = {name: bag for name, text in sorted((templates or all_templates()).items()) if (bag := template_bigrams(text))}
     table = _template_table(docs, bags, threshold)
     sizes = sorted(bounds(bag.total(), threshold) for bag in bags.values())
     text = F.coalesce(F.col(text_column), F.lit(""))

@@ -124,6 +124,17 @@ def test_license_in_the_middle_of_a_document(spark):
     assert sorted(m.license_id for m in got[4].matches) == ["MIT", "MIT", "MIT-line"]
 
 
+def test_full_licences_are_found(spark):
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "Zlib",
+             "CC0-1.0", "GPL-2.0-notice", "LGPL-2.1-notice", "LGPL-3.0-notice"]
+    texts = license_scan.all_templates()
+    rows = [(i, f"Copyright (c) 2020 Some One\n\n{texts[name]}", "", "") for i, name in enumerate(names)]
+    rows += [(100 + i, f"{CODE}\n{wrapped(texts[name])}\n{CODE}", "", "") for i, name in enumerate(names)]
+    found = {r.doc_id: r for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert [found[i].license_id for i in range(len(names))] == names
+    assert [(found[100 + i].license_id, found[100 + i].line) for i in range(len(names))] == [(name, 401) for name in names]
+
+
 def test_best_run_of_words_equals_all_runs(spark):
     rng = random.Random(8)
     template = "a b c a b d e f a b g"
