@@ -17,8 +17,11 @@ from faultlens.llm import (
     importance,
     license_scan,
     line_dedup,
+    merkle,
     packing,
+    quality_rules,
     simhash,
+    spelling,
     token_files,
     toxicity,
 )
@@ -112,10 +115,25 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.judge(read(spark, folder, "documents"))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    found = merkle.manifest(read(spark, folder, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    found = spelling.variants(read(spark, folder, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_license_scan, op2_line_dedup, op3_token_files, op4_html_text, op5_toxicity, op6_importance, op7_packing,
-        op8_simhash, op9_decontaminate, op10_exact_dedup,
+        op8_simhash, op9_decontaminate, op10_exact_dedup, op11_quality_rules, op12_merkle_manifest, op13_spelling_variants,
     )
 }
