@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from faultlens import fixed_values as V
 from faultlens.functions.json_text import string_values
-from faultlens.functions.text import decode_utf8, table_refs, truncate
+from faultlens.functions.text import decode_utf8, iso_utc, table_refs, truncate
 from faultlens.operators.failures import classify_error, describe_error
 from faultlens.operators.joins import asked_for, spread_lookup, unique_lookup
 
@@ -89,26 +89,15 @@ def settings_evidence(cases: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def output_evidence(cases: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Outputs of the root run and of the blamed task, found with one join.
+ERROR_FACTS = ["result_state", "state_message", "termination_code", "termination_message"]
+
+
+def _asked_outputs(cases: DataFrame, outputs: DataFrame, *asked: Column) -> DataFrame:
+    """Each case with the outputs that it asks for by run id; a null id asks for none and gets a warning.
 
-    Each case asks for two run ids; a case without a task run id asks for one and gets a warning
-    in place of the other. Texts are shortened before the join, which bounds what it moves. The
-    row of the blamed task also carries the error class and description.
+    Texts are shortened before the join, which bounds what it moves.
     """
-    asked = cases.select(
-        *KEYS,
-        "result_state",
-        "state_message",
-        "termination_code",
-        "termination_message",
-        F.explode(
-            F.array(
-                F.struct(F.lit(4).alias("ord"), F.col("source_run_id").cast("bigint").alias("id")),
-                F.struct(F.lit(5).alias("ord"), F.col("task_run_id").alias("id")),
-            )
-        ).alias("asked"),
-    )
+    wanted = cases.select(*KEYS, *ERROR_FACTS, F.explode(F.array(*asked)).alias("asked"))
 
     def part(name: str) -> Column:
         return F.when(F.col(name).isNotNull(), truncate(F.col(name), V.RUN_OUTPUT_LIMIT)).alias(name)
@@ -116,7 +105,7 @@ def output_evidence(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     short = outputs.select(
         "run_id", part("error"), part("logs"), part("notebook_output"), "output_json", F.lit(True).alias("present")
     )
-    found = unique_lookup(asked, short, F.col("asked.id"), "run_id", F.col("case_id"))
+    found = unique_lookup(wanted, short, F.col("asked.id"), "run_id", F.col("case_id"))
     asked_id = F.col("asked.id").cast("string")
     missing = F.concat(F.lit("LookupError: no output recorded for run "), asked_id)
     absent = F.col("present").isNull() & asked_id.isNotNull()
@@ -127,15 +116,35 @@ def output_evidence(cases: DataFrame, outputs: DataFrame) -> DataFrame:
         "output_json",
         F.when(asked_id.isNull(), F.lit(V.NO_TASK_RUN_ID)).alias("warning"),
     )
-    shown = found.withColumn("doc", document).withColumn("text", F.to_json("doc"))
-    is_task = F.col("asked.ord") == 5
-    refs = table_refs(F.concat_ws("\n", "doc.error", "doc.logs", "doc.notebook_output", "doc.output_json"))
-    none = F.array().cast("array<string>")
-    error_type = classify_error(F.col("text"), F.col("termination_code"), F.col("result_state"))
-    description = describe_error(
+    return found.withColumn("doc", document).withColumn("text", F.to_json("doc"))
+
+
+def _asked(order: int, run_id: Column) -> Column:
+    return F.struct(F.lit(order).alias("ord"), run_id.alias("id"))
+
+
+def _error_class() -> Column:
+    return classify_error(F.col("text"), F.col("termination_code"), F.col("result_state"))
+
+
+def _error_text() -> Column:
+    return describe_error(
         F.col("doc.error"), F.col("doc.notebook_output"), F.col("termination_message"),
         F.col("state_message"), F.col("text"),
     )
+
+
+def output_evidence(cases: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Outputs of the root run and of the blamed task, found with one join.
+
+    The row of the blamed task also carries the error class and description.
+    """
+    shown = _asked_outputs(
+        cases, outputs, _asked(4, F.col("source_run_id").cast("bigint")), _asked(5, F.col("task_run_id"))
+    )
+    is_task = F.col("asked.ord") == 5
+    refs = table_refs(F.concat_ws("\n", "doc.error", "doc.logs", "doc.notebook_output", "doc.output_json"))
+    none = F.array().cast("array<string>")
     return shown.select(
         *KEYS,
         F.col("asked.ord").alias("ord"),
@@ -143,11 +152,17 @@ def output_evidence(cases: DataFrame, outputs: DataFrame) -> DataFrame:
         F.when(is_task, V.FAILED_TASK_OUTPUT).otherwise(V.ROOT_RUN_OUTPUT).alias("collector_name"),
         F.col("text").alias("evidence_json"),
         F.when(is_task, refs).otherwise(none).alias("refs"),
-        F.when(is_task, error_type).alias("error_type"),
-        F.when(is_task, description).alias("error_description"),
+        F.when(is_task, _error_class()).alias("error_type"),
+        F.when(is_task, _error_text()).alias("error_description"),
     )
 
 
+def error_summaries(cases: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Error class and description of every case, without the rest of the evidence."""
+    shown = _asked_outputs(cases, outputs, _asked(5, F.col("task_run_id")))
+    return shown.select(*KEYS, _error_class().alias("error_type"), _error_text().alias("error_description"))
+
+
 def code_evidence(cases: DataFrame, source_code: DataFrame) -> DataFrame:
     """Source of the blamed task; one path may serve a large share of the cases.
 
@@ -214,7 +229,8 @@ def table_documents(
         columns, newest, details = (
             asked_for(part, "table_name", wanted, F.col("ref")) for part in (columns, newest, details)
         )
-    moment = {"timestamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")}
+    # To the second, in UTC whatever the session's zone.
+    moment = {"timestamp": F.replace(F.left(iso_utc(F.col("ts")), F.lit(19)), F.lit("T"), F.lit(" "))}
     of_column = F.struct("ordinal", _row_json([c for c in columns.columns if c != "ordinal"]).alias("text"))
     of_entry = F.struct("rank", _row_json([c for c in history.columns if c != "ts"], **moment).alias("text"))
     parts = [

@@ -104,6 +104,15 @@ def with_document(runs: DataFrame) -> DataFrame:
     return runs.withColumn("document", F.coalesce("document", built) if "document" in runs.columns else built)
 
 
+def delivery_rank(tasks: Column, document: Column) -> Column:
+    """Which of several deliveries of a run counts: the one with most tasks, then the longest text, then by digest."""
+    return F.struct(
+        (-F.coalesce(F.size(tasks), F.lit(0))).alias("tasks"),
+        (-F.char_length(document)).alias("length"),
+        F.md5(document).alias("digest"),
+    )
+
+
 def first_deliveries(runs: DataFrame, order: str) -> DataFrame:
     """One row per case of a feed that may deliver a run again: the one least by ``order``.
 
@@ -114,15 +123,28 @@ def first_deliveries(runs: DataFrame, order: str) -> DataFrame:
     return runs.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
 
 
-def repeated_deliveries(run_heads: DataFrame) -> DataFrame:
-    """One row per case that was delivered more than once, with the number of surplus rows."""
+def delivered_again(run_heads: DataFrame) -> DataFrame:
+    """(case_id, first_rank) of the cases that have more than one row."""
+    counted = run_heads.groupBy("case_id").agg(F.count("*").alias("_n"), F.min("_rank").alias("first_rank"))
+    return counted.where("_n > 1").drop("_n")
+
+
+def repeated_deliveries(run_heads: DataFrame, again: DataFrame) -> DataFrame:
+    """Rejects for all deliveries but the one that counts: a row for each text, with the number of its surplus rows.
+
+    ``again`` comes from ``delivered_again``, with a null rank for cases of which no delivery counts; all other
+    cases are left out before anything is grouped by text.
+    """
     keys = {"source_job_id": F.col("job_id").cast("string"), "source_run_id": F.col("run_id").cast("string")}
-    counted = run_heads.groupBy("case_id", *[value.alias(name) for name, value in keys.items()]).agg(
-        F.count("*").alias("deliveries"), F.min("event_id").alias("event_id")
-    )
-    surplus = (F.col("deliveries") - 1).cast("string")
-    return counted.where("deliveries > 1").select(
-        *keys, "event_id", F.concat(F.lit("delivered again: "), surplus).alias("reason")
+    texts = run_heads.join(again, "case_id").groupBy(
+        "case_id", "first_rank", "_rank", *[value.alias(name) for name, value in keys.items()]
+    ).agg(F.count("*").alias("n"), F.min("event_id").alias("event_id"))
+    counts = F.coalesce(F.col("_rank") == F.col("first_rank"), F.lit(False))
+    surplus = F.col("n") - counts.cast("int")
+    return texts.withColumn("surplus", surplus).where("surplus > 0").select(
+        *keys, "event_id",
+        F.concat(F.lit("delivered again: "), F.col("surplus").cast("string")).alias("reason"),
+        F.col("_rank.digest").alias("digest"),
     )
 
 
@@ -154,6 +176,24 @@ def with_event_id(runs: DataFrame) -> DataFrame:
     )
 
 
+def case_facts() -> list[Column]:
+    """What a case takes from its run and blamed task alone."""
+    return [
+        F.col("job_id").cast("string").alias("source_job_id"),
+        F.col("run_id").cast("string").alias("source_run_id"),
+        F.nullif(F.col("task.run_id"), F.lit(0).cast("bigint")).alias("task_run_id"),
+        F.col("task.state.result_state").alias("result_state"),
+        F.col("task.state.state_message").alias("state_message"),
+        F.col("task.status.termination_details.code").alias("termination_code"),
+        F.col("task.status.termination_details.message").alias("termination_message"),
+    ]
+
+
+def bare_cases(run_heads: DataFrame) -> DataFrame:
+    """Cases without what only the job settings know; enough to find outputs and classify errors."""
+    return run_heads.select("case_id", "event_id", "event_ts", "failed_task_key", *case_facts())
+
+
 def identify(run_heads: DataFrame, settings: DataFrame) -> DataFrame:
     """Look up the job settings: code path, job name and the task's own settings.
 
@@ -167,15 +207,9 @@ def identify(run_heads: DataFrame, settings: DataFrame) -> DataFrame:
         first_text(code_path(F.col("task_settings"))), first_text(code_path(F.col("task"))), F.lit("")
     )
     return joined.select(
-        F.col("job_id").cast("string").alias("source_job_id"),
-        F.col("run_id").cast("string").alias("source_run_id"),
+        *case_facts(),
         F.coalesce(first_text(F.col("run_name"), F.col("settings.name")), F.lit("")).alias("source_job_name"),
-        F.nullif(F.col("task.run_id"), F.lit(0).cast("bigint")).alias("task_run_id"),
         path.alias("failure_code_path"),
-        F.col("task.state.result_state").alias("result_state"),
-        F.col("task.state.state_message").alias("state_message"),
-        F.col("task.status.termination_details.code").alias("termination_code"),
-        F.col("task.status.termination_details.message").alias("termination_message"),
         "task_settings",
         *[name for name in settings.columns if name != "job_id"],
         *[name for name in run_heads.columns if name not in keep],

@@ -45,22 +45,26 @@ def select_prompt(prompts: DataFrame, name: str, alias: str, numeric_version: bo
     return active_prompts(named, numeric_version)
 
 
+# The prompt row shipped with the package, without its times.
+DEFAULT_PROMPT = {
+    "prompt_name": V.DEFAULT_PROMPT_NAME,
+    "prompt_alias": V.DEFAULT_PROMPT_ALIAS,
+    "prompt_version": V.DEFAULT_PROMPT_VERSION,
+    "is_active": "true",
+    "model_endpoint": V.DEFAULT_MODEL_ENDPOINT,
+    "temperature": V.DEFAULT_TEMPERATURE,
+    "max_tokens": V.DEFAULT_MAX_TOKENS,
+    "system_prompt": V.DEFAULT_SYSTEM_PROMPT,
+    "user_prompt_template": V.DEFAULT_USER_TEMPLATE,
+    "notes": "Default prompt for failed runs.",
+}
+
+
 def default_prompt(spark: SparkSession) -> DataFrame:
-    """The prompt row shipped with the package, stamped with the current time."""
+    """The shipped prompt, stamped with the current time."""
     now = iso_utc(F.current_timestamp())
-    row = {
-        "prompt_name": V.DEFAULT_PROMPT_NAME,
-        "prompt_alias": V.DEFAULT_PROMPT_ALIAS,
-        "prompt_version": V.DEFAULT_PROMPT_VERSION,
-        "is_active": "true",
-        "model_endpoint": V.DEFAULT_MODEL_ENDPOINT,
-        "temperature": V.DEFAULT_TEMPERATURE,
-        "max_tokens": V.DEFAULT_MAX_TOKENS,
-        "system_prompt": V.DEFAULT_SYSTEM_PROMPT,
-        "user_prompt_template": V.DEFAULT_USER_TEMPLATE,
-        "notes": "Default prompt for failed runs.",
-    }
-    shipped = spark.range(1).select(F.inline(F.array(F.struct(*[F.lit(v).alias(n) for n, v in row.items()]))))
+    values = [F.lit(v).alias(n) for n, v in DEFAULT_PROMPT.items()]
+    shipped = spark.range(1).select(F.inline(F.array(F.struct(*values))))
     return shipped.select("*", now.alias("created_at"), now.alias("updated_at"))
 
 
@@ -137,7 +141,9 @@ def assign_prompt(
         F.col("prompt.problem")
     )
     judged = cases.withColumn("prompt", chosen.scalar()).withColumn("reason", problem)
-    rejected = judged.where(F.col("reason").isNotNull()).select("source_job_id", "source_run_id", "event_id", "reason")
+    rejected = judged.where(F.col("reason").isNotNull()).select(
+        "source_job_id", "source_run_id", "event_id", "reason", F.lit(None).cast("string").alias("digest")
+    )
     accepted = judged.where(F.col("reason").isNull()).select(
         *cases.columns, *[f"prompt.{field}" for field in [*fields, "pieces"]]
     )

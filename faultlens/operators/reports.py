@@ -82,20 +82,55 @@ def parse_report(answers: DataFrame, text: Column, job_name: Column, task_key: C
     )
 
 
+ANSWER = ["choices", "predictions", "outputs", "error"]
+
+
+def _response_order(responses: DataFrame) -> Column:
+    """By time where the feed tells it, then by text, so that it doesn't depend on the order of arrival."""
+    moment = [F.col("answered_at")] if "answered_at" in responses.columns else []
+    return F.struct(*moment, F.to_json(F.struct(*ANSWER)))
+
+
+def first_responses(responses: DataFrame, key: str) -> DataFrame:
+    """One response per key: the first; combines before the shuffle."""
+    first = F.min_by(F.struct(*ANSWER), _response_order(responses)).alias("first")
+    return responses.groupBy(key).agg(first).select(key, *[F.col(f"first.{name}").alias(name) for name in ANSWER])
+
+
+def surplus_responses(responses: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
+    """(key, n, digest) of the responses beyond the first of each key; all of them where the key is among ``known``.
+
+    The digest is that of the last one's error or content.
+    """
+    content = response_content(F.col("choices"), F.col("predictions"), F.col("outputs"))
+    counted = responses.groupBy(key).agg(
+        F.count("*").alias("_n"),
+        F.max_by(F.md5(F.coalesce("error", content)), _response_order(responses)).alias("digest"),
+    )
+    first = F.lit(1)
+    if known is not None:
+        counted = counted.join(known.select(key, F.lit(0).alias("_first")), key, "left")
+        first = F.coalesce("_first", F.lit(1))
+    return counted.withColumn("n", F.col("_n") - first).where("n > 0").select(key, "n", "digest")
+
+
 def model_reports(cases: DataFrame, responses: DataFrame) -> DataFrame:
     """Report of every case; a missing or failed response gives the call-failed report.
 
-    ``cases`` needs event_id, source_job_name and failed_task_key. Responses are unique per case id,
-    or per event id where they have no case id.
+    ``cases`` needs event_id, source_job_name and failed_task_key. Of several responses for a case the first counts.
     """
     known, key = by_case(cases, responses)
-    answers = cases.join(known.withColumn("_answered", F.lit(True)), key, "left")
+    return answer_reports(cases.join(first_responses(known, key).withColumn("answered", F.lit(True)), key, "left"))
+
+
+def answer_reports(answers: DataFrame) -> DataFrame:
+    """The same for cases that carry their response, and ``answered``, which is null where there is none."""
     content = response_content(F.col("choices"), F.col("predictions"), F.col("outputs"))
     parsed = parse_report(answers, content, F.col("source_job_name"), F.col("failed_task_key"))
-    error = F.when(F.col("_answered").isNull(), F.lit("LookupError: no model response recorded")).otherwise(
+    error = F.when(F.col("answered").isNull(), F.lit("LookupError: no model response recorded")).otherwise(
         F.col("error")
     )
-    failed = F.col("_answered").isNull() | F.col("error").isNotNull()
+    failed = F.col("answered").isNull() | F.col("error").isNotNull()
     call_failed = _fixed_report(
         V.CALL_FAILED_REPORT,
         failed_job=F.col("source_job_name"),
@@ -106,7 +141,7 @@ def model_reports(cases: DataFrame, responses: DataFrame) -> DataFrame:
     return (
         parsed.withColumn("report_json", F.when(failed, call_failed).otherwise(F.col("report_json")))
         .withColumn("report_source", F.when(failed, "call_failed").otherwise(F.col("report_source")))
-        .drop("choices", "predictions", "outputs", "error", "_answered")
+        .drop(*ANSWER, "answered")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,16 +14,20 @@ from faultlens import session
 from faultlens.functions.text import iso_utc
 from faultlens.operators import evidence as E
 from faultlens.operators import failures, notify, prompts, reports
-from faultlens.operators.joins import asked_for
-from faultlens.schemas import EVENTS, EVIDENCE, REPORTS
-from faultlens.sinks.tables import align, append_path, append_table
+from faultlens.operators.joins import asked_for, by_case
+from faultlens.schemas import BATCH_TABLES, EVENTS, EVIDENCE, REJECTS, REPORTS
+from faultlens.sinks import batches
+from faultlens.sinks.tables import align
 
 Stage = Callable[[DataFrame, str], DataFrame]
 
 
 @dataclass(frozen=True)
 class Inputs:
-    """Input tables; ``responses`` and ``attempts`` come from the services outside."""
+    """Input tables; ``responses`` and ``attempts`` come from the services outside.
+
+    ``unreadable`` has the rejects of ``readers.split_documents``, where the feeds deliver documents.
+    """
 
     runs: DataFrame
     settings: DataFrame
@@ -33,6 +37,7 @@ class Inputs:
     table_history: DataFrame
     table_details: DataFrame
     prompts: DataFrame
+    unreadable: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -53,6 +58,7 @@ class Collected:
     prompt_alias: str
     channel: str
     keep: Stage
+    stored: DataFrame | None = None
 
     @property
     def events(self) -> DataFrame:
@@ -64,8 +70,27 @@ class Collected:
         return self.keep(E.output_evidence(self.cases, self.inputs.outputs), "outputs")
 
     @cached_property
-    def found(self) -> DataFrame:
-        """Evidence that does not depend on the references found in it."""
+    def summaries(self) -> DataFrame:
+        """Error class and description per case; without the rest of the evidence where nobody has read that."""
+        if "outputs" in self.__dict__:
+            task = self.outputs.where(F.col("collector_name") == V.FAILED_TASK_OUTPUT)
+            return task.select(*E.KEYS, "error_type", "error_description")
+        return E.error_summaries(self.cases, self.inputs.outputs)
+
+    @cached_property
+    def again(self) -> DataFrame:
+        """Cases that were delivered more than once, with the rank of the delivery that counts.
+
+        None counts for a case that was analysed before.
+        """
+        again = failures.delivered_again(self.delivered)
+        if self.stored is not None:
+            none = F.lit(None).cast(again.schema["first_rank"].dataType).alias("first_rank")
+            again = again.join(self.stored, "case_id", "left_anti").unionByName(self.stored.select("case_id", none))
+        return self.keep(again, "again")
+
+    def _documents(self) -> DataFrame:
+        """The run document of every case. Only documents of repeated cases are ranked and moved for it."""
         documents = failures.with_event_id(
             self.runs.withColumn("task", failures.blamed_task(F.col("tasks")))
         ).select(
@@ -73,12 +98,22 @@ class Collected:
             "event_id",
             F.col("job_id").cast("string").alias("source_job_id"),
             F.col("run_id").cast("string").alias("source_run_id"),
-            "event_ts", "document", "_digest",
+            "event_ts", "document", "_rank",
         )
+        if self.again.isEmpty():
+            return documents
+        repeated = documents.join(self.again.where("first_rank is not null"), "case_id", "left_semi")
+        return documents.join(self.again, "case_id", "left_anti").unionByName(
+            failures.first_deliveries(repeated, "_rank")
+        )
+
+    @cached_property
+    def found(self) -> DataFrame:
+        """Evidence that does not depend on the references found in it."""
         job = F.col("source_job_id").cast("bigint")
         settings = E.settings_documents(asked_for(self.inputs.settings, "job_id", self.cases, job))
         others = (
-            E.run_evidence(failures.first_deliveries(documents, "_digest"))
+            E.run_evidence(self._documents())
             .unionByName(E.settings_evidence(self.cases, settings))
             .unionByName(E.code_evidence(self.cases, self.inputs.source_code))
         )
@@ -110,13 +145,11 @@ class Collected:
     def asked(self) -> DataFrame:
         """Cases that have a request, with their error class and prompt.
 
-        The second phase starts from it; it is to be stored when the phases run apart.
+        The second phase starts from it; it is written, so the phases may run apart.
         """
-        summary = self.outputs.where(F.col("collector_name") == V.FAILED_TASK_OUTPUT).select(
-            "case_id", "error_type", "error_description"
-        )
+        summary = self.summaries.select("case_id", "error_type", "error_description")
         accepted = self._judged[0].drop("temperature", "max_tokens", "system_prompt", "pieces")
-        return accepted.join(summary, "case_id", "left")
+        return self.keep(accepted.join(summary, "case_id", "left"), "asked")
 
     @property
     def requests(self) -> DataFrame:
@@ -125,23 +158,31 @@ class Collected:
 
     @property
     def rejects(self) -> DataFrame:
-        """Runs without keys, surplus deliveries and cases that can't be asked, with the reason."""
+        """Unreadable documents, runs without keys, surplus deliveries and cases that can't be asked, with the reason.
+
+        The digest is that of the document, where there is one.
+        """
         without_keys = self.incomplete.select(
             F.col("job_id").cast("string").alias("source_job_id"),
             F.col("run_id").cast("string").alias("source_run_id"),
             F.lit(None).cast("string").alias("event_id"),
             "reason",
+            F.md5("document").alias("digest"),
         )
-        return self._judged[1].unionByName(failures.repeated_deliveries(self.delivered)).unionByName(without_keys)
+        parts = [without_keys, self._judged[1], failures.repeated_deliveries(self.delivered, self.again)]
+        if self.inputs.unreadable is not None:
+            parts.append(self.inputs.unreadable)
+        return reduce(DataFrame.unionByName, [align(part, REJECTS) for part in parts])
 
 
 @dataclass(frozen=True)
 class Reported:
-    """Outcome of the second phase."""
+    """Outcome of the second phase. Its rejects are the responses beyond the first of a case."""
 
     reports: DataFrame
     notifications: DataFrame
     evidence: DataFrame
+    rejects: DataFrame
 
 
 def event_rows(cases: DataFrame, channel: str = V.DEFAULT_CHANNEL) -> DataFrame:
@@ -173,25 +214,45 @@ def collect(
     channel: str = V.DEFAULT_CHANNEL,
     only_failed: bool = True,
     keep: Stage = session.stage,
+    stored: DataFrame | None = None,
 ) -> Collected:
     """First phase: identify, gather evidence, render requests.
 
     Parameters are stripped and an empty channel means the default one.
 
     ``keep`` writes the frames that several outputs share, so they are computed once. A run that is
-    delivered again (same job, run and ``event_ts``) is analysed once and its surplus rows are counted
-    among the rejects. Each lookup table is unique by its key.
+    delivered again (same job, run and ``event_ts``) is analysed once, by the delivery with most tasks, then the
+    longest text; the others are counted among the rejects. ``stored`` (``case_id``, see ``known_cases``) names
+    the cases that were analysed before: their deliveries are rejects, too. Each lookup table is unique by its key.
     """
     prompt_name, prompt_alias = prompt_name.strip(), prompt_alias.strip()
     channel = channel.strip() or V.DEFAULT_CHANNEL
-    complete, incomplete = failures.require_keys(inputs.runs, "job_id", "run_id")
+    complete, incomplete = failures.require_keys(failures.with_document(inputs.runs), "job_id", "run_id")
     runs = failures.qualifying_runs(complete) if only_failed else complete
-    runs = failures.with_document(runs).withColumn("_digest", F.xxhash64("document"))
+    runs = runs.withColumn("_rank", failures.delivery_rank(F.col("tasks"), F.col("document")))
     delivered = failures.heads(runs)
-    keyed = failures.first_deliveries(delivered, "_digest").drop("_digest")
+    keyed = failures.first_deliveries(delivered, "_rank").drop("_rank")
+    if stored is not None:
+        here = delivered.select("case_id").distinct()
+        stored = keep(here.join(stored.select("case_id"), "case_id", "left_semi"), "stored")
+        keyed = keyed.join(stored, "case_id", "left_anti")
     settings = inputs.settings.select("job_id", "settings")
     cases = keep(failures.identify(keyed, settings).drop("settings", "task_settings"), "cases")
-    return Collected(inputs, runs, delivered, incomplete, cases, prompt_name, prompt_alias, channel, keep)
+    return Collected(inputs, runs, delivered, incomplete, cases, prompt_name, prompt_alias, channel, keep, stored)
+
+
+def known_cases(events: DataFrame, runs: DataFrame) -> DataFrame:
+    """Case ids of the event rows that were created in the time that ``runs`` span.
+
+    A run that is delivered again has the time it had before. The text of a creation time sorts like the time, so the
+    bounds reach the scan: of a long history only the files that overlap the batch are read.
+    """
+    # One row: the bounds.
+    first, last = runs.agg(*[F.left(iso_utc(bound("event_ts")), F.lit(19)) for bound in (F.min, F.max)]).first()
+    # Behind the second there may be a fraction, then the offset. Without runs nothing is asked for.
+    found = events.where(F.col("created_at").between(first, f"{last}~") if first else F.lit(False))
+    moment = F.unix_micros(F.col("created_at").cast("timestamp")).cast("string")
+    return found.select(F.concat_ws(":", "source_job_id", "source_run_id", moment).alias("case_id")).distinct()
 
 
 def report(
@@ -199,10 +260,30 @@ def report(
 ) -> Reported:
     """Second phase: read answers, compose notifications, resolve delivery, write reports.
 
-    Answers and attempts that carry the case id of their request are found by it, others by event id.
+    Answers and attempts that carry the case id of their request are found by it, others by event id. Of several
+    answers to a case the first counts, so a case has one report whatever the feeds repeat.
     """
+    known, key = by_case(asked, responses)
+    surplus = reports.surplus_responses(known, key)
+    facts = asked.select(key, "source_job_id", "source_run_id", *({"event_id"} - {key}))
+    if key == "event_id":
+        # Runs of one second share their event id.
+        facts = facts.dropDuplicates([key])
+    return report_answers(reports.model_reports(asked, responses), attempts, answered_again(surplus.join(facts, key)), channel)
+
+
+def answered_again(surplus: DataFrame) -> DataFrame:
+    """Rejects for surplus answers that carry the ids of their case."""
+    reason = F.concat(F.lit("answered again: "), F.col("n").cast("string"))
+    return align(surplus.withColumn("reason", reason), REJECTS)
+
+
+def report_answers(
+    parsed: DataFrame, attempts: DataFrame, rejects: DataFrame, channel: str = V.DEFAULT_CHANNEL
+) -> Reported:
+    """Notifications, delivery and report rows of cases whose model report is parsed."""
     channel = channel.strip() or V.DEFAULT_CHANNEL
-    fields = reports.report_fields(reports.model_reports(asked, responses))
+    fields = reports.report_fields(parsed)
     resolved = notify.resolve_delivery(fields, attempts, channel)
     delivery = F.to_json(
         F.struct(
@@ -222,6 +303,7 @@ def report(
             F.lit(V.SLACK_NOTIFICATION).alias("collector_name"),
             delivery.alias("evidence_json"),
         ),
+        rejects=rejects,
     )
 
 
@@ -230,28 +312,43 @@ def evidence_rows(evidence: DataFrame) -> DataFrame:
     return align(evidence.withColumn("created_at", iso_utc(F.col("event_ts"))), EVIDENCE)
 
 
-def _handed_over(collected: Collected, reported: Reported) -> dict[str, DataFrame]:
-    """Outputs for other services and for tracing; their tables are created by the first append."""
+def collected_frames(collected: Collected) -> dict[str, DataFrame]:
+    """What the first phase adds to the output tables."""
+    return _aligned({
+        "events": collected.events,
+        "evidence": evidence_rows(collected.evidence),
+        "prompt_requests": collected.requests,
+        "rejects": collected.rejects,
+    })
+
+
+def reported_frames(reported: Reported) -> dict[str, DataFrame]:
+    """What the second phase adds to the output tables."""
+    return _aligned({
+        "evidence": evidence_rows(reported.evidence),
+        "reports": reported.reports,
+        "notifications": reported.notifications,
+        "rejects": reported.rejects,
+    })
+
+
+def output_frames(collected: Collected, reported: Reported) -> dict[str, DataFrame]:
+    """All six output tables of a batch, in the columns of their schemas."""
+    first, second = collected_frames(collected), reported_frames(reported)
     return {
-        "prompt_requests": collected.requests, "notifications": reported.notifications, "rejects": collected.rejects,
+        name: reduce(DataFrame.unionByName, [part[name] for part in (first, second) if name in part])
+        for name in BATCH_TABLES
     }
 
 
-def write_tables(collected: Collected, reported: Reported, database: str) -> None:
-    """One append per output table, all six of them."""
-    append_table(collected.events, f"{database}.events")
-    append_table(evidence_rows(collected.evidence.unionByName(reported.evidence)), f"{database}.evidence")
-    append_table(reported.reports, f"{database}.reports")
-    for name, frame in _handed_over(collected, reported).items():
-        frame.write.mode("append").saveAsTable(f"{database}.{name}")
+def _aligned(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {name: align(frame, BATCH_TABLES[name]) for name, frame in frames.items()}
 
 
-def write_folder(collected: Collected, reported: Reported, folder: str) -> None:
-    """The same below a folder of parquet tables."""
-    append_path(collected.events, EVENTS, f"{folder}/events")
-    append_path(
-        evidence_rows(collected.evidence.unionByName(reported.evidence)), EVIDENCE, f"{folder}/evidence"
-    )
-    append_path(reported.reports, REPORTS, f"{folder}/reports")
-    for name, frame in _handed_over(collected, reported).items():
-        frame.write.mode("append").parquet(f"{folder}/{name}")
+def write_tables(
+    collected: Collected, reported: Reported, database: str, batch: str | int, *, replace: bool = False
+) -> bool:
+    """Write a batch to the six output tables, all or nothing; false when it was there already."""
+    spark = collected.cases.sparkSession
+    batches.ensure_batch_tables(spark, database)
+    return batches.write_batch(output_frames(collected, reported), database, batch, replace=replace)

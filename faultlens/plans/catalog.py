@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens import fixed_values as V
@@ -17,10 +18,16 @@ from faultlens.operators import evidence as E
 from faultlens.operators import failures, health, notify, prompts, reports
 from faultlens.operators.joins import spread_lookup
 from faultlens.plans import analysis
+from faultlens.sinks import batches
 from faultlens.sinks import tables as sink
 from faultlens.sources import samples
-from faultlens.sources.readers import runs_from_documents
-from faultlens.streaming import failed_runs
+from faultlens.sources.readers import (
+    outputs_from_documents,
+    runs_from_documents,
+    settings_from_documents,
+    split_documents,
+)
+from faultlens.streaming import answers, failed_runs
 
 AS_OF = "2001-08-01"
 
@@ -90,19 +97,19 @@ def _event_cases(table) -> DataFrame:
     return failures.identify(failures.heads(runs), samples.customer_settings(table("customer")))
 
 
-def _outputs(table) -> DataFrame:
-    found = E.output_evidence(_event_cases(table), samples.event_outputs(table("events")))
-    return found.where(F.col("collector_name") == V.FAILED_TASK_OUTPUT)
+def _error_summaries(table) -> DataFrame:
+    runs = failures.qualifying_runs(samples.event_runs(table("events")))
+    return E.error_summaries(failures.bare_cases(failures.heads(runs)), samples.event_outputs(table("events")))
 
 
 @query
 def classify_errors(table) -> DataFrame:
-    return _outputs(table).select("event_id", "source_run_id", "error_type")
+    return _error_summaries(table).select("event_id", "source_run_id", "error_type")
 
 
 @query
 def error_descriptions(table) -> DataFrame:
-    return _outputs(table).select("event_id", "error_description")
+    return _error_summaries(table).select("event_id", "error_description")
 
 
 # Text ------------------------------------------------------------------------------------------
@@ -198,8 +205,12 @@ def _seeded(known: DataFrame) -> DataFrame:
     return known.drop("part_key").unionByName(prompts.missing_prompts(default, known))
 
 
-def _collected(table) -> analysis.Collected:
-    return analysis.collect(_inputs(table))
+def _collected(table, which: Column | None = None) -> analysis.Collected:
+    """The first phase over the events, or over those that a condition picks."""
+    given = _inputs(table)
+    if which is not None:
+        given = replace(given, runs=samples.event_runs(table("events").where(which)))
+    return analysis.collect(given)
 
 
 @query
@@ -300,7 +311,7 @@ def render_prompt(table) -> DataFrame:
 
 @query
 def response_content(table) -> DataFrame:
-    responses = samples.responses_for(_event_cases(table))
+    responses = reports.first_responses(samples.responses_for(_event_cases(table)), "event_id")
     return responses.select(
         "event_id",
         reports.response_content(F.col("choices"), F.col("predictions"), F.col("outputs")).alias("content"),
@@ -367,8 +378,8 @@ def latest_report_per_job(table) -> DataFrame:
     return reports.latest_report_per_job(samples.order_reports(table("orders")))
 
 
-def _analysed(table) -> tuple[analysis.Collected, analysis.Reported]:
-    collected = _collected(table)
+def _analysed(table, which: Column | None = None) -> tuple[analysis.Collected, analysis.Reported]:
+    collected = _collected(table, which)
     responses = samples.responses_for(collected.asked)
     attempts = samples.attempts_for(collected.asked, F.col("source_run_id").cast("bigint") / 10)
     return collected, analysis.report(collected.asked, responses, attempts)
@@ -380,27 +391,61 @@ def analysis_reports(table) -> DataFrame:
     return _analysed(table)[1].reports
 
 
+def _content(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """Number of rows and a sum over the digests of all their columns, which no order of rows changes."""
+    whole = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    number = F.conv(F.left(F.md5(whole), F.lit(8)), 16, 10).cast("bigint")
+    return rows.agg(
+        F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.coalesce(F.sum(number), F.lit(0)).alias("content")
+    )
+
+
 @query
 def sink_round_trip(table) -> DataFrame:
-    """Append all output tables to a fresh folder, read them back and summarise each."""
-    collected, reported = _analysed(table)
-    spark = collected.asked.sparkSession
-    folder = session.fresh_folder(spark, "tables")
-    analysis.write_folder(collected, reported, folder)
-    sink.append_path(samples.part_prompts(table("part")), schemas.PROMPTS, f"{folder}/prompts")
-    summaries = [
-        sink.read_path(spark, schema, f"{folder}/{name}").agg(
-            F.lit(name).alias("table_name"),
-            F.count("*").alias("n_rows"),
-            F.count_distinct(schema.fieldNames()[0]).alias("n_keys"),
-            F.lit(len(schema)).alias("n_columns"),
-        )
-        for name, schema in schemas.OUTPUT_TABLES.items()
+    """All tables after batches that were repeated, broken off, retried and replaced: their content, read back.
+
+    The even events are one batch, which breaks off after two tables before it is written in full; the odd ones are
+    written, written again and replaced. Prompts are appended by name, seeded twice; a table is replaced twice, one dropped.
+    """
+    spark = table("events").sparkSession
+    database = f"triage_{uuid.uuid4().hex}"
+    frames = []
+    for rest in (0, 1):
+        collected, reported = _analysed(table, F.col("event_id") % 2 == rest)
+        frames.append(analysis.output_frames(collected, reported))
+    batches.ensure_batch_tables(spark, database)
+    batches.begin_batch({name: frames[0][name] for name in ("events", "evidence")}, database, "even")
+    nothing_yet = batches.committed(spark, database, "events").count()
+    batches.write_batch(frames[0], database, "even")
+    for replace_it in (False, False, True):
+        batches.write_batch(frames[1], database, "odd", replace=replace_it)
+
+    sink.ensure_tables(spark, database)
+    sink.append_table(samples.part_prompts(table("part")).drop("part_key"), f"{database}.prompts")
+    for _ in range(2):
+        sink.seed_default_prompt(spark, f"{database}.prompts")
+    regions = table("region").select(F.col("r_name").alias("region"))
+    for name in ("snapshot", "dropped"):
+        sink.replace_table(regions, f"{database}.{name}")
+    sink.replace_table(regions.where("region <> 'ASIA'"), f"{database}.snapshot")
+    sink.drop_table(spark, f"{database}.dropped")
+
+    def told(name: str, rows: DataFrame, columns: list[str]) -> DataFrame:
+        return _content(rows, name, [c for c in columns if c != "case_id"])
+
+    found = [
+        told(name, batches.committed(spark, database, name), schema.fieldNames())
+        for name, schema in schemas.BATCH_TABLES.items()
     ]
-    first, *rest = summaries
-    for one in rest:
-        first = first.unionByName(one)
-    return first
+    found.append(told("prompts", spark.table(f"{database}.prompts"), list(prompts.DEFAULT_PROMPT)))
+    found.append(told("snapshot", spark.table(f"{database}.snapshot"), ["region"]))
+    left = spark.sql(f"SHOW TABLES IN {database}").where("tableName = 'dropped'")
+    found.append(told("dropped", left, ["tableName"]))
+    before = spark.range(nothing_yet).select(F.col("id").cast("string").alias("id"))
+    found.append(told("events before the commit", before, ["id"]))
+    out = session.stage(reduce(DataFrame.unionByName, found), "content")
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return out
 
 
 # Health ----------------------------------------------------------------------------------------
@@ -490,49 +535,127 @@ def stream_failed_runs(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     out = session.fresh_folder(spark, "stream")
+    failed_runs.keep_state_on_disk(spark)
+    found = failed_runs.distinct_heads(samples.event_runs(events), "1 day")
     write = failed_runs.batch_writer(
-        f"{out}/batches",
-        lambda batch: failures.heads(batch).select("event_id", "run_id", "job_id", "failed_task_key", "is_fallback"),
+        f"{out}/batches", lambda batch: batch.select("event_id", "run_id", "job_id", "failed_task_key", "is_fallback")
     )
-    failed_runs.on_failures(samples.event_runs(events), write, f"{out}/checkpoint").awaitTermination()
+    failed_runs.on_batches(found, write, f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/batches").drop("batch_id")
 
 
 QUERIES["stream_failed_runs"] = stream_failed_runs
 
 
+def _streamed_runs(spark: SparkSession, folder: str, out: str, database: str) -> None:
+    """The first phase run by a stream over the event file."""
+    stored = partial(samples.load, spark, folder)
+    events = spark.readStream.schema(stored("events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    write = failed_runs.analysis_writer(_inputs(stored), database, f"{out}/asked")
+    failed_runs.on_failures(samples.event_runs(events), write, f"{out}/runs-checkpoint").awaitTermination()
+
+
 def stream_analysis(spark: SparkSession, folder: str) -> DataFrame:
     """The first phase run by a stream over the event file; the written tables are read back.
 
     Every failed run once: its event row, the number and digest of its evidence rows, and its request.
     """
     session.tune(spark)
-    stored = partial(samples.load, spark, folder)
-    events = spark.readStream.schema(stored("events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    out = session.fresh_folder(spark, "stream")
-    write = failed_runs.analysis_writer(_inputs(stored), f"{out}/tables")
-    failed_runs.on_failures(samples.event_runs(events), write, f"{out}/checkpoint").awaitTermination()
+    out, database = session.fresh_folder(spark, "stream"), f"streamed_{uuid.uuid4().hex}"
+    _streamed_runs(spark, folder, out, database)
     found, evidence, requests = (
-        spark.read.parquet(f"{out}/tables/{name}").drop("batch_id") for name in ("events", "evidence", "prompt_requests")
+        batches.committed(spark, database, name).drop("batch_id") for name in ("events", "evidence", "prompt_requests")
     )
     gathered = evidence.groupBy("event_id").agg(
         F.count("*").alias("n_evidence"), F.sum(F.char_length("evidence_json")).alias("evidence_chars")
     )
     asked = requests.select("event_id", F.md5("user_prompt").alias("prompt_md5"))
-    return found.join(gathered, "event_id", "left").join(asked, "event_id", "left")
+    whole = session.stage(found.join(gathered, "event_id", "left").join(asked, "event_id", "left"), "streamed")
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return whole
 
 
 QUERIES["stream_analysis"] = stream_analysis
 
 
+def stream_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Both phases as streams: events, requests, the answers to them, and the report table they end in.
+
+    Answers come within an hour or not at all; a tick in both feeds lets the time of the last requests run out.
+    """
+    session.tune(spark)
+    failed_runs.keep_state_on_disk(spark)
+    out, database = session.fresh_folder(spark, "stream"), f"streamed_{uuid.uuid4().hex}"
+    _streamed_runs(spark, folder, out, database)
+    asked = spark.read.parquet(f"{out}/asked").drop("batch")
+    samples.responses_for(asked).write.parquet(f"{out}/responses")
+    responses = spark.read.parquet(f"{out}/responses")
+    # One row: the time of the last request, two hours on.
+    over = asked.agg((F.max("asked_at") + F.make_dt_interval(hours=F.lit(2))).alias("over")).first()["over"]
+    answers.tick(asked, "asked_at", over).write.parquet(f"{out}/asked/batch=tick")
+    answers.tick(responses, "answered_at", over).write.mode("append").parquet(f"{out}/responses")
+
+    feeds = [spark.readStream.schema(frame.schema).parquet(f"{out}/{name}") for frame, name in ((asked, "asked"), (responses, "responses"))]
+    attempts = samples.attempts_for(asked, F.col("source_run_id").cast("bigint") / 10)
+    awaited = answers.awaited(*feeds, patience="1 hour", lateness="10 minutes")
+    failed_runs.on_batches(awaited, answers.report_writer(attempts, database), f"{out}/answers-checkpoint").awaitTermination()
+    reported = session.stage(batches.committed(spark, database, "reports").drop("batch_id"), "streamed")
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return reported
+
+
+QUERIES["stream_reports"] = stream_reports
+
+
 @query
 def repeated_deliveries(table) -> DataFrame:
-    """Runs of the events, those of every third event delivered one to three times more: the rejects."""
-    n = F.col("run_id") / 10
-    copies = F.when(n % 3 == 0, 2 + n % 2).otherwise(1).cast("int")
+    """Runs of the events, those of every third event delivered one to three times more: the rejects.
+
+    The third and fourth delivery of a run have a longer text than the first two.
+    """
+    n = (F.col("run_id") / 10).cast("bigint")
+    copies = F.when(n % 3 == 0, 2 + (n / 3).cast("bigint") % 3).otherwise(1).cast("int")
     runs = samples.event_runs(table("events"))
-    again = runs.withColumn("turn", F.explode(F.sequence(F.lit(1), copies))).drop("turn")
-    return analysis.collect(replace(_inputs(table), runs=again)).rejects
+    again = runs.withColumn("turn", F.explode(F.sequence(F.lit(1), copies)))
+    longer = F.when(F.col("turn") > 2, F.concat("document", F.lit(" "))).otherwise(F.col("document"))
+    return analysis.collect(replace(_inputs(table), runs=again.withColumn("document", longer).drop("turn"))).rejects
+
+
+@query
+def unreadable_documents(table) -> DataFrame:
+    """Documents of runs, jobs and outputs, some of them damaged: what was read of each, or why it wasn't.
+
+    Of the runs also the analysis: no event is made for what can't be read, and its rejects name all of them.
+    """
+    events, customer = table("events"), table("customer")
+    run_texts = samples.damaged(samples.event_documents(events), "details", F.col("run.run_id") / 10)
+    run_objects, bad_runs = split_documents(run_texts, "details", "run")
+    runs = runs_from_documents(run_objects, "details", F.col("event_ts"))
+    job_texts = samples.damaged(samples.customer_documents(customer), "details", F.col("job_id"))
+    job_objects, bad_jobs = split_documents(job_texts, "details", "settings", source_job_id=F.col("job_id"))
+    settings = settings_from_documents(job_objects, "job_id", "details")
+    output_texts = samples.damaged(samples.output_documents(events), "details", F.col("run_id") / 10)
+    output_objects, bad_outputs = split_documents(output_texts, "details", "output", source_run_id=F.col("run_id"))
+    outputs = outputs_from_documents(output_objects, F.col("run_id"), "details")
+
+    unreadable = bad_runs.unionByName(bad_jobs).unionByName(bad_outputs)
+    rejects = analysis.collect(replace(_inputs(table), runs=runs, settings=settings, unreadable=unreadable)).rejects
+    nothing = F.lit(None).cast("string")
+    read = [
+        runs.select(F.lit("run").alias("kind"), "job_id", "run_id", F.size("tasks").cast("string").alias("said")),
+        settings.select(F.lit("settings").alias("kind"), "job_id", F.lit(None).cast("bigint").alias("run_id"), F.col("settings.name").alias("said")),
+        outputs.select(
+            F.lit("output").alias("kind"), F.lit(None).cast("bigint").alias("job_id"), "run_id",
+            F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in ("error", "logs", "notebook_output", "output_json")]).alias("said"),
+        ),
+    ]
+    told = reduce(DataFrame.unionByName, read).select(
+        "kind", F.col("job_id").cast("string").alias("source_job_id"), F.col("run_id").cast("string").alias("source_run_id"), "said",
+        nothing.alias("reason"), nothing.alias("digest"),
+    )
+    return told.unionByName(
+        rejects.select(F.lit("reject").alias("kind"), "source_job_id", "source_run_id", nothing.alias("said"), "reason", "digest")
+    )
 
 
 @query

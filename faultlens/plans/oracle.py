@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from faultlens import fixed_values as V
+from faultlens import schemas
+from faultlens.operators.prompts import DEFAULT_PROMPT
 from faultlens.sources import samples
 
 SQL: dict[str, str] = {}
@@ -332,10 +334,58 @@ select job_id, document, array_to_string(list_transform(setting_tasks, lambda t:
   array_to_string({refs(leaves('document'))}, ',') as refs
 from (select *, cast({_JOB_JSON} as varchar) as document from (select *, tasks as setting_tasks from settings))"""
 
-SQL["repeated_deliveries"] = with_tables("runs", "heads") + """
-select cast(job_id as varchar) as source_job_id, cast(run_id as varchar) as source_run_id, event_id,
-  'delivered again: ' || (1 + run_id // 10 % 2) as reason
-from heads where run_id // 10 % 3 = 0"""
+SQL["repeated_deliveries"] = with_tables("runs", "heads") + f"""
+select source_job_id, source_run_id, event_id, 'delivered again: ' || surplus as reason, md5(delivered) as digest
+from (select *, unnest([{{'delivered': document, 'surplus': least(copies, 2) - case when copies = 2 then 1 else 0 end}},
+                        {{'delivered': document || ' ', 'surplus': copies - 3}}], recursive := true)
+      from (select source_job_id, source_run_id, event_id, copies, cast({_RUN_JSON} as varchar) as document
+            from (select *, cast(job_id as varchar) as source_job_id, cast(run_id as varchar) as source_run_id,
+                    2 + run_id // 30 % 3 as copies
+                  from heads where run_id // 10 % 3 = 0)))
+where surplus > 0"""
+
+
+def damaged(text: str, number: str) -> str:
+    return f"""(case ({number}) % 7 when 1 then left({text}, length({text}) // 2) when 2 then '[' || {text} || ']'
+      when 3 then {text} || ' and more' when 4 then null else {text} end)"""
+
+
+def fault(text: str) -> str:
+    """Why a text isn't one JSON object."""
+    kind = f"json_type(case when json_valid({text}) then {text} end)"
+    return f"""(case when {text} is null then 'no document' when not json_valid({text}) then 'not JSON'
+      when {kind} <> 'OBJECT' then 'not an object but ' || lower({kind}) end)"""
+
+
+_OUTPUT_JSON = dropped(
+    "{'error': case when event_id % 3 <> 0 then " + _TEXTS + "[event_id % 8 + 1] end, "
+    "'logs': 'read \"raw\".orders.day_' || (user_id % 20) || chr(10) || 'done', "
+    "'attempt': case when event_id % 4 = 1 then event_id % 3 end, "
+    "'notebook_output': case when event_id % 2 = 0 then {'result': 'cell ' || event_id, 'truncated': false} end}"
+)
+CTES["damaged_texts"] = f"""
+  select *, {fault("details")} as fault, case when {fault("details")} is null then details end as object from (
+    select 'run' as kind, null as outer_job, null as outer_run, {damaged("details", "run_id // 10")} as details
+    from (select run_id, cast({_RUN_JSON} as varchar) as details from {_ALL_RUNS})
+    union all
+    select 'settings', cast(job_id as varchar), null, {damaged("details", "job_id")}
+    from (select job_id, cast({_JOB_JSON} as varchar) as details from (select *, tasks as setting_tasks from settings))
+    union all
+    select 'output', null, cast(event_id * 10 as varchar), {damaged("details", "event_id")}
+    from (select event_id, cast({_OUTPUT_JSON} as varchar) as details from events))"""
+
+_TOLD = " || '|' || ".join(f"coalesce(object ->> '$.{name}', '-')" for name in ("error", "logs", "notebook_output"))
+
+SQL["unreadable_documents"] = with_tables("runs", "settings", "damaged_texts") + f"""
+select kind, coalesce(outer_job, object ->> '$.job_id') as source_job_id,
+  coalesce(outer_run, object ->> '$.run_id') as source_run_id,
+  case kind when 'run' then cast(json_array_length(object, '$.tasks') as varchar) when 'settings' then object ->> '$.settings.name'
+    else {_TOLD} || '|' || coalesce('{{"attempt":' || (object ->> '$.attempt') || '}}', '-') end as said,
+  null as reason, null as digest
+from damaged_texts where fault is null
+union all
+select 'reject', outer_job, outer_run, null, 'unreadable ' || kind || ': ' || fault, md5(details)
+from damaged_texts where fault is not null"""
 
 CTES["documents_of"] = f"""
   select event_id, cast({_RUN_JSON} as varchar) as run_json,
@@ -473,7 +523,7 @@ def answer(form: str, said: str) -> str:
       when 3 then '[' || {body} || ']'
       when 4 then '{{''title'': ''single quotes''}}'
       when 5 then {said}
-      when 6 then e'\\n ' || '{{"error_type": "", "possible_fixes": "restart", "recommended_fix": "restart twice", "owner_next_steps": ["ask"], "confidence": null, "missing_context": ["log"]}}' || e'\\t'
+      when 6 then e'\\n ' || '{{"error_type": "", "possible_fixes": "restart", "recommended_fix": "restart twice", "owner_next_steps": ["ask"], "confidence": null, "missing_context": [{{"log": 1, "log": 2}}]}}' || e'\\t'
       else '{{"primary_error": "boom", "possible_fixes": [], "owner_next_steps": ["ask owner"], "evidence": 0}}' end)"""
 
 
@@ -609,35 +659,73 @@ _FACTS = (
     "e'`\\n*Confidence:* `', coalesce(confidence_shown, 'unknown'), '`')"
 )
 
-SQL["notification_blocks"] = with_tables(*TALKS) + f"""
-select event_id, cast(to_json([
+
+
+def _blocks() -> str:
+    return f"""cast(to_json([
   to_json({{'text': {{'text': {lit(V.MESSAGE_HEADER)}, 'type': 'plain_text'}}, 'type': 'header'}}),
   {_block('section', _FACTS)},
   {_block('section', lit('*Likely root cause:*' + chr(10)) + ' || ' + cut('model_likely_root_cause', V.BLOCK_CAUSE_LIMIT))},
   {_block('section', lit('*Possible fixes:*' + chr(10)) + ' || ' + _BULLETS.format('fix_lines'))},
   to_json({{'elements': [{{'text': '*Links:* ' || {_LINKS.format('link_lines')}, 'type': 'mrkdwn'}}], 'type': 'context'}})
-]) as varchar) as blocks_json from talk_fields"""
-
-# Delivery: the outcome of each of the eight forms of attempts.
-_HELPER = "helper failed: ImportError: helper"
-_OUTCOMES = [
-    (V.STATUS_HELPER, V.DEFAULT_CHANNEL, "", ""),
-    (V.STATUS_NOT_IN_CHANNEL, V.DEFAULT_CHANNEL, "", "helper failed: SlackApiError: not_in_channel"),
-    (V.STATUS_CHANNEL_NOT_FOUND, V.DEFAULT_CHANNEL, "", "helper failed: SlackApiError: channel_not_found"),
-    (V.STATUS_SENT, "C42", "17.5", ""),
-    (V.STATUS_FAILED, V.DEFAULT_CHANNEL, "", _HELPER + "; fallback invalid_auth"),
-    (V.STATUS_WEBHOOK, V.DEFAULT_CHANNEL, "", ""),
-    (V.STATUS_FAILED, V.DEFAULT_CHANNEL, "", _HELPER + "; fallback Webhook HTTPError 500: down"),
-    (V.STATUS_SKIPPED, V.DEFAULT_CHANNEL, "", "helper failed: no attempt recorded; no token; no webhook"),
-]
+]) as varchar)"""
+
+
+SQL["notification_blocks"] = with_tables(*TALKS) + f"select event_id, {_blocks()} as blocks_json from talk_fields"
+
+# Delivery: the outcome is worked out from the attempts of each form.
+
+
+def _last_attempts() -> str:
+    forms = []
+    for i, rows in enumerate(samples.ATTEMPT_FORMS):
+        if rows:
+            forms.append(f"select {i} as form, * from (values {rows}) a(kind, attempt, ok, http_status, body, error)")
+    last = ", ".join(
+        f"arg_max({{'ok': ok, 'http': cast(http_status as integer), 'body': replace(body, '\\n', chr(10)), 'error': cast(error as varchar)}}, "
+        f"attempt) filter (kind = '{kind}') as {kind}"
+        for kind in ("helper", "api", "webhook")
+    )
+    every = " union all ".join(forms)
+    return f"select f.form, a.* exclude (form) from range({len(samples.ATTEMPT_FORMS)}) f(form) left join (select form, {last} from ({every}) group by form) a on a.form = f.form"
+
+
+def _http_failed(name: str) -> str:
+    return f"coalesce({name}.http, 200) not between 200 and 299"
+
+
+_API_OK = f"(api.error is null and not {_http_failed('api')} and coalesce(api.ok, (api.body ->> '$.ok') = 'true', false))"
+_HOOK_OK = f"(webhook.error is null and not {_http_failed('webhook')} and lower(trim(coalesce(webhook.body, ''), e' \\n\\t\\r')) = 'ok')"
+_API_ERROR = f"""case when api.error is not null then api.error
+    when {_http_failed('api')} then 'HTTPError ' || api.http || ': ' || {cut('api.body', V.RESPONSE_BODY_LIMIT)}
+    else coalesce(nullif(api.body ->> '$.error', ''), api.body, '') end"""
+_HOOK_ERROR = f"""case when webhook.error is not null then 'Webhook ' || webhook.error
+    when {_http_failed('webhook')} then 'Webhook HTTPError ' || webhook.http || ': ' || {cut('webhook.body', V.RESPONSE_BODY_LIMIT)}
+    else 'Unexpected webhook response: ' || {cut('webhook.body', V.RESPONSE_BODY_LIMIT)} end"""
+
+_OUTCOMES = f"""
+  select form, status as slack_notification_status,
+    coalesce(case when status = '{V.STATUS_SENT}' then nullif(api.body ->> '$.channel', '') end, '{V.DEFAULT_CHANNEL}') as slack_channel_id,
+    coalesce(case when status = '{V.STATUS_SENT}' then nullif(api.body ->> '$.ts', '') end, '') as slack_message_ts,
+    case when status in ('{V.STATUS_HELPER}', '{V.STATUS_SENT}', '{V.STATUS_WEBHOOK}') then ''
+      when status in ('{V.STATUS_NOT_IN_CHANNEL}', '{V.STATUS_CHANNEL_NOT_FOUND}') then said
+      when status = '{V.STATUS_FAILED}' then said || '; fallback ' || case when api is not null then {_API_ERROR} else {_HOOK_ERROR} end
+      else said || '; no token; no webhook' end as slack_error
+  from (select *,
+          case when coalesce(helper.ok, false) then '{V.STATUS_HELPER}'
+            when contains(said, 'not_in_channel') then '{V.STATUS_NOT_IN_CHANNEL}'
+            when contains(said, 'channel_not_found') then '{V.STATUS_CHANNEL_NOT_FOUND}'
+            when api is not null then case when {_API_OK} then '{V.STATUS_SENT}' else '{V.STATUS_FAILED}' end
+            when webhook is not null then case when {_HOOK_OK} then '{V.STATUS_WEBHOOK}' else '{V.STATUS_FAILED}' end
+            else '{V.STATUS_SKIPPED}' end as status
+        from (select *, 'helper failed: ' || coalesce(helper.error, 'no attempt recorded') as said from ({_last_attempts()})))"""
 
 
 def delivery(number: str) -> str:
     """The four delivery columns for the form ``number`` % 8."""
     names = ["slack_notification_status", "slack_channel_id", "slack_message_ts", "slack_error"]
     return ", ".join(
-        f"[{', '.join(lit(outcome[i]) for outcome in _OUTCOMES)}][({number}) % 8 + 1] as {name}"
-        for i, name in enumerate(names)
+        f"(select list({name} order by form) from ({_OUTCOMES}))[({number}) % {len(samples.ATTEMPT_FORMS)} + 1] as {name}" for name in names
     )
 
 
@@ -706,14 +794,56 @@ from (select *, {delivery('cast(source_run_id as bigint) // 10')}, s.error_type
       from report_fields join summaries s using (event_id))"""
 )
 
-SQL["sink_round_trip"] = with_tables(*EVIDENCE) + """
-select 'events' as table_name, count(*) as n_rows, count(distinct event_id) as n_keys, 8 as n_columns from cases
-union all
-select 'evidence', count(*), count(distinct event_id), 6 from (select event_id from evidence union all select event_id from cases)
-union all
-select 'reports', count(*), count(distinct event_id), 20 from cases
-union all
-select 'prompts', count(*), count(distinct p_type), 12 from part"""
+SQL["stream_reports"] = SQL["analysis_reports"]
+
+ANALYSED = [*EVIDENCE, "responses", "answered", "parsed_answers", "model_reports", "report_fields"]
+
+
+def content(name: str, columns: list[str], source: str) -> str:
+    """Number of rows and sum over the digests of all columns of a source."""
+    whole = ", ".join(f"coalesce(cast({c} as varchar), '~')" for c in columns)
+    number = f"cast('0x' || left(md5(concat_ws('|', {whole})), 8) as bigint)"
+    return f"select '{name}' as table_name, count(*) as n_rows, cast(coalesce(sum({number}), 0) as bigint) as content from ({source})"
+
+
+def _columns(schema) -> list[str]:
+    return [name for name in schema.fieldNames() if name != "case_id"]
+
+
+def _sink_round_trip() -> str:
+    result = "cast(to_json({'channel_id': slack_channel_id, 'error': slack_error, 'message_ts': slack_message_ts, 'status': slack_notification_status}) as varchar)"
+    told = f"(select event_id, {delivery('cast(source_run_id as bigint) // 10')} from cases)"
+    evidence = with_tables(*EVIDENCE) + f"""
+  select event_id, source_job_id, source_run_id, collector_name, evidence_json, {iso('event_ts')} as created_at
+  from (select event_id, collector_name, evidence_json from evidence
+        union all select event_id, 'slack_notification', {result} from {told}) join cases using (event_id)"""
+    notes = with_tables(*ANALYSED) + f"""
+  select event_id, '{V.DEFAULT_CHANNEL}' as channel, {_message()} as text, {_blocks()} as blocks_json from report_fields"""
+    second = lit(samples.SECOND_ANSWER)
+    rejects = with_tables(*CASES, "responses") + f"""
+  select source_job_id, source_run_id, event_id, 'answered again: 1' as reason,
+    md5(case when n % 5 = 0 then {second} else coalesce(error, content) end) as digest
+  from responses join cases using (event_id) where n % 5 = 0 or n % 7 = 0"""
+    prompts = with_tables("part_prompts") + f"""
+  select prompt_name, prompt_alias, prompt_version, is_active, model_endpoint, temperature, max_tokens,
+    'Explain the failure.' as system_prompt, {lit(samples.PART_TEMPLATE)} as user_prompt_template, notes
+  from part_prompts join (select p_partkey as part_key, p_name as model_endpoint from part) using (part_key)
+  union all
+  select {', '.join(map(lit, DEFAULT_PROMPT.values()))}"""
+    sources = [
+        ("events", _columns(schemas.EVENTS), SQL["event_rows"]),
+        ("evidence", _columns(schemas.EVIDENCE), evidence),
+        ("reports", _columns(schemas.REPORTS), SQL["analysis_reports"]),
+        ("prompt_requests", _columns(schemas.PROMPT_REQUESTS), SQL["render_prompt"]),
+        ("notifications", _columns(schemas.NOTIFICATIONS), notes),
+        ("rejects", _columns(schemas.REJECTS), rejects),
+        ("prompts", list(DEFAULT_PROMPT), prompts),
+        ("snapshot", ["region"], "select r_name as region from region where r_name <> 'ASIA'"),
+        ("dropped", ["x"], "select 1 as x where false"),
+        ("events before the commit", ["x"], "select 1 as x where false"),
+    ]
+    return "\nunion all\n".join(content(*source) for source in sources)
+
 
 _VIEW = """select o_custkey || ':' || o_orderkey as event_id, cast(o_custkey as varchar) as source_job_id,
     cast(o_orderkey as varchar) as source_run_id, {created} as created_at, o_orderpriority as error_type,
@@ -787,3 +917,5 @@ select table_name, 'Permission denied while reading required upstream table ' ||
        else 'UNKNOWN' end as error_type,
   {family('error')} as family
 from (select 'lake.sales.t' || run_id as table_name, error from outputs where error <> '')"""
+
+SQL["sink_round_trip"] = _sink_round_trip()

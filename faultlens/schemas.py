@@ -105,6 +105,9 @@ MODEL_RESPONSES = _row(
     ("error", _S),
 )
 
+# A response feed may also carry ``case_id``, which is more exact than the event id, and
+# ``answered_at``, by which the first of several responses is known.
+
 DELIVERY_ATTEMPTS = _row(
     ("event_id", _S),
     ("kind", _S),
@@ -195,4 +198,34 @@ PROMPTS = _row(
     ]
 )
 
+# Handed to other services, or kept for tracing --------------------------------------------------
+
+PROMPT_REQUESTS = _row(
+    ("case_id", _S),
+    ("event_id", _S),
+    ("prompt_name", _S),
+    ("prompt_alias", _S),
+    ("prompt_version", _S),
+    ("model_endpoint", _S),
+    ("temperature", T.DoubleType()),
+    ("max_tokens", T.LongType()),
+    ("system_prompt", _S),
+    ("user_prompt", _S),
+)
+
+NOTIFICATIONS = _row(*[(name, _S) for name in ("case_id", "event_id", "channel", "text", "blocks_json")])
+
+REJECTS = _row(*[(name, _S) for name in ("source_job_id", "source_run_id", "event_id", "reason", "digest")])
+
+# What an analysis writes for each batch, and the prompts, which are kept across batches.
+BATCH_TABLES = {
+    "events": EVENTS,
+    "evidence": EVIDENCE,
+    "reports": REPORTS,
+    "prompt_requests": PROMPT_REQUESTS,
+    "notifications": NOTIFICATIONS,
+    "rejects": REJECTS,
+}
 OUTPUT_TABLES = {"events": EVENTS, "evidence": EVIDENCE, "reports": REPORTS, "prompts": PROMPTS}
+
+COMMITTED_BATCHES = _row(("table_name", _S), ("n_rows", T.LongType()))

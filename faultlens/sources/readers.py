@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from faultlens import schemas as S
+from faultlens.functions import json_text as J
 from faultlens.functions.text import decode_utf8
 
 
@@ -15,8 +16,57 @@ def typed(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def unreadable(text: Column) -> Column:
+    """Why a text can't be read as one JSON object; null when it can.
+
+    The kind is judged on the whole text, so one that was cut off, or has something behind its last
+    brace, is told from one that only lacks keys.
+    """
+    kind = J.strict_kind(text)
+    return (
+        F.when(text.isNull(), F.lit("no document"))
+        .when(kind.isNull(), F.lit("not JSON"))
+        .when(kind != "object", F.concat(F.lit("not an object but "), kind))
+    )
+
+
+def split_documents(documents: DataFrame, text: str, kind: str, **ids: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``text`` is one JSON object, and the others as rows of the reject table.
+
+    Each text is parsed once for both. A reject names the ``kind`` of document, the reason and the digest of
+    the text, by which the sender can find it; ``ids`` are columns that are known from outside the text.
+    """
+    judged = documents.withColumn("_fault", unreadable(F.col(text)))
+    reason = F.concat(F.lit(f"unreadable {kind}: "), F.col("_fault"))
+    given = {"reason": reason, "digest": F.md5(text)} | ids
+    columns = [given.get(name, F.lit(None)).cast("string").alias(name) for name in S.REJECTS.fieldNames()]
+    return (
+        judged.where(F.col("_fault").isNull()).drop("_fault"),
+        judged.where(F.col("_fault").isNotNull()).select(*columns),
+    )
+
+
+def outputs_from_documents(documents: DataFrame, run_id: Column, text: str) -> DataFrame:
+    """Run outputs from a column of JSON objects.
+
+    The three named keys are taken out as text (a value of another kind as its JSON); all others stay
+    together as one object, absent when there are none. An object that repeats a key inside can't be taken apart
+    and is kept whole beside what was read of it.
+    """
+    named = ["error", "logs", "notebook_output"]
+    fields = J.parse(F.col(text), f"struct<{', '.join(f'{name}: string' for name in named)}>")
+    whole = J.parse(F.col(text), "map<string, variant>")
+    others = F.map_filter(whole, lambda key, _: ~key.isin(*named))
+    rest = F.when(whole.isNull(), F.col(text)).when(F.cardinality(others) > 0, F.to_json(others))
+    read = documents.select(run_id.cast("bigint").alias("run_id"), fields.alias("read"), rest.alias("output_json"))
+    return read.select("run_id", *[f"read.{name}" for name in named], "output_json")
+
+
 def runs_from_documents(documents: DataFrame, text: str, event_ts: Column) -> DataFrame:
-    """Runs from a column of run-detail JSON; missing keys are null, the whole text is kept as ``document``."""
+    """Runs from a column of run-detail JSON; missing keys are null, the whole text is kept as ``document``.
+
+    Texts that may be broken go through ``split_documents`` first: here they read as a run without keys.
+    """
     read = documents.select(
         F.from_json(text, S.RUN_DETAILS).alias("run"),
         event_ts.cast("timestamp").alias("event_ts"),

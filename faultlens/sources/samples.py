@@ -152,6 +152,33 @@ def event_outputs(events: DataFrame) -> DataFrame:
     )
 
 
+def output_documents(events: DataFrame) -> DataFrame:
+    """JSON documents of run outputs, with keys that only some of them have."""
+    n = F.col("event_id")
+    cell = F.struct(join_text("cell ", n).alias("result"), F.lit(False).alias("truncated"))
+    details = F.struct(
+        F.when(n % 3 != 0, F.get(F.array(*[F.lit(t) for t in ERROR_TEXTS]), (n % 8).cast("int"))).alias("error"),
+        join_text("read \"raw\".orders.day_", F.col("user_id") % 20, "\ndone").alias("logs"),
+        F.when(n % 4 == 1, n % 3).alias("attempt"),
+        F.when(n % 2 == 0, cell).alias("notebook_output"),
+    )
+    return events.select((n * 10).alias("run_id"), F.to_json(details).alias("details"))
+
+
+def damaged(documents: DataFrame, text: str, number: Column) -> DataFrame:
+    """The same documents, of seven four not readable as an object: absent, cut off, in a list, with something behind."""
+    whole = F.col(text)
+    half = F.left(whole, (F.char_length(whole) / 2).cast("int"))
+    form = number % 7
+    broken = (
+        F.when(form == 1, half)
+        .when(form == 2, F.concat(F.lit("["), whole, F.lit("]")))
+        .when(form == 3, F.concat(whole, F.lit(" and more")))
+        .when(form != 4, whole)
+    )
+    return documents.withColumn(text, broken)
+
+
 def customer_documents(customer: DataFrame) -> DataFrame:
     """JSON documents of job settings, with keys that the settings schema does not know."""
     c = F.col("c_custkey")
@@ -297,11 +324,15 @@ ANSWER_WRAPPED = {0: ("", ""), 1: ("```json\n", "\n```"), 2: ("Here it is: ", "
 ANSWER_FIXED = {
     4: "{'title': 'single quotes'}",
     6: '\n {"error_type": "", "possible_fixes": "restart", "recommended_fix": "restart twice",'
-       ' "owner_next_steps": ["ask"], "confidence": null, "missing_context": ["log"]}\t',
+       ' "owner_next_steps": ["ask"], "confidence": null, "missing_context": [{"log": 1, "log": 2}]}\t',
     7: '{"primary_error": "boom", "possible_fixes": [], "owner_next_steps": ["ask owner"], "evidence": 0}',
 }
 
 
+# What a second answer to one case says; it comes too late to count.
+SECOND_ANSWER = '{"error_type": "SECOND", "confidence": "high"}'
+
+
 def with_answer(df: DataFrame, form: Column, said: Column) -> DataFrame:
     """Add ``answer``: one of eight forms, most of them around a JSON object."""
     listed = F.to_json(F.array(said))
@@ -319,20 +350,28 @@ def with_answer(df: DataFrame, form: Column, said: Column) -> DataFrame:
 
 
 def responses_for(cases: DataFrame) -> DataFrame:
-    """A response to every case with a known job name; the place of the content and errors vary."""
+    """Responses to every case with a known job name; the place of the content and errors vary.
+
+    They come a minute after the run. One case in five has a second, other answer half a minute later; of the rest one in
+    seven has the same answer twice.
+    """
     n = (F.col("source_run_id").cast("bigint") / 10).cast("bigint")
-    answered = with_answer(
-        cases.select("event_id", n.alias("n"), "source_job_name").where(F.col("source_job_name") != ""),
-        F.col("n") % 8, join_text("run ", F.col("n"), " of \"", F.col("source_job_name"), "\""),
-    )
-    n, answer = F.col("n"), F.col("answer")
+    known = cases.where(F.col("source_job_name") != "").select("case_id", "event_id", "event_ts", n.alias("n"), "source_job_name")
+    said = join_text("run ", F.col("n"), " of \"", F.col("source_job_name"), "\"")
+    n = F.col("n")
+    turns = F.when(n % 5 == 0, F.array(F.lit(0), F.lit(1))).when(n % 7 == 0, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0)))
+    told = with_answer(known, n % 8, said).withColumn("turn", F.explode(turns))
+    answer = F.when(F.col("turn") == 0, F.col("answer")).otherwise(F.lit(SECOND_ANSWER))
     message = F.struct(F.struct(answer.alias("content")).alias("message"))
-    return answered.select(
+    failed = (n % 10 == 0) & (F.col("turn") == 0)
+    return told.select(
+        "case_id",
         "event_id",
+        (F.col("event_ts") + F.make_dt_interval(secs=60 + 30 * F.col("turn"))).alias("answered_at"),
         F.when(n % 3 == 0, F.array(message)).alias("choices"),
         F.when(n % 3 == 1, F.array(answer)).alias("predictions"),
         F.when(n % 3 == 2, F.array(answer)).alias("outputs"),
-        F.when(n % 10 == 0, join_text("TimeoutError: no answer for run ", n)).alias("error"),
+        F.when(failed, join_text("TimeoutError: no answer for run ", n)).alias("error"),
     )
 
 

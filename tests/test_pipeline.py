@@ -1,5 +1,6 @@
 """Two-phase analysis of a few hand-written runs."""
 
+import hashlib
 import json
 from dataclasses import replace
 from datetime import datetime
@@ -14,7 +15,12 @@ from faultlens.operators import evidence as E
 from faultlens.operators import failures
 from faultlens.operators import prompts as P
 from faultlens.plans import analysis
-from faultlens.sources.readers import runs_from_documents, settings_from_documents
+from faultlens.sources.readers import (
+    outputs_from_documents,
+    runs_from_documents,
+    settings_from_documents,
+    split_documents,
+)
 from tests.test_failures import task
 
 WHEN = datetime(2024, 1, 1, 0, 0, 7)
@@ -211,6 +217,17 @@ def test_all_columns_of_a_snapshot_are_kept(spark):
     assert document["recent_history"][0]["metrics"] == {"rows": 1} and document["recent_history"][0]["user_name"] == "u"
 
 
+def test_snapshot_times_do_not_depend_on_the_session_zone(spark):
+    known = inputs(spark)
+    zone = "spark.sql.session.timeZone"
+    spark.conf.set(zone, "Asia/Tokyo")
+    try:
+        found = E.table_documents(known.table_columns, known.table_history, known.table_details).where("table_name = 'lake.sales.t01'").first()
+    finally:
+        spark.conf.set(zone, "UTC")
+    assert json.loads(found.table_json)["recent_history"][0]["timestamp"] == "2024-01-01 00:00:07"
+
+
 def test_repeated_and_simultaneous_runs(spark):
     known = inputs(spark)
     one = known.runs.where("run_id = 1")
@@ -221,7 +238,7 @@ def test_repeated_and_simultaneous_runs(spark):
     assert got.events.count() == len(ids) == len(set(ids)) == 2
     assert got.requests.count() == 2 and got.requests.select("event_id").distinct().count() == 1
     assert got.evidence.groupBy("case_id").count().select("count").distinct().collect() == [Row(count=17)]
-    assert [r.reason for r in got.rejects.collect()] == ["delivered again: 2"]
+    assert [(r.reason, len(r.digest)) for r in got.rejects.collect()] == [("delivered again: 2", 32)]
     by_event = spark.createDataFrame([(r.event_id, None, ["one"], None, None) for r in got.events.limit(1).collect()], S.MODEL_RESPONSES)
     attempts = spark.createDataFrame([], S.DELIVERY_ATTEMPTS)
     assert analysis.report(got.asked, by_event, attempts).reports.count() == 2
@@ -231,6 +248,71 @@ def test_repeated_and_simultaneous_runs(spark):
     assert {json.loads(r.report_json)["summary"] for r in reports} == {f"answer {case}" for case in ids}
 
 
+def test_of_differing_deliveries_the_fullest_counts(spark):
+    """Most tasks first, then the longest text; every other text is a reject with its digest."""
+    known = inputs(spark)
+    short = json.dumps({"run_id": 1, "job_id": 7, "tasks": [{"task_key": "a", "state": {"result_state": "FAILED"}}]})
+    long = short[:-1] + ', "note": "more"}'
+    two = json.dumps({"run_id": 1, "job_id": 7, "tasks": [{"task_key": "b", "state": {"result_state": "FAILED"}}, {}]})
+    texts = spark.createDataFrame([(t,) for t in [short, two, long, short, two, long, short]], "details string")
+    got = analysis.collect(replace(known, runs=runs_from_documents(texts, "details", F.lit("2024-01-01"))), "p", "a")
+    assert [r.failed_task_key for r in got.events.collect()] == ["b"]
+    assert [r.evidence_json for r in got.evidence.where("collector_name = 'job_run'").collect()] == [two]
+    digest = lambda text: hashlib.md5(text.encode()).hexdigest()
+    assert {(r.reason, r.digest) for r in got.rejects.collect()} == {
+        ("delivered again: 3", digest(short)), ("delivered again: 2", digest(long)), ("delivered again: 1", digest(two))}
+
+
+def test_unreadable_documents_are_rejects(spark):
+    good = json.dumps({"run_id": 5, "job_id": 7, "tasks": [{"task_key": "t", "state": {"result_state": "FAILED"}}]})
+    texts = [good, good[:-9], f"[{good}]", good + " x", None, "", "17", "{'run_id': 5}", "{}", '{"run_id": "seven", "job_id": 7}']
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, details string")
+    objects, bad = split_documents(frame, "details", "run", source_run_id=F.col("n"))
+    assert bad.columns == S.REJECTS.fieldNames()
+    assert [(r.source_run_id, r.reason) for r in bad.orderBy("source_run_id").collect()] == [
+        ("1", "unreadable run: not JSON"), ("2", "unreadable run: not an object but array"), ("3", "unreadable run: not JSON"),
+        ("4", "unreadable run: no document"), ("5", "unreadable run: not JSON"), ("6", "unreadable run: not an object but number"),
+        ("7", "unreadable run: not JSON")]
+    assert {r.source_run_id: r.digest for r in bad.collect()}["1"] == hashlib.md5(texts[1].encode()).hexdigest()
+    runs = runs_from_documents(objects, "details", F.lit("2024-01-01"))
+    got = analysis.collect(replace(inputs(spark), runs=runs, unreadable=bad), "p", "a", only_failed=False)
+    assert [r.source_run_id for r in got.events.collect()] == ["5"]
+    reasons = sorted(r.reason for r in got.rejects.collect())
+    assert reasons == sorted([r.reason for r in bad.collect()] + ["required: job_id, run_id", "required: run_id"])
+
+
+def test_output_documents(spark):
+    texts = ['{"error": "e", "logs": "l", "metadata": {"a": [1]}, "x": null}', '{"notebook_output": {"result": "r"}}', "{}",
+             '{"logs": 5, "x": {"a": 1, "a": 2}}']
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, details string")
+    rows = {r.run_id: r for r in outputs_from_documents(frame, F.col("n"), "details").collect()}
+    assert (rows[0].error, rows[0].logs, rows[0].notebook_output) == ("e", "l", None)
+    assert json.loads(rows[0].output_json) == {"metadata": {"a": [1]}, "x": None}
+    assert rows[1].notebook_output == '{"result":"r"}' and rows[1].output_json is None
+    assert tuple(rows[2])[1:] == (None,) * 4
+    assert rows[3].logs == "5" and rows[3].output_json == texts[3]
+
+
+def test_one_report_per_case_whatever_responses_repeat(spark, collected):
+    asked = collected.asked
+    cases = {r.source_run_id: r for r in asked.collect()}
+    attempts = spark.createDataFrame([], S.DELIVERY_ATTEMPTS)
+    schema = "case_id string, event_id string, answered_at timestamp, predictions array<string>, error string"
+    later = WHEN.replace(minute=5)
+    rows = [(cases["1"].case_id, None, WHEN, ["first"], None), (cases["1"].case_id, None, later, ["a later one"], None),
+            (cases["1"].case_id, None, WHEN, ["first"], None), (cases["2"].case_id, None, WHEN, ["only"], None)]
+    nothing = {"choices": F.lit(None).cast(S.MODEL_RESPONSES["choices"].dataType), "outputs": F.lit(None).cast("array<string>")}
+    out = analysis.report(asked, spark.createDataFrame(rows, schema).withColumns(nothing), attempts)
+    told = {r.source_run_id: json.loads(r.report_json).get("summary") for r in out.reports.collect()}
+    assert out.reports.count() == 3 and told["1"] == "first" and told["2"] == "only"
+    assert [(r.source_run_id, r.reason) for r in out.rejects.collect()] == [("1", "answered again: 2")]
+    # By event id, which two runs of a second share, each gets the one answer.
+    by_event = spark.createDataFrame([(cases["1"].event_id, None, ["x"], None, None)] * 2, S.MODEL_RESPONSES)
+    twins = asked.unionByName(asked.where("source_run_id = '1'").withColumn("case_id", F.lit("twin")))
+    out = analysis.report(twins, by_event, attempts)
+    assert out.reports.count() == 4 and [r.reason for r in out.rejects.collect()] == ["answered again: 1"]
+
+
 def test_settings_documents_in_json(spark):
     text = json.dumps({"settings": {"name": "n", "tasks": [{"task_key": "t", "spark_python_task": {"python_file": "/f"}}]}})
     frame = spark.createDataFrame([("7", text), ("8", "{}")], "job string, details string")
@@ -259,9 +341,18 @@ def test_only_what_is_read_is_written(spark):
         return frame
 
     got = analysis.collect(inputs(spark), "p", "a", keep=keep)
-    assert got.asked.count() == 3 and written == ["cases", "outputs"]
-    assert got.requests.count() == 3 and written == ["cases", "outputs", "evidence", "refs"]
-    assert got.evidence.count() > 0 and len(written) == 4
+    assert got.asked.count() == 3 and written == ["cases", "asked"]
+    assert got.requests.count() == 3 and written == ["cases", "asked", "again", "evidence", "outputs", "refs"]
+    assert got.evidence.count() > 0 and len(written) == 6
+
+
+def test_a_report_reads_no_document_and_searches_no_text(spark):
+    """The error summary has a path of its own: no evidence documents, no references."""
+    got = analysis.collect(inputs(spark), "p", "a", keep=lambda frame, _: frame)
+    plan = got.summaries._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    whole = {r.case_id: (r.error_type, r.error_description) for r in got.outputs.where("error_type is not null").collect()}
+    assert {r.case_id: (r.error_type, r.error_description) for r in got.summaries.collect()} == whole
 
 
 def test_lookups_are_cut_to_what_is_asked_before_their_texts_are_read(spark):
@@ -276,6 +367,6 @@ def test_lookups_are_cut_to_what_is_asked_before_their_texts_are_read(spark):
 
 def test_a_run_delivered_often_is_reduced_where_it_is_read(spark):
     runs = inputs(spark).runs.where("run_id = 1").withColumn("digest", F.lit(1))
-    first = failures.first_deliveries(failures.heads(runs), "digest")
+    first = failures.first_deliveries(failures.heads(failures.with_document(runs)), "digest")
     plan = first._jdf.queryExecution().executedPlan().toString()
     assert plan.rindex("WindowGroupLimit") > plan.index("Exchange")

@@ -1,9 +1,11 @@
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from faultlens import fixed_values as V
 from faultlens import schemas as S
+from faultlens.sinks import batches
 from faultlens.sinks import tables as K
 from faultlens.sources import readers
 
@@ -60,6 +62,68 @@ def test_folder_round_trip(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/r").count() == 1
 
 
+def content(spark, db):
+    return {
+        name: sorted(map(str, batches.committed(spark, db, name).collect())) for name in S.BATCH_TABLES
+    }
+
+
+def batch_frames(spark, *ids):
+    events = spark.createDataFrame([(f"e{i}", f"t{i}") for i in ids], "event_id string, created_at string")
+    rejects = spark.createDataFrame([(f"e{i}", "why") for i in ids if i % 2], "event_id string, reason string")
+    return {"events": events, "rejects": rejects, "reports": events.select("event_id")}
+
+
+def test_a_batch_is_written_once_however_often_it_is_tried(spark):
+    db = database()
+    batches.ensure_batch_tables(spark, db)
+    batches.ensure_batch_tables(spark, db)
+    assert batches.write_batch(batch_frames(spark, 1, 2), db, 0)
+    before = content(spark, db)
+    assert len(before["events"]) == 2 and len(before["rejects"]) == 1
+    assert not batches.write_batch(batch_frames(spark, 1, 2), db, 0)
+    assert not batches.write_batch(batch_frames(spark, 8, 9), db, 0)
+    assert content(spark, db) == before
+    assert batches.write_batch(batch_frames(spark, 3), db, 1)
+    counts = {(r.batch_id, r.table_name): r.n_rows for r in batches.batches(spark, db).collect()}
+    assert counts[("0", "events")] == 2 and counts[("1", "rejects")] == 1 and len(counts) == 6
+
+
+def test_a_batch_that_broke_off_is_not_seen_and_leaves_nothing(spark):
+    db = database()
+    batches.ensure_batch_tables(spark, db)
+    batches.write_batch(batch_frames(spark, 1), db, "a")
+    whole = content(spark, db)
+    broken = batch_frames(spark, 5, 7)
+    batches.begin_batch({name: broken[name] for name in ("events", "rejects")}, db, "b")
+    assert content(spark, db) == whole and spark.table(f"{db}.events").count() == 3
+    # The second try has other rows, and none at all for the rejects.
+    assert batches.write_batch(batch_frames(spark, 6), db, "b")
+    assert spark.table(f"{db}.rejects").where("batch_id = 'b'").count() == 0
+    assert [r.event_id for r in spark.table(f"{db}.events").where("batch_id = 'b'").collect()] == ["e6"]
+
+
+def test_a_batch_may_be_replaced(spark):
+    db = database()
+    batches.ensure_batch_tables(spark, db)
+    batches.write_batch(batch_frames(spark, 1, 3), db, 0)
+    batches.write_batch(batch_frames(spark, 5), db, 1)
+    assert batches.write_batch(batch_frames(spark, 2), db, 0, replace=True)
+    assert sorted(r.event_id for r in batches.committed(spark, db, "events").collect()) == ["e2", "e5"]
+    assert [r.event_id for r in batches.committed(spark, db, "rejects").collect()] == ["e5"]
+    with pytest.raises(ValueError):
+        batches.write_batch(batch_frames(spark, 2), db, "x' OR '1")
+
+
+def test_committed_batches_prune_partitions(spark):
+    db = database()
+    batches.ensure_batch_tables(spark, db)
+    for i in range(3):
+        batches.write_batch(batch_frames(spark, i), db, i)
+    one = spark.table(f"{db}.events").where("batch_id = '1'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch_id" in one
+
+
 def test_source_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.py").write_bytes(b"x = '\xff'\n")
