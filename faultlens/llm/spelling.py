@@ -248,15 +248,47 @@ def _parities(words: list[str]):
     return np.bitwise_xor.reduceat(bits, starts) if len(words) else np.empty(0, np.uint64)
 
 
-# Pairs a leaf compares at a time.
+# Pairs a leaf compares at a time, and the longest words that are compared as rows of a table.
 PAIRS_AT_ONCE = 4_000_000
+TABLE_WIDTH = 64
 
 
-def near_pairs(words: list[str], seekers: list[str], surplus, group: list[int], first: int) -> Iterator[tuple[int, int]]:
-    """(row of ``words``, row of ``seekers``) of near words; the seekers from row ``first`` on are the words themselves."""
+class _Table:
+    """Words as rows of code points, from the front and from the back, with zeros behind them."""
+
+    def __init__(self, words: list[str], width: int):
+        import numpy as np
+
+        codes, self.lengths = _codes(words)
+        row = np.repeat(np.arange(len(words)), self.lengths)
+        at = np.arange(len(codes)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        fits = self.lengths[row] < width
+        row, at, codes = row[fits], at[fits], codes[fits].astype(np.uint8)
+        self.front, self.back = np.zeros((2, len(words), width), np.uint8)
+        self.front[row, at] = codes
+        self.back[row, self.lengths[row] - 1 - at] = codes
+
+
+def _near_rows(words: _Table, seekers: _Table, a, b):
+    """Which pairs of rows are near: the words have the length of the seekers, or one letter less."""
+    differ = words.front[a] != seekers.front[b]
+    replaced = differ.sum(axis=1) == 1
+    longer = words.lengths[a] < seekers.lengths[b]
+    some = longer.nonzero()[0]
+    # What the words have in common from the front and from the back has to cover the shorter one.
+    front = differ[some].argmax(axis=1)
+    back = (words.back[a[some]] != seekers.back[b[some]]).argmax(axis=1)
+    replaced[some] = front + back >= words.lengths[a[some]]
+    return replaced
+
+
+def near_pairs(words: list[str], seekers: list[str], surplus, group: list[int], first: int) -> Iterator[tuple]:
+    """(rows of ``words``, rows of ``seekers``) of near words; the seekers from row ``first`` on are the words themselves."""
     import numpy as np
 
     own_parity, parity = _parities(words), _parities(seekers)
+    width = min(TABLE_WIDTH, 1 + max(map(len, seekers), default=0))
+    own_table, table = _Table(words, width), _Table(seekers, width)
     found = search(vectors(words, group, GROUPS), vectors(seekers, group, GROUPS), surplus)
     for rows, who in found:
         step = max(1, PAIRS_AT_ONCE // len(rows))
@@ -267,9 +299,13 @@ def near_pairs(words: list[str], seekers: list[str], surplus, group: list[int],
             left, right = rows[j], some[i]
             # A word meets each other word of its own block once, from the later row.
             once = (right < first) | (right - first > left)
-            for a, b in zip(left[once].tolist(), right[once].tolist(), strict=True):
-                if near(words[a], seekers[b]):
-                    yield a, b
+            left, right = left[once], right[once]
+            short = table.lengths[right] < width
+            yes = np.zeros(len(left), bool)
+            yes[short] = _near_rows(own_table, table, left[short], right[short])
+            for k in np.flatnonzero(~short):
+                yes[k] = near(words[left[k]], seekers[right[k]])
+            yield left[yes], right[yes]
 
 
 LINKS = "word string, near string, near_n bigint"
@@ -306,8 +342,10 @@ def links(words: DataFrame, *, shard_words: int = SHARD_WORDS) -> DataFrame:
         every = table.column("word").take(pa.array(order)).to_pylist()
         counts = table.column("n").to_numpy()[order]
         budget = np.abs(surplus[order])
-        pairs = np.array(list(near_pairs(every[n_visitors:], every, budget, group, n_visitors)), np.int64).reshape(-1, 2)
-        a, b = pairs[:, 0] + n_visitors, pairs[:, 1]
+        none = np.empty(0, np.int64)
+        pairs = [(none, none), *near_pairs(every[n_visitors:], every, budget, group, n_visitors)]
+        a, b = (np.concatenate([pair[side] for pair in pairs]) for side in (0, 1))
+        a += n_visitors
         names = pa.array(every, pa.string())
         return pa.table({
             "word": pa.concat_arrays([names.take(pa.array(a)), names.take(pa.array(b))]),
