@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,18 +70,28 @@ def qualifying_run_ids(tasks: DataFrame) -> DataFrame:
     return tasks.where(failed).groupBy("parent_run_id").agg(F.count("*").alias("failed_tasks"))
 
 
-def blamed_tasks(tasks: DataFrame, order: Sequence[str] = ("pos",)) -> DataFrame:
+# Ranks of tasks: positions below, and all that did not fail behind all that did.
+_LAST_POSITION = (1 << 61) - 1
+_PASSED = 1 << 61
+
+
+def blamed_tasks(tasks: DataFrame) -> DataFrame:
     """One row per run of a feed with one row per task: the first failed task, else the first.
 
-    One ``min_by`` ranks failed tasks before the others. It combines before the shuffle, so a run
-    that holds a large share of all tasks is reduced where its rows are read.
+    ``pos`` is the task's place in its run, a whole number below 2^61; tasks without one come last. Whether a task
+    passed and its place are one number, so the least is found by hashing in a buffer of fixed width, from a few
+    columns, and combined before the shuffle: a run that holds a large share of all tasks is reduced where its rows
+    are read. Only then is the task itself fetched. Of tasks that share a place the one with the least run id, then key, is taken.
     """
-    task = F.col("task")
-    passed = (~task_failed(task)).alias("passed")
-    return (
-        tasks.groupBy("parent_run_id")
-        .agg(F.min_by(F.struct(task.alias("task"), passed), F.struct(passed, *order)).alias("first"))
-        .select("parent_run_id", "first.task", F.col("first.passed").alias("is_fallback"))
+    passed = F.when(task_failed(F.col("task")), F.lit(0)).otherwise(F.lit(_PASSED))
+    place = F.coalesce(F.col("pos"), F.lit(_LAST_POSITION)).cast("bigint")
+    ranked = tasks.select("parent_run_id", "task", (place + passed).alias("_rank"))
+    least = ranked.groupBy("parent_run_id").agg(F.min("_rank").alias("_least"))
+    # Not an equality, so that the join deals rows by run alone and what follows needs no other shuffle.
+    found = ranked.join(least, "parent_run_id").where(F.col("_rank") <= F.col("_least"))
+    turn = F.row_number().over(Window.partitionBy("parent_run_id").orderBy("task.run_id", "task.task_key"))
+    return found.withColumn("_turn", turn).where("_turn = 1").select(
+        "parent_run_id", "task", (F.col("_least") >= _PASSED).alias("is_fallback")
     )
 
 

@@ -66,7 +66,7 @@ def qualifying_runs(table) -> DataFrame:
 
 
 def _order_heads(table) -> DataFrame:
-    blamed = failures.blamed_tasks(samples.line_tasks(table("lineitem")), samples.LINE_ORDER)
+    blamed = failures.blamed_tasks(samples.line_tasks(table("lineitem")))
     runs = samples.order_runs(table("orders"))
     with_task = runs.join(blamed, F.col("run_id") == F.col("parent_run_id"), "left").drop("parent_run_id")
     return failures.with_event_id(

@@ -41,9 +41,6 @@ def join_text(*parts: Column | str) -> Column:
 
 # Runs and tasks from orders and lineitem: one row per task ------------------------------------
 
-LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
-
-
 def order_runs(orders: DataFrame) -> DataFrame:
     return orders.select(
         F.col("o_orderkey").alias("run_id"),
@@ -72,7 +69,9 @@ def line_tasks(lineitem: DataFrame) -> DataFrame:
         ).alias("status"),
         join_text("task_", number).alias("task_key"),
     )
-    return lineitem.select(F.col("l_orderkey").alias("parent_run_id"), *LINE_ORDER, task.alias("task"))
+    # Line numbers repeat; part and supplier tell such lines apart.
+    place = F.shiftleft(number.cast("bigint"), 57) + F.shiftleft("l_partkey", 26) + F.col("l_suppkey")
+    return lineitem.select(F.col("l_orderkey").alias("parent_run_id"), place.alias("pos"), task.alias("task"))
 
 
 # Run documents from events ---------------------------------------------------------------------

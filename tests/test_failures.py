@@ -69,6 +69,18 @@ def test_task_feed_agrees_with_documents(spark):
     assert ids == {run for run, (_, fallback) in want.items() if not fallback}
 
 
+def test_tasks_without_a_place_or_with_the_same(spark):
+    rows = [
+        (1, None, task("late", run_id=1, result="FAILED")), (1, 7, task("ok", run_id=2, result="SUCCESS")),
+        (2, 3, task("a", run_id=3, result="FAILED")), (2, 3, task("b", run_id=4, result="FAILED")), (2, 1, task("c", run_id=5)),
+        (3, None, task("only", run_id=6)), (None, 1, task("lost", run_id=7)),
+    ]
+    found = X.blamed_tasks(spark.createDataFrame(rows, S.RUN_TASKS)).collect()
+    got = {r.parent_run_id: (r.task.task_key, r.is_fallback) for r in found}
+    assert got[1] == ("late", False) and got[2] == ("a", False) and got[3] == ("only", True)
+    assert len(found) == 3
+
+
 def test_code_path(spark):
     tasks = [
         task("a", notebook={"notebook_path": "/n"}, script={"python_file": "/s"}),

@@ -61,3 +61,10 @@ def test_filter_and_columns_reach_the_scan(spark):
     history = entry_points.queries()["recent_history_top5"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert history.index("WindowGroupLimit") < history.index("Exchange")
     assert history.rindex("WindowGroupLimit") > history.index("Exchange")
+
+
+def test_the_first_failed_task_is_found_in_a_buffer_of_fixed_width(spark):
+    """No sort-based aggregation, and the least rank is taken from a few columns of the feed."""
+    plan = entry_points.queries()["first_failed_task"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "partial_min(_rank" in plan
+    assert plan.count("ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_linenumber:int,l_returnflag:") == 2
