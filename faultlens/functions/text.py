@@ -33,7 +33,7 @@ def first_nonempty(*arrays: Column) -> Column:
 # The fixed pattern for the JVM: an identifier is not tried from its middle, where it can only fail
 # again, and is never given back in parts. Both leave the matched names as they are and take the
 # time per word from quadratic to linear.
-_NAME = V.TABLE_REF_PATTERN.split("`?", 2)[1].strip("()") + "+"
+_NAME = f"{V.IDENTIFIER}+"
 _REF_PATTERN = rf"(?<![A-Za-z_]){_NAME}`?\.`?{_NAME}`?\.`?{_NAME}"
 
 

@@ -226,19 +226,15 @@ def identify(run_heads: DataFrame, settings: DataFrame) -> DataFrame:
 
 def classify_error(output_text: Column, termination_code: Column, result_state: Column) -> Column:
     """Error class by ordered rules over the whole output document."""
+
+    def has(marker: str, text: Column = output_text) -> Column:
+        return F.contains(text, F.lit(marker))
+
     return (
-        F.when(F.contains(output_text, F.lit("UNRESOLVED_COLUMN")), "UNRESOLVED_COLUMN")
-        .when(
-            F.contains(output_text, F.lit("PERMISSION_DENIED"))
-            | F.contains(output_text, F.lit("PermissionDenied")),
-            "PERMISSION_DENIED",
-        )
-        .when(
-            F.contains(output_text, F.lit("TABLE_OR_VIEW_NOT_FOUND"))
-            | F.contains(F.lower(output_text), F.lit("not found")),
-            "NOT_FOUND",
-        )
-        .otherwise(F.coalesce(first_text(termination_code, result_state), F.lit("UNKNOWN")))
+        F.when(has(V.UNRESOLVED_COLUMN), V.UNRESOLVED_COLUMN)
+        .when(has(V.PERMISSION_DENIED) | has(V.PERMISSION_DENIED_NAME), V.PERMISSION_DENIED)
+        .when(has(V.TABLE_NOT_FOUND) | has(V.NOT_FOUND_WORDS, F.lower(output_text)), V.NOT_FOUND)
+        .otherwise(F.coalesce(first_text(termination_code, result_state), F.lit(V.UNKNOWN)))
     )
 
 

@@ -35,11 +35,8 @@ def feed_status(expected: DataFrame, feed: DataFrame, key: str, date: str, as_of
     rows = F.coalesce("rows_on_day", F.lit(0).cast("bigint"))
     status = expected.join(seen, key, "left").withColumn("rows_on_day", rows)
     message = F.concat(
-        F.lit("Data quality check failed: expected rows for "),
-        as_of.cast("string"),
-        F.lit(" in "),
-        F.col(key).cast("string"),
-        F.lit(", found 0. Likely stale or missing upstream feed."),
+        F.lit("feed "), F.col(key).cast("string"), F.lit(" is empty on "), as_of.cast("string"),
+        F.coalesce(F.concat(F.lit("; its last rows are of "), F.col("newest_day").cast("string")), F.lit("; it never had rows")),
     )
     return status.select(
         key,
@@ -92,8 +89,7 @@ def access_failures(probes: DataFrame) -> DataFrame:
     """Failed table probes with their error class and family."""
     none = F.lit(None).cast("string")
     message = F.concat(
-        F.lit("Permission denied while reading required upstream table "),
-        F.col("table_name"), F.lit(": "), F.coalesce("error_text", F.lit("")),
+        F.lit("probe of "), F.col("table_name"), F.lit(" failed: "), F.coalesce("error_text", F.lit("")),
     )
     return probes.where(~F.col("ok")).select(
         "table_name",

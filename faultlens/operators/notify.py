@@ -29,21 +29,28 @@ def _shown(column: str, absent: str) -> Column:
 def message_text() -> Column:
     """Plain message over a row with report fields."""
     error = first_text(F.col("model_error_description"), F.col("model_primary_error"))
+
+    def fact(label: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{label}: "), value)
+
+    def heading(label: str) -> Column:
+        return F.lit(f"\n{label}:")
+
     return F.concat_ws(
         "\n",
         F.lit(V.MESSAGE_HEADER),
-        F.concat(F.lit("Job: "), F.coalesce(_job(), F.lit(""))),
-        F.concat(F.lit("Run: "), F.col("source_run_id")),
-        F.concat(F.lit("Failed task: "), F.col("failed_task_key")),
-        F.concat(F.lit("Error type: "), _shown("error_type_shown", "UNKNOWN")),
-        F.concat(F.lit("Confidence: "), _shown("confidence_shown", "unknown")),
-        F.lit("\nError:"),
+        fact(V.LABEL_JOB, F.coalesce(_job(), F.lit(""))),
+        fact(V.LABEL_RUN, F.col("source_run_id")),
+        fact(V.LABEL_TASK, F.col("failed_task_key")),
+        fact(V.LABEL_TYPE, _shown("error_type_shown", V.UNKNOWN)),
+        fact(V.LABEL_CONFIDENCE, _shown("confidence_shown", "unknown")),
+        heading(V.LABEL_ERROR),
         truncate(error, V.MESSAGE_ERROR_LIMIT),
-        F.lit("\nLikely root cause:"),
+        heading(V.LABEL_CAUSE),
         truncate(F.col("model_likely_root_cause"), V.MESSAGE_CAUSE_LIMIT),
-        F.lit("\nPossible fixes:"),
+        heading(V.LABEL_FIXES),
         _fixes(),
-        F.lit("\nLinks:"),
+        heading(V.LABEL_LINKS),
         _links(),
         F.lit(""),
     )
@@ -66,20 +73,20 @@ def message_blocks() -> Column:
 
     facts = F.concat_ws(
         "\n",
-        code("Job", F.coalesce(_job(), F.lit(""))),
-        code("Run", F.col("source_run_id")),
-        code("Failed task", F.col("failed_task_key")),
-        code("Error type", _shown("error_type_shown", "UNKNOWN")),
-        code("Confidence", _shown("confidence_shown", "unknown")),
+        code(V.LABEL_JOB, F.coalesce(_job(), F.lit(""))),
+        code(V.LABEL_RUN, F.col("source_run_id")),
+        code(V.LABEL_TASK, F.col("failed_task_key")),
+        code(V.LABEL_TYPE, _shown("error_type_shown", V.UNKNOWN)),
+        code(V.LABEL_CONFIDENCE, _shown("confidence_shown", "unknown")),
     )
     cause = truncate(F.col("model_likely_root_cause"), V.BLOCK_CAUSE_LIMIT)
-    links = F.array(text("mrkdwn", F.concat(F.lit("*Links:* "), _links())))
+    links = F.array(text("mrkdwn", F.concat(F.lit(f"*{V.LABEL_LINKS}:* "), _links())))
     return F.to_json(
         F.array(
             block("header", text("plain_text", F.lit(V.MESSAGE_HEADER))),
             block("section", text("mrkdwn", facts)),
-            block("section", text("mrkdwn", F.concat(F.lit("*Likely root cause:*\n"), cause))),
-            block("section", text("mrkdwn", F.concat(F.lit("*Possible fixes:*\n"), _fixes()))),
+            block("section", text("mrkdwn", F.concat(F.lit(f"*{V.LABEL_CAUSE}:*\n"), cause))),
+            block("section", text("mrkdwn", F.concat(F.lit(f"*{V.LABEL_FIXES}:*\n"), _fixes()))),
             block("context", elements=links),
         )
     )

@@ -866,8 +866,8 @@ AS_OF = "date '2001-08-01'"
 SQL["feed_freshness"] = f"""
 select n_nationkey as vendor_id, cast(count_if(d = {AS_OF}) as bigint) as rows_on_day, cast(max(d) as varchar) as newest_day,
   cast(date_diff('day', max(d), {AS_OF}) as integer) as lag_days,
-  case when count_if(d = {AS_OF}) = 0 then 'Data quality check failed: expected rows for 2001-08-01 in ' || n_nationkey
-    || ', found 0. Likely stale or missing upstream feed.' end as failure
+  case when count_if(d = {AS_OF}) = 0 then 'feed ' || n_nationkey || ' is empty on 2001-08-01'
+    || coalesce('; its last rows are of ' || max(d), '; it never had rows') end as failure
 from nation left join (select c_nationkey, cast(o_orderdate as date) as d from orders join customer on c_custkey = o_custkey)
   on c_nationkey = n_nationkey
 group by n_nationkey"""
@@ -910,7 +910,7 @@ select run_id, {family('error')} as family, concat_ws(',', {_FAMILIES}) as famil
 from outputs where error is not null"""
 
 SQL["access_check"] = with_tables("outputs") + f"""
-select table_name, 'Permission denied while reading required upstream table ' || table_name || ': ' || error as message,
+select table_name, 'probe of ' || table_name || ' failed: ' || error as message,
   case when contains(error, 'UNRESOLVED_COLUMN') then 'UNRESOLVED_COLUMN'
        when contains(error, 'PERMISSION_DENIED') or contains(error, 'PermissionDenied') then 'PERMISSION_DENIED'
        when contains(error, 'TABLE_OR_VIEW_NOT_FOUND') or contains(lower(error), 'not found') then 'NOT_FOUND'

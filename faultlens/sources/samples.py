@@ -20,8 +20,8 @@ ERROR_TEXTS = [
     "PERMISSION_DENIED: user lacks USE SCHEMA; also [TABLE_OR_VIEW_NOT_FOUND]",
     "[TABLE_OR_VIEW_NOT_FOUND] The table or view cannot be found",
     "ModuleNotFoundError: No module named vendor_lib",
-    "ValueError: Data quality check failed: expected rows, found 0",
-    "PermissionError: Permission denied while reading the upstream table",
+    "ValueError: data quality rule orders_complete is broken, found 0 rows",
+    "PermissionError: permission denied on /mnt/vendor/daily",
     "java.io.IOException: Path Not Found: /mnt/raw",
     "",
 ]

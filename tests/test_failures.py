@@ -129,9 +129,9 @@ def test_require_keys(spark):
 SCENARIOS = [
     ("AnalysisException: [UNRESOLVED_COLUMN.WITH_SUGGESTION] transaction_amount", "UNRESOLVED_COLUMN", "schema_drift"),
     ("[TABLE_OR_VIEW_NOT_FOUND] daily_orders cannot be found", "NOT_FOUND", "missing_object"),
-    ("ValueError: Data quality check failed: expected current_date rows in feed, found 0", "RUN_EXECUTION_ERROR", "data_quality"),
+    ("ValueError: data quality rule broken for the daily feed, found 0", "RUN_EXECUTION_ERROR", "data_quality"),
     ("ModuleNotFoundError: No module named 'vendor_library'", "RUN_EXECUTION_ERROR", "dependency"),
-    ("PermissionError: Permission denied while reading required upstream table payroll", "RUN_EXECUTION_ERROR", "permission"),
+    ("PermissionError: permission denied on table payroll", "RUN_EXECUTION_ERROR", "permission"),
 ]
 
 

@@ -15,7 +15,7 @@ def test_feed_status_keeps_absent_feeds(spark):
     as_of = F.lit("2026-05-31").cast("date")
     got = {r.vendor_id: r for r in H.feed_status(expected, feed, "vendor_id", "feed_date", as_of).collect()}
     assert (got["vendor_a"].rows_on_day, got["vendor_a"].lag_days) == (0, 1)
-    assert got["vendor_a"].failure.startswith("Data quality check failed: expected rows for 2026-05-31 in vendor_a, found 0")
+    assert got["vendor_a"].failure.startswith("feed vendor_a is empty on 2026-05-31; ")
     assert (got["vendor_b"].rows_on_day, got["vendor_b"].failure) == (1, None)
     assert (got["vendor_c"].rows_on_day, got["vendor_c"].newest_day, got["vendor_c"].lag_days) == (0, None, None)
     assert H.rows_on_day(feed, "feed_date", as_of).first().cnt == 1
@@ -50,7 +50,7 @@ def test_access(spark):
     )
     got = {r.table_name: (r.error_type, r.message) for r in H.access_failures(probes).collect()}
     assert set(got) == {"a.b.d", "a.b.e"}
-    assert got["a.b.d"] == ("UNKNOWN", "Permission denied while reading required upstream table a.b.d: no SELECT privilege")
+    assert got["a.b.d"] == ("UNKNOWN", "probe of a.b.d failed: no SELECT privilege")
     assert got["a.b.e"][0] == "NOT_FOUND"
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from faultlens import fixed_values as V
 from faultlens.functions import text as T
 
-# The fixed pattern in the spelling of the re module, used as an independent check.
-PLAIN = re.compile(r"`?([A-Za-z_][\w-]*)`?\.`?([A-Za-z_][\w-]*)`?\.`?([A-Za-z_][\w-]*)`?")
+# The fixed pattern as the re module writes letters and digits.
+PLAIN = re.compile(V.TABLE_REF_PATTERN.replace(r"\p{L}\p{N}_", r"\w"))
 
 
 def expected_refs(text):
