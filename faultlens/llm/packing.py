@@ -41,14 +41,15 @@ def pieces(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer_path).encode
+        encode_all = encoder(tokenizer_path).encode_all
         end = np.array([end_id], "<u4").tobytes()
         # Tasks start at different groups; 7919 is any odd step that spreads them.
         slot = TaskContext.get().partitionId() * 7919
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                code = encode(text.as_py() or "") + end
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for doc_id, code in zip(batch.column(0).to_pylist(), encode_all(texts), strict=True):
+                code += end
                 total = len(code) // 4
                 first = (total - 1) % capacity + 1
                 start, piece, stop = 0, 0, first

@@ -22,7 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, repeat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,15 +95,15 @@ def write(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer_path).encode
+        encode_all = encoder(tokenizer_path).encode_all
         lengths, ids, nulls = [], [], 0
         end = np.array([end_id], f"<u{width}").tobytes()
 
         def tokens() -> Iterator[bytes]:
             nonlocal nulls
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    code = np.frombuffer(encode(text.as_py() or ""), "<u4")
+                texts = [text or "" for text in batch.column(1).to_pylist()]
+                for doc_id, code in zip(batch.column(0).to_pylist(), map(np.frombuffer, encode_all(texts), repeat("<u4")), strict=True):
                     nulls += doc_id is None
                     ids.append(doc_id or 0)
                     lengths.append(len(code) + 1)

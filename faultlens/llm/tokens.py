@@ -1,29 +1,56 @@
-"""Token ids of whole texts, by the tokenizers library, with bounded caches in each worker.
+"""Token ids of whole texts, by the tokenizers library, with a bounded cache in each worker.
 
-A text is cut at single spaces, its pieces at the vocabulary's own word boundaries, and each distinct
-word goes through the library once while it is cached. Byte-level BPE merges only inside a word, so
-the ids of a text are those of its words in order.
+A text is cut at single spaces, and each distinct piece goes through the library once while it is
+cached. Byte-level BPE merges only inside a word, and every piece but the first starts with the space
+before it, so the ids of a text are those of its pieces in order. What is new in a portion of texts is
+learned together: the pieces are one text to the library, and the ids that start with a space show
+where they part.
 
-The vocabulary's added tokens (``<|endoftext|>``) come first: a text is cut at their literals, each
-has its own id, and only what lies between them is cut into words.
+Texts with white space beside white space, or at their end, are left to the library whole: their word
+boundaries depend on the run. The vocabulary's added tokens (``<|endoftext|>``) come first: a text is cut at their literals,
+each has its own id, and only what lies between them is cut into pieces.
 """
 
 from __future__ import annotations
 
 from array import array
 
-# The word pattern of the byte-level vocabulary (a fixed value of that vocabulary).
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Entries of the younger generation of the cache; the older one has as many at most.
+PIECES_KEPT = 400_000
+# Characters of the texts whose new pieces are learned together.
+PORTION_CHARACTERS = 2_000_000
 
-# Marks that are a word of their own after a word of letters.
-ENDS = frozenset(".,:;!?")
+# All white space of Unicode, and the separators that some count with it: twice in a row, or at the end.
+_SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_LOOSE_SPACE = rf"{_SPACE}(?:{_SPACE}|\z)"
 
-PIECES_KEPT = 800_000
-WORDS_KEPT = 100_000
+
+class _Generations:
+    """A bounded cache: when the younger generation is full it becomes the older one, whose entries come back when used."""
+
+    def __init__(self, most: int):
+        self._most = most
+        self.young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def codes(self, pieces: list[str], learn) -> list[bytes]:
+        """Codes of distinct pieces; those that aren't cached go through ``learn`` together."""
+        found = list(map(self.young.get, pieces))
+        if self._old:
+            found = [self._old.get(piece) if code is None else code for piece, code in zip(pieces, found, strict=True)]
+        new = [piece for piece, code in zip(pieces, found, strict=True) if code is None]
+        if new:
+            learned = iter(learn(new))
+            found = [next(learned) if code is None else code for code in found]
+        if len(self.young) + len(new) > self._most:
+            # A generation may grow beyond its size by what a single portion of texts holds.
+            self._old, self.young = self.young, {}
+        self.young.update(zip(pieces, found, strict=True))
+        return found
 
 
 class CachedEncoder:
-    """Encodes ordinary text to little-endian unsigned 32-bit ids. Caches are emptied when full.
+    """Encodes ordinary texts to little-endian unsigned 32-bit ids.
 
     Literals of added tokens are ordinary text here; ``TextEncoder`` cuts texts at them before.
     """
@@ -33,7 +60,6 @@ class CachedEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
-        import regex
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -42,69 +68,68 @@ class CachedEncoder:
         self._starts_word = np.zeros(max(vocabulary.values()) + 1, bool)
         # The byte-level alphabet writes a space as this letter.
         self._starts_word[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self._words_of = regex.compile(WORD_PATTERN).findall
-        self._wide_space = regex.compile(r"\s\s").search
-        self._pieces: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
-
-    def _learn_words(self, words) -> None:
-        new = list(set(words).difference(self._words))
-        if not new:
-            return
-        if len(self._words) + len(new) > WORDS_KEPT:
-            self._words.clear()
-            new = list(set(words))
-        for word, code in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._words[word] = array("I", code.ids).tobytes()
-
-    def _encode_words(self, text: str) -> bytes:
-        words = self._words_of(text)
-        self._learn_words(words)
-        return b"".join(map(self._words.__getitem__, words))
-
-    def _learn_plain(self, words: list[str]) -> None:
-        """Pieces of letters only: each is one word, so many go through the library as one text.
-
-        Every word starts with its space, and ids that start with a space show where the words part.
-        """
+        self._pieces = _Generations(PIECES_KEPT)
+
+    def _by_library(self, texts: list[str]) -> list[bytes]:
+        codes = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [array("I", code.ids).tobytes() for code in codes]
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
         import numpy as np
 
-        ids = np.array(self._tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        text = " " + " ".join(pieces)
+        ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         starts = (np.flatnonzero(self._starts_word[ids]) * 4).tolist()
         code = ids.tobytes()
-        for word, at, stop in zip(words, starts, [*starts[1:], len(code)], strict=True):
-            self._pieces[word] = code[at:stop]
-
-    def _learn_pieces(self, pieces) -> None:
-        new = set(pieces).difference(self._pieces)
-        if not new:
-            return
-        if len(self._pieces) + 2 * len(new) > PIECES_KEPT:
-            self._pieces.clear()
-            new = set(pieces)
-        plain = {piece for piece in new if piece.isalpha()}
-        rest = new - plain
-        ended = {piece for piece in rest if piece[-1:] in ENDS and piece[:-1].isalpha()}
-        plain.update(piece[:-1] for piece in ended)
-        plain = plain.difference(self._pieces)
-        if plain:
-            self._learn_plain(list(plain))
-        # Other pieces follow a space as well, which belongs to their first word.
-        split = {piece: self._words_of(" " + piece) for piece in rest - ended}
-        self._learn_words([*ENDS, *(word for words in split.values() for word in words)])
-        known = self._words.__getitem__
-        for piece in ended:
-            self._pieces[piece] = self._pieces[piece[:-1]] + known(piece[-1])
-        for piece, words in split.items():
-            self._pieces[piece] = b"".join(map(known, words))
+        return [code[at:stop] for at, stop in zip(starts, [*starts[1:], len(code)], strict=True)]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out: list[bytes] = []
+        start, size = 0, 0
+        for i, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= PORTION_CHARACTERS or i == len(texts):
+                out += self._encode_portion(texts[start:i])
+                start, size = i, 0
+        return out
+
+    def _encode_portion(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = pa.array(texts, pa.large_string())
+        wide = pc.match_substring_regex(column, _LOOSE_SPACE).to_numpy(zero_copy_only=False)
+        whole = iter(self._by_library([texts[i] for i in np.flatnonzero(wide)]))
+        cut = pc.split_pattern(column.filter(pa.array(~wide)), " ")
+        bounds, parts = cut.offsets.to_numpy(), cut.flatten()
+        # No space precedes the first piece of a text: it is looked up by its place, behind all others.
+        heads = bounds[:-1]
+        first = self._by_library(pc.take(parts, pa.array(heads)).to_pylist()) if len(heads) else []
+        behind = np.ones(len(parts), bool)
+        behind[heads] = False
+        named = pc.dictionary_encode(parts.filter(pa.array(behind)))
+        pieces = named.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = (self._pieces.codes(pieces, self._learn) if pieces else []) + first
+        which = np.empty(len(parts), np.int64)
+        which[behind] = named.indices.to_numpy()
+        which[heads] = len(pieces) + np.arange(len(heads))
+
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        flat = np.frombuffer(b"".join(codes), "<u4")
+        counts = sizes[which]
+        stops = np.cumsum(counts)
+        # Place of every id of the texts among those of the distinct pieces.
+        places = np.repeat((np.cumsum(sizes) - sizes)[which] - (stops - counts), counts)
+        places += np.arange(len(places))
+        ids = flat[places].tobytes()
+        edges = (np.concatenate([[0], stops])[bounds] * 4).tolist()
+        ordinary = iter([ids[a:b] for a, b in zip(edges, edges[1:], strict=False)])
+        return [next(whole) if is_wide else next(ordinary) for is_wide in wide]
 
     def encode(self, text: str) -> bytes:
-        # Where white space meets white space, word boundaries depend on the whole run.
-        if self._wide_space(text):
-            return self._encode_words(text)
-        first, *pieces = text.split(" ")
-        self._learn_pieces(pieces)
-        return self._encode_words(first) + b"".join(map(self._pieces.__getitem__, pieces))
+        return self.encode_all([text])[0]
 
 
 class TextEncoder:
@@ -114,7 +139,7 @@ class TextEncoder:
         import regex
         from tokenizers import Tokenizer
 
-        self._ordinary = CachedEncoder(path).encode
+        self._own = CachedEncoder(path)
         self._tokenizer = Tokenizer.from_file(path)
         added = self._tokenizer.get_added_tokens_decoder()
         self._codes = {token.content: array("I", [i]).tobytes() for i, token in added.items()}
@@ -124,14 +149,29 @@ class TextEncoder:
         # Tokens that take white space with them, or only stand alone, are left to the library.
         self._bare = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
 
-    def encode(self, text: str) -> bytes:
-        if not self._literals or not self._literals.search(text):
-            return self._ordinary(text)
+    def _encode_with_literals(self, text: str) -> bytes:
         if not self._bare:
             return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         # Every second part is a literal.
         parts = self._literals.split(text)
-        return b"".join(self._codes[part] if i % 2 else self._ordinary(part) for i, part in enumerate(parts))
+        ordinary = iter(self._own.encode_all(parts[::2]))
+        return b"".join(self._codes[part] if i % 2 else next(ordinary) for i, part in enumerate(parts))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if not self._literals:
+            return self._own.encode_all(texts)
+        odd = [i for i, text in enumerate(texts) if self._literals.search(text)]
+        plain = list(texts)
+        for i in odd:
+            plain[i] = ""
+        codes = self._own.encode_all(plain)
+        for i in odd:
+            codes[i] = self._encode_with_literals(texts[i])
+        return codes
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
