@@ -13,7 +13,8 @@ The best run of words begins and ends with a shared bigram. A start is left out
 one or two places before it always scores as high, or where too few shared bigrams follow. Of runs of
 one template that share a third of their words the best score stays, then, over templates, the one that shares
 most bigrams. A run inside a line or document that matches the same template is not told twice.
-Comparing runs takes the square of the number of matching runs in one document.
+Runs are compared within stretches that overlapping runs connect, so many notices in one document take time in
+proportion.
 
 Defined cases: null and empty texts match nothing; a text of one word has no bigrams; of equal scores the
 whole document comes before its lines, then the first line (of a run: where it begins), then the first
@@ -108,6 +109,52 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
     return low, high
 
 
+# Words that nearly every text has: they tell no licence from prose, so others are asked for first.
+COMMON_WORDS = frozenset(
+    "a an and any are as at be been but by can do for from has have if in into is it its may must no not of on only or "
+    "other our out so such than that the their them there these they this to under was we were what when where which "
+    "who will with without you your each all one above below".split()
+)
+
+
+def anchor_words(bags: dict[str, Counter], threshold: float) -> list[str]:
+    """Words of which every text that reaches the threshold against any template has at least one.
+
+    Such a text shares ``low`` of a template's n bigrams at least. Words whose bigrams are more than n - low of them
+    can't all be absent. Few words that serve many templates are chosen, one by one.
+    """
+    open_bags = {name: Counter(bag) for name, bag in bags.items()}
+    needs = {name: bag.total() - bounds(bag.total(), threshold)[0] + 1 for name, bag in bags.items()}
+    chosen: list[str] = []
+    while needs:
+        gains: Counter = Counter()
+        for name, need in needs.items():
+            held: Counter = Counter()
+            for bigram, n in open_bags[name].items():
+                for word in set(bigram.split(" ")):
+                    held[word] += n
+            for word, n in held.items():
+                gains[word] += min(n, need) / need
+        best = min(gains, key=lambda word: (word in COMMON_WORDS, -gains[word], word))
+        chosen.append(best)
+        for name in list(needs):
+            bag = open_bags[name]
+            for bigram in [b for b in bag if best in b.split(" ")]:
+                needs[name] -= bag.pop(bigram)
+            if needs[name] <= 0:
+                del needs[name]
+    return chosen
+
+
+def _any_word(words: list[str]) -> str:
+    """Pattern of any of the words as a word, in either case; words of one first letter are tried together."""
+    by_letter: dict[str, list[str]] = {}
+    for word in sorted(words):
+        by_letter.setdefault(word[0], []).append(word[1:])
+    tried = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
+    return rf"(?i)(?<![A-Za-z0-9])(?=[{''.join(by_letter)}])(?:{tried})(?![A-Za-z0-9])"
+
+
 def _template_table(docs: DataFrame, bags: dict[str, Counter], threshold: float) -> DataFrame:
     rows = [
         {"license_id": name, "template_size": bag.total(), "low": low, "high": high, "bag": bag}
@@ -136,11 +183,13 @@ def scan(
     table = _template_table(docs, bags, threshold)
     sizes = sorted(bounds(bag.total(), threshold) for bag in bags.values())
     text = F.coalesce(F.col(text_column), F.lit(""))
+    hopeful = text.rlike(_any_word(anchor_words(bags, threshold))) if bags else F.lit(False)
     plain = F.lower(F.regexp_replace(text, r"[^A-Za-z0-9\n]+", " "))
     # Rows are told apart by their place as well, in case they repeat whole.
+    # A text without any anchor word matches nothing and is not normalised.
     rows = docs.select(
         F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("_text"), F.monotonically_increasing_id().alias("_row"),
-        plain.alias("plain"),
+        F.when(hopeful, plain).alias("plain"),
     )
 
     def unit(line: Column, words: Column, counts: Column | None = None) -> Column:
@@ -157,7 +206,9 @@ def scan(
     runs = F.filter(F.array(unit(F.lit(_RUNS), joined)), lambda u: u["n"] >= min((low for low, _ in sizes), default=0))
     key = ["doc_id", "_text", "_row"]
     found_units = F.filter(F.concat(F.array(unit(F.lit(0), joined)), lines), fits)
-    units = rows.select(*key, F.explode(F.concat(itself, runs, found_units)).alias("u"))
+    alone = F.array(unit(F.lit(_ITSELF), F.lit("")))
+    looked_at = F.when(F.col("plain").isNotNull(), F.concat(itself, runs, found_units)).otherwise(alone)
+    units = rows.select(*key, F.explode(looked_at).alias("u"))
     words = units.select(*key, "u.line", "u.n", "u.counts", F.split("u.words", " ").alias("words"))
     pairs = F.zip_with(
         F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1),
@@ -260,7 +311,34 @@ def _runs(threshold: float) -> Column:
 
 
 def _apart(runs: Column) -> Column:
-    """Runs in their order, without those that share a third of a run before them."""
+    """Runs in their order, without those that share a third of a run before them.
+
+    Runs that nothing connects by place can't share words, so each connected stretch is looked at by itself.
+    """
+    by_place = F.array_sort(F.transform(runs, lambda w: F.struct(w["start"].alias("at"), w["stop"].alias("stop"), w.alias("run"))))
+
+    def stretches(placed: Column) -> Column:
+        furthest = F.aggregate(
+            placed, F.array().cast("array<int>"),
+            lambda so_far, w: F.concat(so_far, F.array(F.greatest(w["stop"], F.coalesce(F.get(so_far, F.size(so_far) - 1), w["stop"])))),
+        )
+
+        def cut(reach: Column) -> Column:
+            places = F.sequence(F.lit(0), F.size(placed) - 1)
+            begins = F.filter(places, lambda i: (i == 0) | (F.get(placed, i)["at"] > F.get(reach, i - 1)))
+            return _let(begins, lambda at: F.transform(at, lambda b, k: F.slice(
+                placed, b + 1, F.coalesce(F.get(at, k + 1), F.size(placed)) - b
+            )))
+
+        return _let(furthest, cut)
+
+    kept = _let(by_place, lambda placed: F.transform(
+        stretches(placed), lambda part: _apart_within(F.transform(part, lambda w: w["run"]))
+    ))
+    return F.when(F.size(runs) < 2, runs).otherwise(F.flatten(kept))
+
+
+def _apart_within(runs: Column) -> Column:
 
     def near(a: Column, b: Column) -> Column:
         both = F.least(a["stop"], b["stop"]) - F.greatest(a["start"], b["start"]) + 1

@@ -5,7 +5,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -23,6 +23,7 @@ from faultlens.llm import (
     packing,
     simhash,
     token_files,
+    tokens,
     toxicity,
 )
 from faultlens.llm.queries import tokenizer_path
@@ -156,6 +157,25 @@ def test_best_run_of_words_equals_all_runs(spark):
         assert found[i] == (pytest.approx(best) if best >= 0.8 else None), text
 
 
+def test_no_text_can_match_without_an_anchor_word():
+    bags = {name: license_scan.template_bigrams(text) for name, text in license_scan.all_templates().items()}
+    anchors = set(license_scan.anchor_words(bags, 0.8))
+    for bag in bags.values():
+        without = sum(n for bigram, n in bag.items() if not anchors & set(bigram.split(" ")))
+        assert without < license_scan.bounds(bag.total(), 0.8)[0]
+    pattern = re.compile(license_scan._any_word(sorted(anchors)))
+    for word in anchors:
+        assert pattern.search(f"({word.upper()})") and not pattern.search(f"x{word}") and not pattern.search(f"{word}9")
+
+
+def test_many_notices_in_one_document(spark):
+    """Each is told, in time that grows with their number."""
+    line = license_scan.TEMPLATES["MIT-line"]
+    text = " ".join(f"{line} word{i} other{i}" for i in range(1500))
+    found = license_scan.scan(frame(spark, [(1, text, "", "")])).first()
+    assert found.n_matches == 1500 and found.score == 1.0
+
+
 @pytest.mark.parametrize("n", [1, 4, 9, 40])
 def test_license_bounds_are_tight(n):
     low, high = license_scan.bounds(n, 0.8)
@@ -182,10 +202,40 @@ def brute_lines(rows, shortest=20, least=3):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("batches", "fanout"), [(1, 4), (5, 2)])
-def test_line_dedup(odd, batches, fanout):
-    found = line_dedup.deduplicate(odd, batches=batches, fanout=fanout)
+@pytest.mark.parametrize(("batch_bytes", "fanout"), [(1 << 20, 4), (9000, 2)])
+def test_line_dedup(spark, odd, batch_bytes, fanout):
+    before = {t.name for t in spark.catalog.listTables()}
+    found = line_dedup.deduplicate(odd, batch_bytes=batch_bytes, fanout=fanout)
     assert sorted(map(tuple, found.collect()), key=repr) == brute_lines(ODD)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_the_anti_join_alone_decides_what_is_new(spark, monkeypatch):
+    """Every key is in one run, of whatever level; what a run holds is counted beside it."""
+    runs = line_dedup.LineRuns(spark, fanout=2, buckets=3)
+    batches = [[(1, 7, 7), (2, 7, 7), (2, 8, 8)], [(3, 7, 7), (9, 9, 9)], [(4, 8, 8), (5, 10, 10)], [(6, 9, 9)]]
+    held = set()
+    for rows in batches:
+        batch = spark.createDataFrame(rows, "doc_id bigint, k1 bigint, k2 bigint")
+        own = {k for _, k, _ in rows}
+        counts = batch.groupBy("k1", "k2").count()
+        assert {r.k1 for r in runs.new_keys(counts).collect()} == own - held
+        runs.add(batch)
+        held |= own
+        in_runs = [r.k1 for run in runs._tables(0) for r in run.collect()]
+        assert sorted(in_runs) == sorted(held)
+    assert [len(level) for level in runs.levels] == [0, 0, 1]
+    # Without the anti-join's answer nothing is right: all keys would be known, or counted twice.
+    monkeypatch.setattr(line_dedup.LineRuns, "new_keys", lambda self, counts: counts.limit(0))
+    wrong = line_dedup.LineRuns(spark, fanout=2, buckets=3)
+    for rows in batches:
+        wrong.add(spark.createDataFrame(rows, "doc_id bigint, k1 bigint, k2 bigint"))
+    assert all(run.isEmpty() for run in wrong._tables(0))
+
+
+def test_batches_follow_the_texts(spark):
+    rows = frame(spark, [(i, "é" * 10, "", "") for i in range(50)] + [(None, None, "", "")])
+    assert line_dedup._batches(rows, 300) == 4 and line_dedup._batches(rows, 10**9) == 1
 
 
 def test_runs_count_each_batch_once(spark):
@@ -239,6 +289,41 @@ def test_token_files_round_trip(spark, odd):
     assert written.width == 2 and written.n_tokens == start
 
 
+def naive_packing(lengths, capacity):
+    """The rule word by word: of all gaps a piece fits into, the one after which the squared counts are smallest."""
+    bins = []
+    for length in sorted(lengths, reverse=True):
+        best = None
+        for gap in sorted({capacity - sum(b) for b in bins}):
+            if gap >= length:
+                left = Counter(g for b in bins if (g := capacity - sum(b)))
+                left[gap] -= 1
+                left[gap - length] += gap > length
+                cost = sum(n * n for n in left.values())
+                best = min(best or (cost, gap), (cost, gap))
+        if best is None:
+            bins.append([length])
+        else:
+            # Of sequences with equal gaps the one that came to it last.
+            next(b for b in reversed(bins) if capacity - sum(b) == best[1]).append(length)
+            at = next(i for i in reversed(range(len(bins))) if bins[i][-1] == length and capacity - sum(bins[i]) == best[1] - length)
+            bins.append(bins.pop(at))
+    return sorted(tuple(b) for b in bins)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_sum_of_squares_follows_its_rule(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([7, 12, 30])
+    lengths = [rng.choice([rng.randint(1, capacity), rng.randint(1, 4)]) for _ in range(rng.randint(1, 70))]
+    bins, offsets = packing.sum_of_squares(np.array(lengths), capacity)
+    got = defaultdict(list)
+    for sequence, offset, length in sorted(zip(bins.tolist(), offsets.tolist(), lengths, strict=True)):
+        assert offset == sum(got[sequence])
+        got[sequence].append(length)
+    assert sorted(map(tuple, got.values())) == naive_packing(lengths, capacity)
+
+
 def test_packing(odd):
     capacity = 64
     found = packing.packed(odd, tokenizer_path(), capacity, 0, with_ids=True)
@@ -385,6 +470,47 @@ def test_importance_draws_the_largest_keys(spark, odd):
     assert sorted(map(repr, rows)) == sorted(map(repr, again))
 
 
+def plain_features(text, buckets):
+    """Bucket counts of words and neighbouring pairs, with whole numbers of Python."""
+    from xxhash import xxh3_64_intdigest
+
+    words = [xxh3_64_intdigest(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())]
+    counts = Counter(h % buckets for h in words)
+    for a, b in zip(words, words[1:], strict=False):
+        h = ((a * 0x9E3779B97F4A7C15) ^ b) * 0xC2B2AE3D27D4EB4F % 2**64
+        counts[(h ^ h >> 29) % buckets] += 1
+    # The product of the first factor wraps as well, but only its low bits reach the result.
+    return counts
+
+
+def test_importance_equals_plain_python(spark):
+    from xxhash import xxh3_64_intdigest, xxh3_128_digest
+
+    rows = [*ROWS, (None, "no id here", None, None), (100, TEXTS[4], None, None)]
+    good, buckets, seed = {12, 21, 33}, 50, 5
+    target, raw = Counter(), Counter()
+    for doc_id, text, *_ in rows:
+        raw += plain_features(text, buckets)
+        if doc_id in good:
+            target += plain_features(text, buckets)
+    n_target, n_raw = sum(target.values()) + buckets, sum(raw.values()) + buckets
+    ratio = [math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw) for b in range(buckets)]
+    expected = {}
+    for doc_id, text, *_ in rows:
+        weight = sum(n * ratio[b] for b, n in plain_features(text, buckets).items())
+        digest = xxh3_128_digest((text or "").encode())
+        u = (xxh3_64_intdigest(digest + str(doc_id).encode(), seed) + 0.5) / 2**64
+        expected[doc_id, text] = (weight, weight - math.log(-math.log(u)))
+    ids = spark.createDataFrame([(i,) for i in good], "doc_id bigint")
+    found = importance.resample(frame(spark, rows), ids, keep_share=0.3, buckets=buckets, seed=seed).collect()
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.log_weight, r.gumbel_key) for r in found)
+    want = sorted(((i is None, i or 0), *v) for (i, _), v in expected.items())
+    for a, b in zip(got, want, strict=True):
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], abs=1e-9)
+    top = sorted(expected.values(), key=lambda v: -v[1])[: math.ceil(len(rows) * 0.3)]
+    assert sorted(r.gumbel_key for r in found if r.selected) == pytest.approx(sorted(v[1] for v in top))
+
+
 def test_importance_weights_by_hand(spark):
     rows = [(1, "good good words", "", ""), (2, "bad words", "", ""), (3, "good words", "", "")]
     found = {r.doc_id: r.log_weight for r in importance.resample(frame(spark, rows), spark.createDataFrame([(1,)], "doc_id bigint"), buckets=64).collect()}
