@@ -1,10 +1,13 @@
 """Lines that many documents repeat, found with levelled sorted runs of line hashes.
 
-A run is a table of line hashes, bucketed and sorted by hash, with the number of documents and the
-largest document id of each. A batch of documents is merge-anti-joined with the runs to tell new lines
-from known ones and is then added as a run of level 0. When a level has ``fanout`` runs they are merged
-into one run of the next level, so the number of runs stays logarithmic in the number of batches.
-Bucketing spares the runs every later shuffle.
+A run is a table of line hashes, bucketed and sorted by hash, with the number of documents and the largest
+document id of each. A batch of documents is merge-anti-joined with the runs: the keys that no run holds are new and become
+a run of level 0. Keys that a run holds already are not added again; their counts are kept beside the runs as updates. So the
+runs share no key, and each key's first run and its updates have all its documents. When a level has ``fanout`` runs they are
+merged into one run of the next level, and their updates into one, so that the number of both stays logarithmic in
+the number of batches. Bucketing spares the runs every later shuffle.
+
+The number of batches follows from the bytes of all texts, so a batch is as large for any corpus.
 
 A line's key is the line without white space at its ends, A-Z lower-cased, as a 128-bit XXH3. Keys of
 at least ``shortest`` code points in at least ``least_documents`` documents lose their lines everywhere
@@ -31,6 +34,10 @@ from faultlens.session import fresh_folder, stage
 LINE_SPACE = " \t\n\x0b\x0c\r"
 SHORTEST = 20
 LEAST_DOCUMENTS = 3
+# Bytes of text in a batch, and runs of a level before they are merged. On a larger cluster a batch may be
+# as large as all its tasks hash at a time.
+BATCH_BYTES = 128 << 20
+FANOUT = 4
 KEY = ["k1", "k2"]
 
 
@@ -68,95 +75,120 @@ def line_hashes(docs: DataFrame, batches: int, shortest: int) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled runs of (k1, k2, n_docs, last_id) below the shared folder."""
+    """Levelled runs of (k1, k2, n_docs, last_id) below the shared folder, each with its updates."""
 
-    def __init__(self, spark: SparkSession, *, fanout: int = 4, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, *, fanout: int = FANOUT, buckets: int | None = None):
         self._spark = spark
         self._fanout = fanout
         self._buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         self._folder = fresh_folder(spark, "line-runs")
-        self.levels: list[list[str]] = []
+        # Per level, pairs of a run and the updates of the same batches.
+        self.levels: list[list[tuple[str, str]]] = []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        dealt = rows.repartition(self._buckets, *KEY)
+        dealt = rows.select(*KEY, "n_docs", "last_id").repartition(self._buckets, *KEY)
         writer = dealt.write.format("parquet").option("path", f"{self._folder}/{name}")
         writer.bucketBy(self._buckets, *KEY).sortBy(*KEY).saveAsTable(name)
         return name
 
-    def _runs(self) -> list[DataFrame]:
-        return [self._spark.table(name) for level in self.levels for name in level]
-
-    def marked(self, counts: DataFrame) -> DataFrame:
-        """The keys of a batch with ``is_new``: whether an anti-join with every run would return them.
+    def _tables(self, which: int) -> list[DataFrame]:
+        return [self._spark.table(pair[which]) for level in self.levels for pair in level]
 
-        Each run is merged in its own buckets, without being shuffled.
-        """
-        known = F.lit(False)
-        for i, run in enumerate(self._runs()):
-            counts = counts.join(run.select(*KEY, F.lit(True).alias(f"_in_{i}")), KEY, "left")
-            known = known | F.coalesce(F.col(f"_in_{i}"), F.lit(False))
-        return counts.select(*KEY, "n_docs", "last_id", (~known).alias("is_new"))
+    def new_keys(self, counts: DataFrame) -> DataFrame:
+        """The keys of a batch that no run holds. Each run is merged in its own buckets, without being shuffled."""
+        for run in self._tables(0):
+            counts = counts.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
+        return counts
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch of (doc_id, k1, k2) as a run, and merge the levels that are full."""
+        """Add a batch of (doc_id, k1, k2), and merge the levels that are full."""
         counts = lines.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_id"))
-        self._put(0, self._write(self.marked(counts)))
-
-    def _put(self, level: int, name: str) -> None:
+        batch = self._write(counts)
+        whole = self._spark.table(batch)
+        run = self._write(self.new_keys(whole))
+        # What is not new is known: the two parts of the batch are in the same buckets.
+        updates = self._write(whole.join(self._spark.table(run).select(*KEY).hint("merge"), KEY, "left_anti"))
+        self._drop(batch)
+        self._put(0, run, updates)
+
+    def _put(self, level: int, run: str, updates: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
+        self.levels[level].append((run, updates))
         if len(self.levels[level]) >= self._fanout:
-            merged = self._write(self._merged([self._spark.table(run) for run in self.levels[level]]))
-            self.levels[level] = []
-            self._put(level + 1, merged)
-
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        """Runs merged bucket by bucket: a full join of sorted rows shuffles neither side."""
-
-        def two(left: DataFrame, right: DataFrame) -> DataFrame:
-            both = left.join(right.toDF(*KEY, "n", "last", "new"), KEY, "full_outer")
-            return both.select(
-                *KEY,
-                (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"),
-                F.greatest("last_id", "last").alias("last_id"),
-                (F.coalesce("is_new", F.lit(False)) | F.coalesce("new", F.lit(False))).alias("is_new"),
-            )
-
-        return reduce(two, runs)
+            full, self.levels[level] = self.levels[level], []
+            # Runs of a level share no key, updates may.
+            merged = self._write(reduce(DataFrame.unionByName, [self._spark.table(run) for run, _ in full]))
+            added = self._write(_added([self._spark.table(updates) for _, updates in full]))
+            self._drop(*[name for pair in full for name in pair])
+            self._put(level + 1, merged, added)
+
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            self._spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def drop(self) -> None:
+        """Take the runs out of the session's catalog; their files stay with the shared folder."""
+        self._drop(*[name for level in self.levels for pair in level for name in pair])
+        self.levels = []
 
     def counts(self) -> DataFrame:
-        """(k1, k2, n_docs, last_id, is_new) over everything added."""
-        return self._merged(self._runs())
+        """(k1, k2, n_docs, last_id) over everything added."""
+        return _added(self._tables(0) + self._tables(1))
+
+
+def _added(parts: list[DataFrame]) -> DataFrame:
+    """Counts of equal keys added; parts in equal buckets stay in them."""
+
+    def two(left: DataFrame, right: DataFrame) -> DataFrame:
+        both = left.join(right.toDF(*KEY, "n", "last").hint("merge"), KEY, "full_outer")
+        return both.select(
+            *KEY,
+            (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"),
+            F.greatest("last_id", "last").alias("last_id"),
+        )
+
+    return reduce(two, parts)
+
+
+def _batches(docs: DataFrame, batch_bytes: int) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-size // batch_bytes))
 
 
 def repeated_lines(
-    docs: DataFrame, *, batches: int, fanout: int, shortest: int, least_documents: int
+    docs: DataFrame, *, batch_bytes: int, fanout: int, shortest: int, least_documents: int
 ) -> DataFrame:
     """(doc_id, keys): the line keys that a document loses."""
     spark = docs.sparkSession
+    batches = _batches(docs, batch_bytes)
     hashes = line_hashes(docs, batches, shortest)
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         hashes = hashes.distinct()
-    lines = stage(hashes, "line-hashes")
+    folder = fresh_folder(spark, "line-hashes")
+    # Each batch reads its own files.
+    hashes.write.partitionBy("batch").parquet(folder)
+    lines = spark.read.schema("doc_id bigint, k1 bigint, k2 bigint, batch int").parquet(folder)
     runs = LineRuns(spark, fanout=fanout)
     for batch in range(batches):
         runs.add(lines.where(F.col("batch") == batch).drop("batch"))
     common = runs.counts().where(F.col("n_docs") >= least_documents).select(*KEY, "last_id")
-    lost = lines.join(stage(common, "common-lines"), KEY).where("doc_id <> last_id")
+    common = stage(common, "common-lines")
+    runs.drop()
+    lost = lines.join(common, KEY).where("doc_id <> last_id")
     # Bounded by the lines of one document.
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("keys"))
 
 
 def deduplicate(
-    docs: DataFrame, *, batches: int = 4, fanout: int = 4, shortest: int = SHORTEST,
+    docs: DataFrame, *, batch_bytes: int = BATCH_BYTES, fanout: int = FANOUT, shortest: int = SHORTEST,
     least_documents: int = LEAST_DOCUMENTS, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """``doc_id``, the kept ``text``, ``n_lines`` and ``n_dropped`` of every row."""
     chosen = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     lost = repeated_lines(
-        chosen, batches=batches, fanout=fanout, shortest=shortest, least_documents=least_documents
+        chosen, batch_bytes=batch_bytes, fanout=fanout, shortest=shortest, least_documents=least_documents
     )
 
     def cut(rows: Iterator) -> Iterator:
