@@ -6,7 +6,8 @@ the search position give a shift by which no pattern can end earlier, and where
 bucket of patterns with that suffix is compared word by word. Most positions are never looked at.
 
 Patterns travel to the tasks in shards of bounded size. A benchmark too large for one shard is searched
-shard by shard, all documents each time, and the occurrences are merged by document.
+shard by shard, all documents each time, and the occurrences are merged by document. The driver holds one
+shard at a time; an item longer than a shard is one by itself.
 
 Defined cases: null has no words; items without words, or without an id, name nothing; items that
 repeat an id count once; rows with one id and one text are answered alike; an empty benchmark leaves
@@ -22,6 +23,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultlens.session import stage
+
 WINDOW = 10
 BLOCK = 2
 # Characters of benchmark text in one shard; what a task holds of the benchmark is a few times this.
@@ -109,15 +112,16 @@ def merge(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _shards(items: DataFrame, shard_characters: int) -> list[list[tuple[str, str]]]:
+def _dealt(items: DataFrame, shard_characters: int) -> tuple[DataFrame, int]:
+    """The items with their shard, and the number of shards."""
     named = items.where("name is not null and text is not null")
     total = named.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_characters))
-    dealt = named.withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(shards)))
-    return [
-        [(r["name"], r["text"]) for r in dealt.where(F.col("shard") == shard).select("name", "text").collect()]
-        for shard in range(shards)
-    ]
+    return named.withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(shards))), shards
+
+
+def _shard(dealt: DataFrame, shard: int) -> list[tuple[str, str]]:
+    return [(r["name"], r["text"]) for r in dealt.where(F.col("shard") == shard).select("name", "text").collect()]
 
 
 _SPANS = "array<struct<start:bigint,stop:bigint>>"
@@ -159,10 +163,12 @@ def contamination(
     """One row per document: ``n_words``, ``spans`` of hit words, ``n_hit``, ``item_ids``, ``contaminated``."""
     chosen = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     items = benchmark.select(F.col(item_column).cast("string").alias("name"), F.col(item_text).alias("text"))
-    shards = _shards(items, shard_characters)
-    found = [_occurrences(chosen, shard, window) for shard in shards]
-    rows = found[0]
-    if len(found) > 1:
+    dealt, shards = _dealt(items, shard_characters)
+    if shards == 1:
+        rows = _occurrences(chosen, _shard(dealt, 0), window)
+    else:
+        # One shard at a time is in the driver: its occurrences are written before the next is read.
+        found = [stage(_occurrences(chosen, _shard(dealt, i), window), f"occurrences-{i}") for i in range(shards)]
         merged = reduce(lambda a, b: a.unionByName(b), found).groupBy("doc_id", "digest", "n_words").agg(
             F.flatten(F.collect_list("spans")).alias("spans"),
             F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"),
