@@ -105,7 +105,7 @@ def _asked_outputs(cases: DataFrame, outputs: DataFrame, *asked: Column) -> Data
     short = outputs.select(
         "run_id", part("error"), part("logs"), part("notebook_output"), "output_json", F.lit(True).alias("present")
     )
-    found = unique_lookup(wanted, short, F.col("asked.id"), "run_id", F.col("case_id"))
+    found = unique_lookup(wanted, short, F.col("asked.id"), "run_id")
     asked_id = F.col("asked.id").cast("string")
     missing = F.concat(F.lit("LookupError: no output recorded for run "), asked_id)
     absent = F.col("present").isNull() & asked_id.isNotNull()
@@ -134,6 +134,19 @@ def _error_text() -> Column:
     )
 
 
+def outputs_between(outputs: DataFrame, runs: DataFrame) -> DataFrame:
+    """The outputs whose run ids lie in the span that the runs and their tasks ask for.
+
+    Run ids are given in order, so of an archive that is sorted by them a batch of new runs reads the end.
+    """
+    task_ids = F.transform("tasks", lambda task: task["run_id"])
+    ids = F.concat(F.array("run_id"), F.coalesce(task_ids, F.array().cast("array<bigint>")))
+    span = runs.select(F.array_min(ids).alias("low"), F.array_max(ids).alias("high"))
+    # One row: the bounds.
+    low, high = span.agg(F.min("low"), F.max("high")).first()
+    return outputs.where(F.lit(False) if low is None else F.col("run_id").between(low, high))
+
+
 def output_evidence(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     """Outputs of the root run and of the blamed task, found with one join.
 

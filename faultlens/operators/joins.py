@@ -66,13 +66,13 @@ def by_case(cases: DataFrame, known: DataFrame) -> tuple[DataFrame, str]:
     return known.drop("case_id"), "event_id"
 
 
-def unique_lookup(
-    facts: DataFrame, lookup: DataFrame, fact_key: Column, lookup_key: str, spread_by: Column
-) -> DataFrame:
+def unique_lookup(facts: DataFrame, lookup: DataFrame, fact_key: Column, lookup_key: str) -> DataFrame:
     """Left join on a key that is unique on both sides, but may be missing in many facts.
 
-    A digest of ``spread_by`` places the rows without a key. It is repeatable, so a task that runs
-    again places its rows as before.
+    The join is on the key alone, so a ``lookup`` that is kept bucketed by it is read where it lies: only the facts
+    move. Facts without a key go round the join.
     """
-    left, right = _keyless_apart(facts, lookup, fact_key, lookup_key, spread_by)
-    return left.join(right, ["_key", "_gap"], "left").drop("_key", "_gap")
+    keyed = facts.withColumn("_key", fact_key)
+    found = keyed.where("_key is not null").join(lookup.withColumnRenamed(lookup_key, "_key"), "_key", "left")
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in lookup.schema if f.name != lookup_key}
+    return found.unionByName(keyed.where("_key is null").withColumns(nothing)).drop("_key")

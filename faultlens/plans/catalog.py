@@ -112,6 +112,22 @@ def error_descriptions(table) -> DataFrame:
     return _error_summaries(table).select("event_id", "error_description")
 
 
+@query
+def archived_outputs(table) -> DataFrame:
+    """Errors of the failed runs, found in an archive of all outputs that is kept bucketed by run."""
+    events = table("events")
+    spark, archive = events.sparkSession, f"outputs_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for half in (0, 1):
+        sink.append_archive(samples.event_outputs(events.where(F.col("event_id") % 2 == half)), archive, "run_id", buckets)
+    runs = failures.qualifying_runs(samples.event_runs(events))
+    outputs = E.outputs_between(spark.table(archive), runs)
+    found = E.error_summaries(failures.bare_cases(failures.heads(runs)), outputs)
+    out = session.stage(found.select("event_id", "source_run_id", "error_type", "error_description"), "archived")
+    sink.drop_table(spark, archive)
+    return out
+
+
 # Text ------------------------------------------------------------------------------------------
 
 

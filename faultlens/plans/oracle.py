@@ -219,6 +219,9 @@ select event_id, source_run_id, error_type from summaries join cases using (even
 
 SQL["error_descriptions"] = with_tables(*OUTPUTS) + "select event_id, error_description from summaries"
 
+SQL["archived_outputs"] = with_tables(*OUTPUTS) + """
+select event_id, source_run_id, error_type, error_description from summaries join cases using (event_id)"""
+
 SQL["event_rows"] = with_tables(*CASES) + f"""
 select event_id, source_job_id, source_run_id, source_job_name, failed_task_key,
   '{V.TRIGGER_SOURCE}' as trigger_source,

@@ -49,6 +49,15 @@ def replace_path(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def append_archive(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Append to a table that is kept bucketed and sorted by ``key``, so that lookups by it don't move it.
+
+    The number of buckets is fixed by the first append; each bucket should stay within what a task can sort.
+    """
+    dealt = df.repartition(buckets, key)
+    dealt.write.format("parquet").mode("append").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 def seed_default_prompt(spark: SparkSession, table: str) -> None:
     """Append the default prompt unless an active version of it is new enough."""
     append_table(missing_prompts(default_prompt(spark), spark.table(table)), table)
@@ -56,5 +65,3 @@ def seed_default_prompt(spark: SparkSession, table: str) -> None:
 
 def read_path(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
-
-

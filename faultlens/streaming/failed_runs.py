@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from faultlens import session
+from faultlens.operators import evidence
 from faultlens.operators.failures import heads, qualifying_runs, with_document
 from faultlens.plans import analysis
 from faultlens.sinks import batches
@@ -100,7 +101,8 @@ def analysis_writer(inputs: analysis.Inputs, database: str, feed: str, *prompt:
         # The batch is read for each output: once from the source, then from its copy.
         runs = session.stage(batch, "arrived")
         stored = analysis.known_cases(batches.committed(spark, database, "events"), runs)
-        collected = analysis.collect(replace(inputs, runs=runs), *prompt, stored=stored)
+        outputs = evidence.outputs_between(inputs.outputs, runs)
+        collected = analysis.collect(replace(inputs, runs=runs, outputs=outputs), *prompt, stored=stored)
         collected.asked.withColumn("asked_at", F.col("event_ts")).write.mode("overwrite").parquet(f"{feed}/batch={name}")
         batches.write_batch(analysis.collected_frames(collected), database, name)
 

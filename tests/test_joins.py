@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def test_unique_lookup_keeps_rows_without_a_key(spark):
     frame = spark.range(20).select(
         "id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("key")
     )
-    rows = {r.id: r.hit for r in unique_lookup(frame, lookup, F.col("key"), "k", F.col("id")).collect()}
+    rows = {r.id: r.hit for r in unique_lookup(frame, lookup, F.col("key"), "k").collect()}
     assert rows == {i: (True if i % 2 == 0 and i < 10 else None) for i in range(20)}
 
 
@@ -56,8 +57,8 @@ def test_rows_without_a_key_do_not_meet(spark):
     try:
         lookup = spark.range(0, 3000).select(F.col("id").alias("k"), F.lit("v").alias("v"))
         frame = spark.range(6000).withColumn("key", F.when(F.col("id") % 2 == 0, F.col("id")))
-        for helper in (spread_lookup, unique_lookup):
-            joined = helper(frame, lookup, F.col("key"), "k", F.col("id"))
+        spread = spread_lookup(frame, lookup, F.col("key"), "k", F.col("id"))
+        for joined in (spread, unique_lookup(frame, lookup, F.col("key"), "k")):
             sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
             assert sum(sizes) == 6000 and max(sizes) < 6000 / 5
     finally:
@@ -106,3 +107,46 @@ def test_by_case_prefers_the_case_id(spark):
     both = spark.createDataFrame([("c", "e")], "case_id string, event_id string")
     assert by_case(both, both)[1] == "case_id" and by_case(both, both)[0].columns == ["case_id"]
     assert by_case(both.drop("case_id"), both)[1] == "event_id"
+
+
+def test_an_archive_is_not_moved_for_a_lookup(spark):
+    """Only the facts are dealt out; the archive's buckets are read where they are, and only the asked span of them."""
+    import uuid
+
+    from faultlens.operators import evidence, failures
+    from faultlens.sinks import tables
+    from tests.test_pipeline import inputs
+
+    known, archive = inputs(spark), f"archive_{uuid.uuid4().hex}"
+    rest = spark.range(1000, 3000).select(
+        F.col("id").alias("run_id"), *[F.lit("x").alias(c) for c in ("error", "logs", "notebook_output", "output_json")]
+    )
+    for part in (known.outputs, rest):
+        tables.append_archive(part, archive, "run_id", 8)
+    runs = failures.qualifying_runs(known.runs.where("run_id is not null"))
+    outputs = evidence.outputs_between(spark.table(archive), runs)
+    cases = failures.bare_cases(failures.heads(runs))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = evidence.error_summaries(cases, outputs)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Literals in the plan may hold line breaks.
+    lines = [line for line in plan.split("\n") if re.match(r"[ :]*(?:\+-|:-) ", line)]
+    scan = next(i for i, line in enumerate(lines) if archive in line)
+    assert "Bucketed: true" in lines[scan] and "GreaterThanOrEqual(run_id" in lines[scan]
+    # From the scan up to the join, which stands at a smaller indent, nothing exchanges rows.
+    depth = lines[scan].index("FileScan")
+    above = []
+    for line in reversed(lines[:scan]):
+        own = len(line) - len(line.lstrip(" :+-"))
+        if own < depth:
+            above.append(line)
+            depth = own
+        if "Join" in line:
+            break
+    assert "Join" in above[-1] and not any("Exchange" in line for line in above)
+    plain = evidence.error_summaries(cases, known.outputs).collect()
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain))
+    tables.drop_table(spark, archive)
