@@ -44,6 +44,15 @@ def strict_kind(text: Column) -> Column:
     return F.when(strict_value(text).isNotNull(), kind_of(text))
 
 
+def canonical(text: Column) -> Column:
+    """JSON text with the keys of every object sorted and no spacing, at any depth.
+
+    Texts that differ in order, spacing or the writing of numbers get one form. A text that can't be held as a
+    variant, because it isn't JSON or repeats a key, is its own form.
+    """
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+
+
 def parse(text: Column, schema: str) -> Column:
     """Read JSON text known to be strict."""
     return F.from_json(text, schema, _OPTIONS)

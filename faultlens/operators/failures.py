@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens import fixed_values as V
+from faultlens.functions.json_text import canonical
 from faultlens.functions.text import first_text, truncate
 from faultlens.operators.joins import spread_lookup
 
@@ -113,21 +114,26 @@ def with_document(runs: DataFrame) -> DataFrame:
 
 
 def delivery_rank(tasks: Column, document: Column) -> Column:
-    """Which of several deliveries of a run counts: the one with most tasks, then the longest text, then by digest."""
+    """Which of several deliveries of a run counts: the one with most tasks, then the longest text, then by digest.
+
+    Length and digest are those of the canonical text, so a document that comes back with its keys in another order is
+    the same delivery.
+    """
+    text = canonical(document)
     return F.struct(
         (-F.coalesce(F.size(tasks), F.lit(0))).alias("tasks"),
-        (-F.char_length(document)).alias("length"),
-        F.md5(document).alias("digest"),
+        (-F.char_length(text)).alias("length"),
+        F.md5(text).alias("digest"),
     )
 
 
-def first_deliveries(runs: DataFrame, order: str) -> DataFrame:
+def first_deliveries(runs: DataFrame, *order: Column | str) -> DataFrame:
     """One row per case of a feed that may deliver a run again: the one least by ``order``.
 
     The rank limit is applied before the shuffle as well, so a run that was delivered very often is
     reduced where its rows are read.
     """
-    turn = F.row_number().over(Window.partitionBy("case_id").orderBy(order))
+    turn = F.row_number().over(Window.partitionBy("case_id").orderBy(*order))
     return runs.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens import fixed_values as V
 from faultlens.operators.failures import classify_error
+from faultlens.schemas import FAILURE_RULES
 
 
 def on_day(date: Column, as_of: Column) -> Column:
@@ -73,11 +74,49 @@ def missing_tables(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     return counted.join(catalog.select("table_name").distinct(), "table_name", "left_anti")
 
 
-def failure_families(text: Column) -> Column:
-    """Every family whose expression matches the text, in order of precedence."""
-    return F.array_compact(
-        F.array(*[F.when(text.rlike(f"(?i){pattern}"), family) for family, pattern in V.FAILURE_PATTERNS])
-    )
+# More rules than this are no rule table but a lookup, and belong into a join.
+MOST_RULES = 500
+
+
+def shipped_rules(spark: SparkSession) -> DataFrame:
+    """The failure families that come with the package, as rows of a rule table that users extend."""
+    rows = [(10 * i, family, pattern) for i, (family, pattern) in enumerate(V.FAILURE_PATTERNS, start=1)]
+    return spark.createDataFrame(rows, FAILURE_RULES)
+
+
+def read_rules(rules: DataFrame) -> list[tuple[str, str]]:
+    """(family, pattern) of a rule table by priority, then family and pattern; the patterns of a family become one.
+
+    The table is read by the driver, which is why its size is checked; a pattern that Java can't read is refused here
+    and not in a task.
+    """
+    rows = rules.select("priority", "family", "pattern").orderBy("priority", "family", "pattern").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"a rule table has at most {MOST_RULES} rows")
+    merged: dict[str, list[str]] = {}
+    for row in rows:
+        merged.setdefault(row["family"], []).append(f"(?:{row['pattern']})")
+    out = [(family, "|".join(patterns)) for family, patterns in merged.items()]
+    for family, pattern in out:
+        try:
+            rules.sparkSession.range(1).select(F.lit("").rlike(f"(?i){pattern}")).collect()
+        except Exception as failure:
+            raise ValueError(f"the pattern of family {family} can't be read: {pattern}") from failure
+    return out
+
+
+def failure_families(text: Column, rules: list[tuple[str, str]] = V.FAILURE_PATTERNS) -> Column:
+    """Every family whose expression matches the text, in order of precedence.
+
+    One expression over all rules is tried first: a text without any marker is read once, and the single rules only
+    look at texts that have one.
+    """
+    if not rules:
+        return F.array().cast("array<string>")
+    marked = text.rlike("(?i)" + "|".join(f"(?:{pattern})" for _, pattern in rules))
+    each = F.array(*[F.when(text.rlike(f"(?i){pattern}"), F.lit(family)) for family, pattern in rules])
+    nothing = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.when(marked, F.array_compact(each)).otherwise(nothing)
 
 
 def failure_family(families: Column) -> Column:
@@ -85,7 +124,7 @@ def failure_family(families: Column) -> Column:
     return F.coalesce(F.get(families, 0), F.lit(V.OTHER_FAMILY))
 
 
-def access_failures(probes: DataFrame) -> DataFrame:
+def access_failures(probes: DataFrame, rules: list[tuple[str, str]] = V.FAILURE_PATTERNS) -> DataFrame:
     """Failed table probes with their error class and family."""
     none = F.lit(None).cast("string")
     message = F.concat(
@@ -95,5 +134,5 @@ def access_failures(probes: DataFrame) -> DataFrame:
         "table_name",
         message.alias("message"),
         classify_error(message, none, none).alias("error_type"),
-        failure_family(failure_families(F.coalesce("error_text", F.lit("")))).alias("family"),
+        failure_family(failure_families(F.coalesce("error_text", F.lit("")), rules)).alias("family"),
     )

@@ -104,7 +104,7 @@ class Collected:
             return documents
         repeated = documents.join(self.again.where("first_rank is not null"), "case_id", "left_semi")
         return documents.join(self.again, "case_id", "left_anti").unionByName(
-            failures.first_deliveries(repeated, "_rank")
+            failures.first_deliveries(repeated, "_rank", F.md5("document"))
         )
 
     @cached_property
@@ -160,7 +160,7 @@ class Collected:
     def rejects(self) -> DataFrame:
         """Unreadable documents, runs without keys, surplus deliveries and cases that can't be asked, with the reason.
 
-        The digest is that of the document, where there is one.
+        The digest is that of the document, where there is one; of a surplus delivery, of its canonical text.
         """
         without_keys = self.incomplete.select(
             F.col("job_id").cast("string").alias("source_job_id"),

@@ -524,7 +524,15 @@ def _output_texts(table) -> DataFrame:
 
 @query
 def failure_pattern_tags(table) -> DataFrame:
-    tagged = _output_texts(table).select("run_id", health.failure_families(F.col("error")).alias("found"))
+    """Families by a rule table: the shipped one, with rules of the users' own that name regions and a new family."""
+    errors = _output_texts(table)
+    own = table("region").select(
+        (5 + F.col("r_regionkey")).cast("int").alias("priority"),
+        F.when(F.col("r_regionkey") == 0, "vendor").otherwise("data_quality").alias("family"),
+        F.when(F.col("r_regionkey") == 0, "vendor_lib|/mnt/vendor").otherwise(F.concat(F.col("r_name"), F.lit(" feed"))).alias("pattern"),
+    )
+    rules = health.read_rules(health.shipped_rules(errors.sparkSession).unionByName(own))
+    tagged = errors.select("run_id", health.failure_families(F.col("error"), rules).alias("found"))
     return tagged.select(
         "run_id",
         health.failure_family(F.col("found")).alias("family"),
@@ -627,14 +635,34 @@ QUERIES["stream_reports"] = stream_reports
 def repeated_deliveries(table) -> DataFrame:
     """Runs of the events, those of every third event delivered one to three times more: the rejects.
 
-    The third and fourth delivery of a run have a longer text than the first two.
+    The second delivery is spaced otherwise than the first; the third and fourth have a key more.
     """
     n = (F.col("run_id") / 10).cast("bigint")
     copies = F.when(n % 3 == 0, 2 + (n / 3).cast("bigint") % 3).otherwise(1).cast("int")
     runs = samples.event_runs(table("events"))
     again = runs.withColumn("turn", F.explode(F.sequence(F.lit(1), copies)))
-    longer = F.when(F.col("turn") > 2, F.concat("document", F.lit(" "))).otherwise(F.col("document"))
-    return analysis.collect(replace(_inputs(table), runs=again.withColumn("document", longer).drop("turn"))).rejects
+    inner = F.substring("document", F.lit(2), F.char_length("document") - 2)
+    text = (
+        F.when(F.col("turn") == 2, F.concat(F.lit("{ "), inner, F.lit(" }")))
+        .when(F.col("turn") > 2, F.concat(F.lit('{"added": 1,'), inner, F.lit("}")))
+        .otherwise(F.col("document"))
+    )
+    return analysis.collect(replace(_inputs(table), runs=again.withColumn("document", text).drop("turn"))).rejects
+
+
+@query
+def source_bytes(table) -> DataFrame:
+    """Code that is delivered as bytes, with bytes that are no text in front, behind and in the middle."""
+    text = F.col("source")
+    cut = F.floor(F.char_length(text) / 2).cast("int")
+    stray = [F.unhex(F.lit(code)) for code in ("FF", "E282", "C0")]
+    halves = [F.encode(part, "UTF-8") for part in (F.left(text, cut), F.substring(text, cut + 1, F.char_length(text)))]
+    content = F.concat(stray[0], halves[0], stray[1], halves[1], stray[2])
+    given = replace(_inputs(table), source_code=samples.page_and_document_sources(table("pages"), table("documents")).select(
+        "path", content.alias("source")
+    ))
+    cases = analysis.collect(given).cases
+    return E.code_evidence(cases, given.source_code).select("event_id", "evidence_json")
 
 
 @query

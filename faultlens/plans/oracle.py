@@ -315,6 +315,17 @@ CTES["codes"] = f"""
           case when failure_code_path = '' then {lit(V.NO_CODE_PATH)} end as warning
         from cases left join source_code s on s.path = nullif(failure_code_path, ''))"""
 
+_STRAY = lit("\ufffd")
+_BROKEN = f"{_STRAY} || left(s.source, length(s.source) // 2) || {_STRAY} || s.source[length(s.source) // 2 + 1:] || {_STRAY}"
+
+SQL["source_bytes"] = with_tables(*CASES, "source_code") + f"""
+select event_id, cast({dropped("{'error': error, 'path': path, 'source': source, 'warning': warning}")} as varchar) as evidence_json
+from (select event_id, nullif(failure_code_path, '') as path, case when s.path is not null then {cut(_BROKEN, V.SOURCE_CODE_LIMIT)} end as source,
+        case when failure_code_path <> '' and s.path is null
+             then 'LookupError: no source recorded for ' || failure_code_path end as error,
+        case when failure_code_path = '' then {lit(V.NO_CODE_PATH)} end as warning
+      from cases left join source_code s on s.path = nullif(failure_code_path, ''))"""
+
 _TASK_JSON = dropped("t")
 _JOB_JSON = dropped(
     "{'creator': creator, 'settings': {'name': name, 'schedule': schedule, "
@@ -340,7 +351,7 @@ from (select *, cast({_JOB_JSON} as varchar) as document from (select *, tasks a
 SQL["repeated_deliveries"] = with_tables("runs", "heads") + f"""
 select source_job_id, source_run_id, event_id, 'delivered again: ' || surplus as reason, md5(delivered) as digest
 from (select *, unnest([{{'delivered': document, 'surplus': least(copies, 2) - case when copies = 2 then 1 else 0 end}},
-                        {{'delivered': document || ' ', 'surplus': copies - 3}}], recursive := true)
+                        {{'delivered': '{{"added":1,' || document[2:], 'surplus': copies - 3}}], recursive := true)
       from (select source_job_id, source_run_id, event_id, copies, cast({_RUN_JSON} as varchar) as document
             from (select *, cast(job_id as varchar) as source_job_id, cast(run_id as varchar) as source_run_id,
                     2 + run_id // 30 % 3 as copies
@@ -906,11 +917,21 @@ def family(text: str) -> str:
     return f"(case {tests} else '{V.OTHER_FAMILY}' end)"
 
 
-_FAMILIES = ", ".join(f"case when regexp_matches(error, {lit('(?i)' + p)}) then '{f}' end" for f, p in V.FAILURE_PATTERNS)
-
 SQL["failure_pattern_tags"] = with_tables("outputs") + f"""
-select run_id, {family('error')} as family, concat_ws(',', {_FAMILIES}) as families
-from outputs where error is not null"""
+, rules as (
+  select 10 * i as priority, family, pattern
+  from (values {", ".join(f"({i}, {lit(f)}, {lit(p)})" for i, (f, p) in enumerate(V.FAILURE_PATTERNS, start=1))}) r(i, family, pattern)
+  union all
+  select 5 + r_regionkey, case when r_regionkey = 0 then 'vendor' else 'data_quality' end,
+    case when r_regionkey = 0 then 'vendor_lib|/mnt/vendor' else r_name || ' feed' end
+  from region),
+first as (select family, min(priority) as place from rules group by family)
+select run_id, coalesce(min_by(family, (place, family)), '{V.OTHER_FAMILY}') as family,
+  coalesce(string_agg(family, ',' order by place, family), '') as families
+from (select distinct o.run_id, f.family, f.place
+      from outputs o left join rules r on regexp_matches(o.error, '(?i)' || r.pattern) left join first f on f.family = r.family
+      where o.error is not null)
+group by run_id"""
 
 SQL["access_check"] = with_tables("outputs") + f"""
 select table_name, 'probe of ' || table_name || ' failed: ' || error as message,

@@ -97,6 +97,9 @@ TABLE_DETAILS = _row(
 
 TABLE_PROBE = _row(("table_name", _S), ("ok", T.BooleanType()), ("error_text", _S))
 
+# Failure families: the smaller priority comes first.
+FAILURE_RULES = _row(("priority", T.IntegerType()), ("family", _S), ("pattern", _S))
+
 MODEL_RESPONSES = _row(
     ("event_id", _S),
     ("choices", T.ArrayType(_row(("message", _row(("content", _S)))))),

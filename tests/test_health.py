@@ -1,7 +1,9 @@
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
+from faultlens import fixed_values as V
 from faultlens import schemas as S
 from faultlens.operators import health as H
 
@@ -72,3 +74,22 @@ def H_first(families):
 def test_cents(spark):
     rows = spark.createDataFrame([(18.45,), (None,)], "a double").select(H.cents(F.col("a")).alias("c")).collect()
     assert [r.c for r in rows] == [1845.0, None]
+
+
+def test_rules_of_a_table(spark):
+    own = spark.createDataFrame(
+        [(15, "vendor", "vendor[ _]lib"), (1, "data_quality", "late"), (15, "vendor", "acme"), (900, "last", ".")], S.FAILURE_RULES
+    )
+    shipped = H.read_rules(H.shipped_rules(spark))
+    assert [f for f, _ in shipped] == [f for f, _ in V.FAILURE_PATTERNS]
+    rules = H.read_rules(H.shipped_rules(spark).unionByName(own))
+    assert [f for f, _ in rules][:3] == ["data_quality", "schema_drift", "vendor"]
+    texts = ["No module named VENDOR_lib", "ACME is late", "found 0", "x", "", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.f for r in frame.select("i", H.failure_families(F.col("t"), rules).alias("f")).collect()}
+    assert got == {0: ["vendor", "dependency", "last"], 1: ["data_quality", "vendor", "last"], 2: ["data_quality", "last"], 3: ["last"], 4: [], 5: None}
+    assert frame.select(H.failure_families(F.col("t"), []).alias("f")).first().f == []
+    with pytest.raises(ValueError, match="family bad"):
+        H.read_rules(spark.createDataFrame([(1, "bad", "(")], S.FAILURE_RULES))
+    with pytest.raises(ValueError, match="at most"):
+        H.read_rules(spark.range(501).select(F.lit(1).alias("priority"), F.lit("f").alias("family"), F.lit("x").alias("pattern")))

@@ -48,3 +48,9 @@ def test_last_of_equal_keys_wins(values):
     read = lambda x: J.parse(x, "struct<a: variant>")["a"].cast("string")
     assert values(read, ['{"a": 1, "a": 2}']) == ["2"]
     assert values(lambda x: F.to_json(J.parse(x, "struct<a: variant>")["a"]), ['{"b": 1}', '{"a": null}']) == [None, "null"]
+
+
+def test_canonical_text(values):
+    texts = ['{"b": [1, {"z": null, "a": "x"}], "a": 1.50}', ' {"a":1.5,"b":[1,{"a":"x","z":null}]} ', '{"a": 1, "a": 2}', "no json", None]
+    one = '{"a":1.5,"b":[1,{"a":"x","z":null}]}'
+    assert values(J.canonical, texts) == [one, one, texts[2], "no json", None]
