@@ -20,7 +20,7 @@ from faultlens.operators.joins import spread_lookup
 from faultlens.plans import analysis
 from faultlens.sinks import batches
 from faultlens.sinks import tables as sink
-from faultlens.sources import samples
+from faultlens.sources import readers, samples
 from faultlens.sources.readers import (
     outputs_from_documents,
     runs_from_documents,
@@ -30,6 +30,9 @@ from faultlens.sources.readers import (
 from faultlens.streaming import answers, failed_runs
 
 AS_OF = "2001-08-01"
+DATA_TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -511,6 +514,20 @@ def schema_drift(table) -> DataFrame:
     return health.schema_drift(expected, samples.snapshot_columns(table("pages"), customer))
 
 
+def table_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Details of the tables of the data folder, from their files; sizes and times only as far as they are known to be."""
+    session.tune(spark)
+    found = readers.table_files(spark, {f"lake.data.{name}": f"{folder}/{name}.parquet" for name in DATA_TABLES})
+    return found.select(
+        "table_name", "format", "num_rows",
+        ((F.col("num_files") > 0) & (F.col("size_in_bytes") > F.col("num_files"))).alias("has_files"),
+        F.col("last_modified").rlike(r"^\d{4}-\d\d-\d\dT.*\+00:00$").alias("has_time"),
+    )
+
+
+QUERIES["table_files"] = table_files
+
+
 @query
 def missing_tables(table) -> DataFrame:
     refs = samples.page_refs(table("pages"))

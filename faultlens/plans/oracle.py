@@ -907,6 +907,13 @@ select * from (
              where table_name in (select 'lake.sales.t' || c_custkey from customer)) a using (table_name, col_name))
 where drift is not null"""
 
+SQL["table_files"] = " union all ".join(
+    f"select 'lake.data.{name}' as table_name, 'parquet' as format, count(*) as num_rows, true as has_files, true as has_time from {name}"
+    for name in (
+        "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+    ).split()
+)
+
 SQL["missing_tables"] = with_tables("page_refs", "table_columns") + """
 select table_name, count(*) as mentions from page_refs
 where table_name not in (select table_name from table_columns) group by table_name"""

@@ -136,3 +136,21 @@ def test_typed(spark):
         "*", *[F.lit(None).cast("string").alias(n) for n in ("logs", "notebook_output", "output_json")]
     )
     assert readers.typed(frame, S.RUN_OUTPUTS).dtypes[0] == ("run_id", "bigint")
+
+
+def test_details_from_files(spark, tmp_path):
+    spark.range(100).repartition(4).write.parquet(f"{tmp_path}/a")
+    spark.range(7).coalesce(1).write.parquet(f"{tmp_path}/b")
+    spark.range(3).coalesce(1).write.mode("append").parquet(f"{tmp_path}/b")
+    found = readers.table_files(spark, {"x.y.a": f"{tmp_path}/a", "x.y.b": f"{tmp_path}/b"})
+    rows = {r.table_name: r for r in found.collect()}
+    assert (rows["x.y.a"].num_files, rows["x.y.a"].num_rows, rows["x.y.b"].num_files, rows["x.y.b"].num_rows) == (4, 100, 2, 10)
+    sizes = sum(p.stat().st_size for p in (tmp_path / "b").glob("part-*"))
+    assert rows["x.y.b"].size_in_bytes == sizes and rows["x.y.b"].last_modified.endswith("+00:00")
+    assert "ReadSchema: struct<>" in found._jdf.queryExecution().executedPlan().toString()
+    # They serve as the detail snapshot of an analysis.
+    from faultlens.operators import evidence
+
+    nothing = [spark.createDataFrame([], schema) for schema in (S.TABLE_COLUMNS, S.TABLE_HISTORY)]
+    told = evidence.table_documents(*nothing, found).where("table_name = 'x.y.b'").first()
+    assert '"num_files":2' in told.table_json and '"num_rows":10' in told.table_json
