@@ -708,3 +708,25 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none, position):
     assert nothing.count() == 0 and some.count() > 0, name
     if position < 4:
         assert some.columns == odd.columns
+
+
+def test_each_row_has_its_own_decision(spark, monkeypatch):
+    """Rows with null or shared ids are judged one by one: one that goes takes no other with it, none stays unjudged."""
+    from pyspark.sql import functions as F
+
+    folder = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    monkeypatch.setattr(toxicity, "train", lambda docs, labels: None)
+    by_word = F.when(F.col("text").startswith("bad"), 1.0).otherwise(0.0).alias("score")
+    monkeypatch.setattr(toxicity, "score", lambda docs, model: docs.select("doc_id", by_word))
+    some = [(None, "bad 1"), (None, "good 1"), (3, "bad 2"), (3, "good 2"), (4, "bad 3"), (5, "good 3"), (5, "good 3"), (-2, "bad 4")]
+    left = corpus_pipeline.drop_toxic(spark, frame(spark, [(i, t, "en", "s") for i, t in some]), folder).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in left) == [(0, "good 1"), (3, "good 2"), (5, "good 3"), (5, "good 3")]
+    few = [(None, f"{item} tail"), (None, "quite another text"), (5, f"{item} tail"), (5, "a third text"), (6, "a fourth text")]
+    small = frame(spark, [(i, t, "en", "s") for i, t in few])
+    kept = corpus_pipeline.drop_contaminated(spark, small, folder).collect()
+    assert sorted(r.text for r in kept) == ["a fourth text", "a third text", "quite another text"]
+    long = " ".join(f"word{i}" for i in range(300))
+    copies = [(None, long), (9, long + " end"), (9, "something else"), (None, "something else"), (8, "unlike all")]
+    kept = corpus_pipeline.drop_near_copies(spark, frame(spark, [(i, t, "en", "s") for i, t in copies]), folder).collect()
+    assert len(kept) == 3 and {r.text.startswith("word0") for r in kept} == {True, False}
