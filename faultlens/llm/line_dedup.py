@@ -1,9 +1,9 @@
 """Lines that many documents repeat, found with levelled sorted runs of line hashes.
 
 A run is a table of line hashes, bucketed and sorted by hash, with the number of documents and the largest
-document id of each. A batch of documents is merge-anti-joined with the runs: the keys that no run holds are new and become
-a run of level 0. Keys that a run holds already are not added again; their counts are kept beside the runs as updates. So the
-runs share no key, and each key's first run and its updates have all its documents. When a level has ``fanout`` runs they are
+document id of each. A batch of documents is merge-joined with every run, which finds the keys they hold, and anti-joined
+with those: what is left is new and becomes a run of level 0. Keys that a run holds already are not added again; their counts are
+kept beside the runs as updates. So the runs share no key, and each key's first run and its updates have all its documents. When a level has ``fanout`` runs they are
 merged into one run of the next level, and their updates into one, so that the number of both stays logarithmic in
 the number of batches. Bucketing spares the runs every later shuffle.
 
@@ -95,20 +95,22 @@ class LineRuns:
     def _tables(self, which: int) -> list[DataFrame]:
         return [self._spark.table(pair[which]) for level in self.levels for pair in level]
 
-    def new_keys(self, counts: DataFrame) -> DataFrame:
-        """The keys of a batch that no run holds. Each run is merged in its own buckets, without being shuffled."""
-        for run in self._tables(0):
-            counts = counts.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
-        return counts
+    def known_keys(self, counts: DataFrame) -> DataFrame:
+        """The rows of a batch whose key a run holds. Each run is merged in its own buckets, without being shuffled.
+
+        Runs share no key, so a row is found once at most, and only those that are found go on.
+        """
+        found = [counts.join(run.select(*KEY).hint("merge"), KEY, "left_semi") for run in self._tables(0)]
+        return reduce(DataFrame.unionByName, found) if found else counts.limit(0)
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of (doc_id, k1, k2), and merge the levels that are full."""
         counts = lines.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_id"))
         batch = self._write(counts)
         whole = self._spark.table(batch)
-        run = self._write(self.new_keys(whole))
-        # What is not new is known: the two parts of the batch are in the same buckets.
-        updates = self._write(whole.join(self._spark.table(run).select(*KEY).hint("merge"), KEY, "left_anti"))
+        updates = self._write(self.known_keys(whole))
+        # The batch anti-joined with what the runs hold of it: both are in the same buckets.
+        run = self._write(whole.join(self._spark.table(updates).select(*KEY).hint("merge"), KEY, "left_anti"))
         self._drop(batch)
         self._put(0, run, updates)
 

@@ -219,18 +219,18 @@ def test_the_anti_join_alone_decides_what_is_new(spark, monkeypatch):
         batch = spark.createDataFrame(rows, "doc_id bigint, k1 bigint, k2 bigint")
         own = {k for _, k, _ in rows}
         counts = batch.groupBy("k1", "k2").count()
-        assert {r.k1 for r in runs.new_keys(counts).collect()} == own - held
+        assert {r.k1 for r in runs.known_keys(counts).collect()} == own & held
         runs.add(batch)
         held |= own
         in_runs = [r.k1 for run in runs._tables(0) for r in run.collect()]
         assert sorted(in_runs) == sorted(held)
     assert [len(level) for level in runs.levels] == [0, 0, 1]
-    # Without the anti-join's answer nothing is right: all keys would be known, or counted twice.
-    monkeypatch.setattr(line_dedup.LineRuns, "new_keys", lambda self, counts: counts.limit(0))
-    wrong = line_dedup.LineRuns(spark, fanout=2, buckets=3)
+    # Were nothing known, keys would be in several runs.
+    monkeypatch.setattr(line_dedup.LineRuns, "known_keys", lambda self, counts: counts.limit(0))
+    wrong = line_dedup.LineRuns(spark, fanout=9, buckets=3)
     for rows in batches:
         wrong.add(spark.createDataFrame(rows, "doc_id bigint, k1 bigint, k2 bigint"))
-    assert all(run.isEmpty() for run in wrong._tables(0))
+    assert len([r.k1 for run in wrong._tables(0) for r in run.collect()]) == 7
 
 
 def test_batches_follow_the_texts(spark):
