@@ -41,8 +41,12 @@ def awaited(asked: DataFrame, responses: DataFrame, patience: str, lateness: str
 
 
 def tick(feed: DataFrame, time_column: str, moment) -> DataFrame:
-    """One row in the columns of a feed that holds a time and nothing else."""
-    values = [F.lit(moment) if f.name == time_column else F.lit(None) for f in feed.schema.fields]
+    """One row in the columns of a feed that holds a time, and an empty case id, which no case has.
+
+    A null one would not do: Spark drops rows that can't join before it looks at their time.
+    """
+    known = {time_column: F.lit(moment), "case_id": F.lit("")}
+    values = [known.get(f.name, F.lit(None)) for f in feed.schema.fields]
     columns = [value.cast(f.dataType).alias(f.name) for value, f in zip(values, feed.schema.fields, strict=True)]
     return feed.sparkSession.range(1).select(*columns)
 
@@ -62,7 +66,7 @@ def report_writer(
         batches.ensure_batch_tables(spark, database)
         if batches.is_committed(spark, database, name):
             return
-        arrived = session.stage(batch.where("case_id is not null"), "answers")
+        arrived = session.stage(batch.where("case_id <> ''"), "answers")
         if arrived.isEmpty():
             return
         ids = arrived.select("case_id").distinct()
