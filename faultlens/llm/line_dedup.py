@@ -85,9 +85,12 @@ class LineRuns:
         # Per level, pairs of a run and the updates of the same batches.
         self.levels: list[list[tuple[str, str]]] = []
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write(self, rows: DataFrame, *, in_buckets: bool = False) -> str:
+        """Rows as a bucketed, sorted table; those that come out of joins within the buckets are not moved again."""
         name = f"line_run_{uuid.uuid4().hex}"
-        dealt = rows.select(*KEY, "n_docs", "last_id").repartition(self._buckets, *KEY)
+        dealt = rows.select(*KEY, "n_docs", "last_id")
+        if not in_buckets:
+            dealt = dealt.repartition(self._buckets, *KEY)
         writer = dealt.write.format("parquet").option("path", f"{self._folder}/{name}")
         writer.bucketBy(self._buckets, *KEY).sortBy(*KEY).saveAsTable(name)
         return name
@@ -108,9 +111,10 @@ class LineRuns:
         counts = lines.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_id"))
         batch = self._write(counts)
         whole = self._spark.table(batch)
-        updates = self._write(self.known_keys(whole))
+        updates = self._write(self.known_keys(whole), in_buckets=True)
         # The batch anti-joined with what the runs hold of it: both are in the same buckets.
-        run = self._write(whole.join(self._spark.table(updates).select(*KEY).hint("merge"), KEY, "left_anti"))
+        new = whole.join(self._spark.table(updates).select(*KEY).hint("merge"), KEY, "left_anti")
+        run = self._write(new, in_buckets=True)
         self._drop(batch)
         self._put(0, run, updates)
 
