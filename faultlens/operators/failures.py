@@ -137,10 +137,21 @@ def first_deliveries(runs: DataFrame, *order: Column | str) -> DataFrame:
     return runs.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
 
 
-def delivered_again(run_heads: DataFrame) -> DataFrame:
-    """(case_id, first_rank) of the cases that have more than one row."""
-    counted = run_heads.groupBy("case_id").agg(F.count("*").alias("_n"), F.min("_rank").alias("first_rank"))
-    return counted.where("_n > 1").drop("_n")
+def counted_deliveries(run_heads: DataFrame) -> DataFrame:
+    """One row per case: the delivery least by ``_rank``, that rank as ``first_rank``, and the number of all as ``_n``.
+
+    Texts are ranked for it once; it combines before the shuffle, so a run that was delivered very often is reduced where
+    its rows are read.
+    """
+    facts = [name for name in run_heads.columns if name not in ("case_id", "_rank")]
+    first = F.min_by(F.struct("_rank", *facts), F.col("_rank")).alias("first")
+    counted = run_heads.groupBy("case_id").agg(F.count("*").alias("_n"), first)
+    return counted.select("case_id", *[f"first.{name}" for name in facts], "_n", F.col("first._rank").alias("first_rank"))
+
+
+def delivered_again(counted: DataFrame) -> DataFrame:
+    """(case_id, first_rank) of the cases of ``counted_deliveries`` that have more than one row."""
+    return counted.where("_n > 1").select("case_id", "first_rank")
 
 
 def repeated_deliveries(run_heads: DataFrame, again: DataFrame) -> DataFrame:

@@ -46,7 +46,8 @@ class Collected:
 
     Outputs are built when they are first read, so a caller that wants only some of them does not
     pay for the others; what several share is written once by ``keep``. ``cases`` holds one narrow
-    row of keys per failed run, ``delivered`` the same before repeats are taken out.
+    row of keys per failed run, ``counted`` the same with the number of its deliveries and the rank of the one that
+    counts, ``delivered`` a row for each delivery.
     """
 
     inputs: Inputs
@@ -54,6 +55,7 @@ class Collected:
     delivered: DataFrame
     incomplete: DataFrame
     cases: DataFrame
+    counted: DataFrame
     prompt_name: str
     prompt_alias: str
     channel: str
@@ -83,7 +85,7 @@ class Collected:
 
         None counts for a case that was analysed before.
         """
-        again = failures.delivered_again(self.delivered)
+        again = failures.delivered_again(self.counted)
         if self.stored is not None:
             none = F.lit(None).cast(again.schema["first_rank"].dataType).alias("first_rank")
             again = again.join(self.stored, "case_id", "left_anti").unionByName(self.stored.select("case_id", none))
@@ -169,7 +171,10 @@ class Collected:
             "reason",
             F.md5("document").alias("digest"),
         )
-        parts = [without_keys, self._judged[1], failures.repeated_deliveries(self.delivered, self.again)]
+        parts = [without_keys, self._judged[1]]
+        # To rank the deliveries once more, all texts are read.
+        if not self.again.isEmpty():
+            parts.append(failures.repeated_deliveries(self.delivered, self.again))
         if self.inputs.unreadable is not None:
             parts.append(self.inputs.unreadable)
         return reduce(DataFrame.unionByName, [align(part, REJECTS) for part in parts])
@@ -231,14 +236,15 @@ def collect(
     runs = failures.qualifying_runs(complete) if only_failed else complete
     runs = runs.withColumn("_rank", failures.delivery_rank(F.col("tasks"), F.col("document")))
     delivered = failures.heads(runs)
-    keyed = failures.first_deliveries(delivered, "_rank").drop("_rank")
+    keyed = failures.counted_deliveries(delivered)
     if stored is not None:
         here = delivered.select("case_id").distinct()
         stored = keep(here.join(stored.select("case_id"), "case_id", "left_semi"), "stored")
         keyed = keyed.join(stored, "case_id", "left_anti")
     settings = inputs.settings.select("job_id", "settings")
-    cases = keep(failures.identify(keyed, settings).drop("settings", "task_settings"), "cases")
-    return Collected(inputs, runs, delivered, incomplete, cases, prompt_name, prompt_alias, channel, keep, stored)
+    counted = keep(failures.identify(keyed, settings).drop("settings", "task_settings"), "cases")
+    cases = counted.drop("_n", "first_rank")
+    return Collected(inputs, runs, delivered, incomplete, cases, counted, prompt_name, prompt_alias, channel, keep, stored)
 
 
 def known_cases(events: DataFrame, runs: DataFrame) -> DataFrame:

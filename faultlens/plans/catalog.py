@@ -689,12 +689,13 @@ def unreadable_documents(table) -> DataFrame:
     Of the runs also the analysis: no event is made for what can't be read, and its rejects name all of them.
     """
     events, customer = table("events"), table("customer")
-    run_texts = samples.damaged(samples.event_documents(events), "details", F.col("run.run_id") / 10)
+    run_texts = samples.damaged(samples.event_documents(events), "details", F.col("run.run_id") / 10).select("event_ts", "details")
     run_objects, bad_runs = split_documents(run_texts, "details", "run")
-    runs = runs_from_documents(run_objects, "details", F.col("event_ts"))
+    # Read by several outputs, and filtered by what was parsed.
+    runs = session.stage(runs_from_documents(run_objects, "details", F.col("event_ts")), "read-runs")
     job_texts = samples.damaged(samples.customer_documents(customer), "details", F.col("job_id"))
     job_objects, bad_jobs = split_documents(job_texts, "details", "settings", source_job_id=F.col("job_id"))
-    settings = settings_from_documents(job_objects, "job_id", "details")
+    settings = session.stage(settings_from_documents(job_objects, "job_id", "details"), "read-settings")
     output_texts = samples.damaged(samples.output_documents(events), "details", F.col("run_id") / 10)
     output_objects, bad_outputs = split_documents(output_texts, "details", "output", source_run_id=F.col("run_id"))
     outputs = outputs_from_documents(output_objects, F.col("run_id"), "details")
