@@ -123,17 +123,27 @@ class Collected:
 
     @cached_property
     def refs(self) -> DataFrame:
-        return self.keep(E.event_refs(self.found), "refs")
+        # Rows without references add nothing to a case, but each case keeps one: its run document.
+        rows = self.found.where((F.size("refs") > 0) | (F.col("ord") == 1))
+        return self.keep(E.event_refs(rows), "refs")
 
     @cached_property
-    def evidence(self) -> DataFrame:
+    def tables(self) -> DataFrame:
         given = self.inputs
         wanted = self.refs.select(F.explode(E.top_refs()).alias("ref"))
-        tables = E.table_documents(given.table_columns, given.table_history, given.table_details, wanted)
+        return E.table_documents(given.table_columns, given.table_history, given.table_details, wanted)
+
+    def keep_tables(self) -> None:
+        """Write the table documents once, for a caller that reads the evidence and the requests made of it."""
+        if "evidence" not in self.__dict__:
+            self.__dict__["tables"] = self.keep(self.tables, "tables")
+
+    @cached_property
+    def evidence(self) -> DataFrame:
         plain = [*E.KEYS, "ord", "detail", "collector_name", "evidence_json"]
         return (
             self.found.select(*plain)
-            .unionByName(E.table_evidence(self.refs, tables))
+            .unionByName(E.table_evidence(self.refs, self.tables))
             .unionByName(E.summary_evidence(self.outputs))
         )
 
@@ -289,7 +299,8 @@ def report_answers(
 ) -> Reported:
     """Notifications, delivery and report rows of cases whose model report is parsed."""
     channel = channel.strip() or V.DEFAULT_CHANNEL
-    fields = reports.report_fields(parsed)
+    # Three outputs read it; each would parse every answer again.
+    fields = session.stage(reports.report_fields(parsed), "answers-read")
     resolved = notify.resolve_delivery(fields, attempts, channel)
     delivery = F.to_json(
         F.struct(
@@ -320,6 +331,7 @@ def evidence_rows(evidence: DataFrame) -> DataFrame:
 
 def collected_frames(collected: Collected) -> dict[str, DataFrame]:
     """What the first phase adds to the output tables."""
+    collected.keep_tables()
     return _aligned({
         "events": collected.events,
         "evidence": evidence_rows(collected.evidence),

@@ -390,3 +390,42 @@ def test_deliveries_are_ranked_once(spark):
     plan = failures.delivered_again(got.counted)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "parse_json" not in plan
     assert got.again.isEmpty() and "delivered again" not in got.rejects._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_outputs_share_is_made_once(spark):
+    """Table documents for the evidence and the requests, and answers for reports, notifications and evidence."""
+    from faultlens import session
+
+    written = []
+
+    def keep(frame, label):
+        written.append(label)
+        return session.stage(frame, label)
+
+    got = analysis.collect(inputs(spark), "p", "a", keep=keep)
+    frames = analysis.collected_frames(got)
+    assert written.count("tables") == 1
+    for name in ("evidence", "prompt_requests"):
+        assert "row_number" not in frames[name]._jdf.queryExecution().optimizedPlan().toString()
+    answers = spark.createDataFrame([], "event_id string, choices array<struct<message: struct<content: string>>>, "
+                                    "predictions array<string>, outputs array<string>, error string")
+    attempts = spark.createDataFrame([], S.DELIVERY_ATTEMPTS)
+    reported = analysis.report(got.asked, answers, attempts)
+    for frame in (reported.reports, reported.notifications, reported.evidence):
+        assert "regexp_extract(" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert reported.reports.count() == got.asked.count() == 3
+
+
+def test_a_case_without_references_keeps_its_row(spark):
+    """Rows without references are left out before rows are grouped, but for the run document."""
+    from faultlens import session
+
+    frames = {}
+
+    def keep(frame, label):
+        frames[label] = session.stage(frame, label)
+        return frame if label == "refs" else frames[label]
+
+    got = analysis.collect(inputs(spark), "p", "a", keep=keep)
+    assert {r.case_id for r in got.refs.collect()} == {r.case_id for r in got.cases.collect()}
+    assert "size(refs" in got.refs._jdf.queryExecution().optimizedPlan().toString()
