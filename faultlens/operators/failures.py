@@ -150,8 +150,11 @@ def counted_deliveries(run_heads: DataFrame) -> DataFrame:
 
 
 def delivered_again(counted: DataFrame) -> DataFrame:
-    """(case_id, first_rank) of the cases of ``counted_deliveries`` that have more than one row."""
-    return counted.where("_n > 1").select("case_id", "first_rank")
+    """(case_id, first_rank) of the cases of ``counted_deliveries`` that have more than one row.
+
+    Each case once, also where a lookup that repeats its key has made several rows of it since.
+    """
+    return counted.where("_n > 1").select("case_id", "first_rank").dropDuplicates(["case_id"])
 
 
 def repeated_deliveries(run_heads: DataFrame, again: DataFrame) -> DataFrame:
